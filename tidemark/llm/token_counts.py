@@ -273,7 +273,7 @@ def encoded(column: pa.Array, enc: Encoder, mark: int) -> Iterator[tuple[int, in
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str, entries: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of the most frequent pre-tokens in a bounded sample of rows.
+    """Hashes and token counts of the most frequent pre-tokens in a sample of about sample_rows rows.
 
     The table is a cache: whatever it holds, counts come out the same.  It has ``entries``
     entries at most, 12 bytes each.
@@ -295,7 +295,7 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, entries: int, sa
         best = sorted(seen.items(), key=lambda x: (-x[1][0], x[0]))[:entries]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.int64()), pa.array([v[0] for _, v in best], pa.int64()), pa.array([v[1] for _, v in best], pa.int32())], ["k", "n", "tokens"])
 
-    few = docs.select(_kit.text_of(text_col).alias("text")).limit(sample_rows)
+    few = docs.select(_kit.text_of(text_col).alias("text")).sample(min(1.0, sample_rows / max(1, docs.count())), seed=7)
     rows = few.mapInArrow(tally, "k long, n long, tokens int").groupBy("k").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "k").limit(entries).collect()
     return np.array([x["k"] for x in rows], np.int64).view(np.uint64), np.array([x["tokens"] for x in rows], np.int32)
 
