@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring import without_repeats
 from tidemark.llm.token_counts import token_counts
@@ -31,6 +32,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pack(table(spark, sf_dir, "documents"), byte_bpe())
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,6 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op9_minhash_dedup": op9_minhash_dedup,
