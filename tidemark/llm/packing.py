@@ -54,21 +54,23 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     after ``most`` columns.  It starts from pairs of lengths that fill a sequence together."""
     n = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
+    inverse = np.diag(1 / basis.diagonal())
     place = {int(x): i for i, x in enumerate(sizes)}
     for size, i in place.items():
         j = place.get(capacity - size)
         if j is not None and i < j:
-            less = i if demand[i] <= demand[j] else j
-            basis[:, less] = 0
-            basis[[i, j], less] = 1  # the pair takes the place of the scarcer length's own pattern
-    inverse = np.linalg.inv(basis)
-    used = inverse @ demand
+            less, more = (i, j) if demand[i] <= demand[j] else (j, i)
+            # the pair takes the place of the scarcer length's own pattern
+            basis[less, less] = basis[more, less] = 1
+            inverse[less, less], inverse[more, less] = 1, -inverse[more, more]
+    used = (inverse * demand).sum(1)
     for _ in range(most):
         duals = inverse.sum(0)
         worth, column = knapsack(sizes, duals, capacity)
         if worth <= 1 + 1e-9 or used.sum() <= (1 + gap) * (duals @ demand) / worth:
             break
-        step = inverse @ column
+        some = np.flatnonzero(column)
+        step = (inverse[:, some] * column[some]).sum(1)
         up = np.flatnonzero(step > 1e-9)
         i = up[np.argmin(used[up] / step[up])]
         amount = used[i] / step[i]
