@@ -1 +1,65 @@
-"""Placeholder until its stages are there."""
+"""The corpus pipeline: quality, exact dedup, near dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns they got.  ``run`` writes each stage's rows to the shared folder and reads them for
+the next.  Exact dedup and near dedup keep one document of a group, mixing draws a document
+at most once, packing returns the pieces of what is left.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import _kit
+from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.mixing import mix
+from tidemark.llm.packing import pack
+from tidemark.llm.quality_classifier import fit, resampled
+
+
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids; one row of each such id and text."""
+    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample holds."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return resampled(docs, fit(docs, labels), kept="_kept").where("_kept").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return _chosen(docs, exact_dedup(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the document with the smallest id."""
+    return _chosen(docs, near_duplicates(docs).where("kept or doc_id is null"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at their mixture's rates, each at most once."""
+    return _chosen(docs, mix(docs, most_copies=1).where("copies > 0"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    done = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
+
+#: The trained classifier, the signatures and the tokenizer are beyond SQL; tests/llm compares with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = _kit.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.packing import pack
+from tidemark.llm.preference import neighbours, preference_pairs
+from tidemark.llm.quality_classifier import quality_classifier
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring import without_repeats
 from tidemark.llm.token_counts import token_counts
@@ -37,6 +40,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
+
+
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["begin"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return preference_pairs(turns, neighbours(turns)).withColumns({c: mask(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,6 +58,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("log_ratio", F.round("log_ratio", 6))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,14 +71,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_mixing": op4_mixing,
+    "op5_preference": op5_preference,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
@@ -69,6 +96,25 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op4_mixing": mix_sql(),
+    "op5_preference": """
+        WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+        p AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.n AS nc, b.n AS nr FROM n a JOIN n b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+        d AS (SELECT chosen_id, min(a.i) AS i FROM p JOIN t a ON a.conv_id = chosen_id LEFT JOIN t b ON b.conv_id = rejected_id AND b.i = a.i
+              WHERE b.i IS NULL OR a.role <> b.role OR a.text <> b.text GROUP BY chosen_id),
+        l AS (SELECT p.*, least(coalesce(d.i - 1, nc), nr) AS k FROM p LEFT JOIN d USING (chosen_id)),
+        s AS (SELECT conv_id, i, role, '<|' || role || '|>' || chr(10) AS h, text || '<|end|>' || chr(10) AS b FROM t),
+        x AS (SELECT chosen_id, 'p' AS side, s.* FROM l JOIN s ON s.conv_id = chosen_id AND s.i <= k
+              UNION ALL SELECT chosen_id, 'c', s.* FROM l JOIN s ON s.conv_id = chosen_id AND s.i > k
+              UNION ALL SELECT chosen_id, 'r', s.* FROM l JOIN s ON s.conv_id = rejected_id AND s.i > k),
+        y AS (SELECT *, coalesce(sum(length(h) + length(b)) OVER (PARTITION BY chosen_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM x),
+        z AS (SELECT chosen_id, side, string_agg(h || b, '' ORDER BY i) AS v,
+                     string_agg(CASE WHEN role = 'assistant' THEN CAST(o + length(h) AS BIGINT) || '-' || CAST(o + length(h) + length(b) AS BIGINT) END, ',' ORDER BY i) AS m FROM y GROUP BY ALL)
+        SELECT l.chosen_id, rejected_id, CAST(k AS BIGINT) AS n_common, coalesce(zp.v, '') AS prompt, coalesce(zc.v, '') AS chosen, coalesce(zr.v, '') AS rejected,
+               coalesce(zc.m, '') AS chosen_mask, coalesce(zr.m, '') AS rejected_mask
+        FROM l LEFT JOIN z zp ON zp.chosen_id = l.chosen_id AND zp.side = 'p' LEFT JOIN z zc ON zc.chosen_id = l.chosen_id AND zc.side = 'c'
+        LEFT JOIN z zr ON zr.chosen_id = l.chosen_id AND zr.side = 'r'""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS s FROM p)
