@@ -1,7 +1,8 @@
-"""Connected components of a graph of links, by alternating star contraction.
+"""Connected components of a graph of links, by union-find and alternating star contraction.
 
-Each partition first reduces its links to stars with a union-find of its own; large-star and
-small-star rounds then pull every node to the smallest id it can reach.  Each round is a
+Each partition reduces its links to stars with a union-find of its own, which settles what is
+counted to fit one task.  Else large-star and small-star rounds pull every node to the
+smallest id it can reach.  Each round is a
 written table, so nothing is recomputed when an executor is lost, and no node's neighbours
 are gathered in one place.
 """
@@ -37,12 +38,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([r for _, r in found], kind)], ["a", "b"])
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Links that one task's union-find may hold.
+ONE_TASK = 200_000
+
+
+def components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, label) for each node of links (a, b) that isn't the smallest of its component.
 
     label is the smallest node reachable.  Loops and links with a null end count for nothing.
     """
     kind = links.schema["a"].dataType.simpleString()
+    if links.count() <= one_task:
+        few = links.where("a != b").select("a", "b").coalesce(1).mapInArrow(_forest, f"a {kind}, b {kind}")
+        return _kit.written(few, "components").select(F.col("a").alias("node"), F.col("b").alias("label"))
     stars = _kit.written(links.where("a != b").select("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}").distinct(), "links")  # a > b
     seen = None
     for _ in range(most_rounds):

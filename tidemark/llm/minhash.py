@@ -3,9 +3,11 @@
 A SuperMinHash signature gives each element of a set its own permutation of the slots; an
 element's value in a slot is its rank there plus a random fraction.  Ranks are dealt level by
 level, and a document stops as soon as no later level can lower any slot.  Documents of equal
-shingle sets are one class.  Classes that share a band of slots are candidates: first each
-with the smallest of its bucket, then across the components these links leave apart, so a
-bucket of many copies costs links in proportion to its size.  Links are confirmed on full sets.
+shingle sets are one class.  Classes that share a band of slots are candidates, unless four
+bits of each slot tell that they can't be similar enough.  In rounds, each bucket's members are
+compared with one of them drawn at random, as long as that joins components; so a bucket of
+many copies costs pairs in proportion to its size.  The candidates that are then still in
+different components are all compared, within the join.  Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from tidemark.llm import _kit
 from tidemark.llm.components import components
 
 SLOTS, ROWS = 128, 4  # slots in a signature (a power of two), slots in a band
+ROUNDS = 3  # of comparisons with a random member, at most
 _HIGH = np.uint64(32)
 
 
@@ -80,7 +83,8 @@ def signatures(value: np.ndarray, begins: np.ndarray, slots: int = SLOTS) -> np.
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, fp, bands) per row: size and 128-bit fingerprint of the shingle set (null if empty), and its band keys."""
+    """(id, n, fp, bands, bits) per row: size and 128-bit fingerprint of the shingle set (null if
+    empty), its band keys, and four bits of each slot."""
     source = docs.select(F.col(id_col).alias("id"), _kit.text_of(text_col).alias("text"))
 
     def made(batches):
@@ -96,6 +100,8 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     for j in range(ROWS):
                         h = _kit.mixed((h ^ sign[:, i * ROWS + j]) * _kit.ODD)
                     bands[:, i] = h
+                few = _kit.mixed(sign.reshape(-1, 16)) & np.uint64(15)
+                bits = (few << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
                 fp = np.zeros((len(size), 2), np.uint64)
                 if len(full):
                     at = begins[full]
@@ -104,11 +110,11 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 packed = fp.astype("<u8").tobytes()
                 per = np.where(size > 0, SLOTS // ROWS, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(row, end - row), pa.array(size.astype(np.int64)), pa.array([packed[16 * i : 16 * i + 16] if n else None for i, n in enumerate(size.tolist())], pa.binary()), _kit.ragged(bands.ravel().view(np.int64), per, pa.int64())],
-                    ["id", "n", "fp", "bands"],
+                    [batch["id"].slice(row, end - row), pa.array(size.astype(np.int64)), pa.array([packed[16 * i : 16 * i + 16] if n else None for i, n in enumerate(size.tolist())], pa.binary()), _kit.ragged(bands.ravel().view(np.int64), per, pa.int64()), _kit.ragged(bits.view(np.int64), np.where(size > 0, SLOTS // 16, 0), pa.int64())],
+                    ["id", "n", "fp", "bands", "bits"],
                 )
 
-    return source.mapInArrow(made, f"id {source.schema['id'].dataType.simpleString()}, n long, fp binary, bands array<long>")
+    return source.mapInArrow(made, f"id {source.schema['id'].dataType.simpleString()}, n long, fp binary, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -133,39 +139,74 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def _alike(x: str, y: str, percent: int):
+    """Whether two classes (structs of n and bits) may reach the similarity, by sizes and by the
+    slots' bits; three pairs in 100,000 at the very threshold are lost to the bits."""
+    chance = percent / 100 + (1 - percent / 100) / 16
+    most = int(SLOTS * (1 - chance) + 4.0 * (SLOTS * chance * (1 - chance)) ** 0.5) + 1
+    unlike = F.lit(0)
+    for i in range(SLOTS // 16):
+        z = F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])
+        for k in (1, 2):  # the lowest of each four bits: whether any of them differs
+            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
+        unlike = unlike + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (unlike <= most)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """Pairs of structs x and y as distinct (a, b), a < b."""
+    x, y = F.col("x.rep"), F.col("y.rep")
+    return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept (its id is the component's smallest).
 
     Shingles are ``width`` consecutive words of the text with A-Z lowered; a shorter text is one
     shingle, a null text or one without words has none and is linked with nothing.  Rows are
     linked at a Jaccard similarity of ``percent`` hundredths or more, and component_id is the
-    smallest id that links reach.  Two sets at the threshold share a bucket with a probability
+    smallest id that links reach.  Two sets at a threshold of 75 share a bucket with a probability
     of 0.999995 (32 bands of 4 slots), closer ones with a higher one.  Rows with a null id are
     not compared: their component_id is null and kept is false.  Rows that repeat id and text
     are one document; ids are expected to be unique otherwise.  Other columns are ignored.
     """
     made = _kit.written(features(docs, id_col, text_col, width), "features")
-    known = made.where("fp is not null and id is not null")
-    classes = known.groupBy("fp", "n", "bands").agg(F.min("id").alias("rep"))
-    keyed = classes.select("rep", "n", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    member = _kit.written(keyed.join(buckets, "band").select("band", "rep", "n", F.col("first.rep").alias("a"), F.col("first.n").alias("na")), "buckets")
-    close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    stars = member.where((F.col("a") != F.col("rep")) & close(F.col("n"), F.col("na"))).select("a", F.col("rep").alias("b")).distinct()
-    sets = _kit.written(full_sets(docs, member.select(F.col("rep").alias("id")).distinct(), id_col, text_col, width), "sets")
-    links = _kit.written(confirmed(stars, sets, percent), "links")
-    label = components(links)
-    # candidates that the first links left in different components
-    told = member.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", "a", F.coalesce("label", "rep").alias("part"))
-    apart = told.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("band")
-    told = _kit.written(told.join(apart, "band", "left_semi"), "apart")
-    x, y = told.select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px")), told.select("band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), "a")
-    # a pair with the bucket's first was compared already
-    cross = x.join(y, "band").where((F.col("px") < F.col("py")) & (F.col("x") != F.col("a")) & (F.col("y") != F.col("a")) & close(F.col("nx"), F.col("ny")))
-    more = _kit.written(confirmed(cross.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets, percent), "links")
+    classes = made.where("fp is not null and id is not null").groupBy("fp", "n", "bands", "bits").agg(F.min("id").alias("rep"))
+    keyed = classes.select(F.explode("bands").alias("band"), F.struct("rep", "n", "bits").alias("x"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    member = _kit.written(keyed.join(shared, "band"), "buckets")
+    sets = _kit.written(full_sets(docs, member.select(F.col("x.rep").alias("id")).distinct(), id_col, text_col, width), "sets")
+    links, label, told = None, None, member.withColumn("part", F.col("x.rep"))
+    for turn in range(ROUNDS):
+        drawn = told.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "x.rep", F.lit(turn)).alias("order"), "x", "part")).alias("one"))
+        stars = told.join(drawn.select("band", F.col("one.x").alias("y"), F.col("one.part").alias("other")), "band").where((F.col("part") != F.col("other")) & _alike("x", "y", percent))
+        new = _kit.written(confirmed(_pairs(stars), sets, percent), "links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        label = components(links)
+        told = member.join(label, F.col("x.rep") == F.col("node"), "left").select("band", "x", F.coalesce("label", "x.rep").alias("part"))
+        apart = told.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("band")
+        told = _kit.written(told.join(apart, "band", "left_semi"), "apart")
+        across = told.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        pairs, members = across.agg(F.coalesce(F.sum(F.expr("(all * all - same) div 2")), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+        if pairs <= 2 * members:
+            break
+    # here the full sets come along, so that of the remaining pairs only those linked are made, in
+    # the first band they share
+    known = classes.select("rep", "bands").join(sets, F.col("rep") == F.col("id")).select("id", "bands", "shingles")
+    left = told.join(known, F.col("x.rep") == F.col("id")).select("band", "x", "part", "shingles", F.array_position("bands", F.col("band")).alias("place"), "bands")
+    right = left.select(F.col("band").alias("same"), F.col("x").alias("y"), F.col("part").alias("other"), F.col("shingles").alias("others"), F.col("bands").alias("bands_y"))
+    before = lambda c: F.slice(c, F.lit(1), F.col("place").cast("int") - 1)
+    linked = F.size(F.array_intersect("shingles", "others")) * (100 + percent) >= (F.size("shingles") + F.size("others")) * percent
+    cross = left.join(right, (F.col("band") == F.col("same")) & (F.col("part") < F.col("other")) & _alike("x", "y", percent) & ~F.arrays_overlap(before("bands"), before("bands_y")) & linked)
+    more = _kit.written(_pairs(cross), "links")
     if not more.isEmpty():
-        label = components(links.union(more))
-    named = classes.join(label, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component"))
+        label = components(more if links is None else links.union(more))
+    named = classes.select("fp", F.col("rep").alias("component"))
+    if label is not None:
+        named = classes.join(label, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component"))
     out = made.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

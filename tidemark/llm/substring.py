@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _kit
 
-HOT = 256  # runs from which a minimiser's windows are dealt one by one
+HOT = 8192  # runs from which a minimiser's windows are dealt one by one
 
 
 def runs(data: np.ndarray, offs: np.ndarray, width: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,18 +43,19 @@ def runs(data: np.ndarray, offs: np.ndarray, width: int, part: int) -> tuple[np.
     return row[first], first - begins[row[first]], np.diff(np.r_[new, len(window)]), value[first]
 
 
-def _key(text):
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, text); key is that of the text, 16 bytes of its SHA-256."""
+    text = _kit.text_of(text_col)
+    # the condition always holds; it is in every plan, so that joins by key share one shuffle of the texts
+    return docs.select(F.col(id_col).alias("id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("key"), text.alias("text")).where("key is not null")
 
 
-def repeated_spans(docs: DataFrame, text_col: str, id_col: str, width: int = 35, part: int = 6) -> DataFrame:
-    """(key, copies, spans) of each text that repeats as a whole or has windows that repeat.
+def repeated_spans(texts: DataFrame, width: int = 35, part: int = 6) -> DataFrame:
+    """(key, copies, spans) of each text of keyed() that repeats as a whole or has windows that repeat.
 
-    key is that of the text (16 bytes of its SHA-256), spans the word ranges [begin, end) that
-    windows found elsewhere, or at another place of the text, cover.
+    spans are the word ranges [begin, end) that windows found elsewhere, or at another place of
+    the text, cover.
     """
-    text = _kit.text_of(text_col)
-    source = docs.select(_key(text).alias("key"), text.alias("text"))
 
     def light(batches):
         for batch in batches:
@@ -64,10 +65,10 @@ def repeated_spans(docs: DataFrame, text_col: str, id_col: str, width: int = 35,
 
     def packed(batches):
         for batch in batches:
-            keys, lists = batch["key"].to_pylist(), batch["runs"]
             out = [[], [], [], [], []]
-            for key, body, own in zip(keys, batch["text"].cast(pa.binary()).to_pylist(), lists.to_pylist(), strict=True):
-                word = body.split()
+            batch = batch.filter(batch["first"])  # as a condition it would part this join's shuffle from the last one's
+            for key, body, own in zip(*(batch[x].to_pylist() for x in ("key", "text", "runs")), strict=True):
+                word = body.encode().split()
                 for run in own:
                     each = ((run["first"] + i, 1) for i in range(run["n"])) if run["hot"] else ((run["first"], run["n"]),)
                     for first, n in each:
@@ -109,15 +110,12 @@ def repeated_spans(docs: DataFrame, text_col: str, id_col: str, width: int = 35,
                         begin = None
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["key", "begin", "end"])
 
-    found = source.mapInArrow(light, "key binary, first int, n int, mini long").groupBy("mini", "key", "first", "n").agg(F.count("*").alias("copies"))
-    found = _kit.written(found.select("mini", "key", "first", "n"), "runs")  # a text's copies are one here
+    found = texts.select("key", "text").mapInArrow(light, "key binary, first int, n int, mini long")
     many = found.groupBy("mini").agg(F.count("*").alias("runs")).where("runs > 1")
-    travel = found.join(many, "mini").groupBy("key").agg(F.collect_list(F.struct("first", "n", "mini", (F.col("runs") >= HOT).alias("hot"))).alias("runs"))
-    texts = docs.select(F.col(id_col).alias("id"), _key(text).alias("key"), text.alias("text"))
-    copies = texts.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
-    # one row of each text carries it: that of the smallest id
-    chosen = copies.join(travel, "key").select(F.col("key").alias("own"), F.col("id").alias("low"), "runs")
-    body = texts.join(chosen, F.col("id").eqNullSafe(F.col("low")) & (F.col("key") == F.col("own"))).select("key", "text", "runs")
+    copies = texts.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("low"))
+    # of a text's copies the one with the smallest id goes on, here and below
+    travel = found.join(many, "mini").groupBy("key").agg(F.collect_set(F.struct("first", "n", "mini", (F.col("runs") >= HOT).alias("hot"))).alias("runs"))
+    body = texts.join(copies.select("key", "low").join(travel, "key"), "key").select("key", "text", "runs", F.col("id").eqNullSafe(F.col("low")).alias("first"))
     dealt = body.mapInArrow(packed, "key binary, first int, n int, bucket long, string binary").repartition("bucket").sortWithinPartitions("bucket")
     spans = dealt.mapInArrow(counted, "key binary, begin int, end int").groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     return copies.select("key", "copies").join(spans, "key", "left").where("copies > 1 or spans is not null")
@@ -132,9 +130,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words lose nothing.  Rows that repeat a text are places of their own.  Ids may be null or
     repeat.  Other columns are ignored.
     """
-    text = _kit.text_of(text_col)
-    source = docs.select(F.col(id_col).alias("id"), _key(text).alias("key"), text.alias("text"))
-    told = repeated_spans(docs, text_col, id_col, width, part)
+    source = keyed(docs, id_col, text_col)
+    told = repeated_spans(source, width, part)
 
     def cut(batches):
         for batch in batches:
