@@ -64,9 +64,9 @@ def with_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def clipped_z(value: Column, mean: float, std: float, log: bool = False, limit: float = 10.0) -> Column:
-    """A z-score within +-limit, of log1p of the value's positive part if log."""
+    """A z-score within +-limit, of log1p of the value's positive part if log; null stays null."""
     x = F.log1p(F.greatest(value, F.lit(0.0))) if log else value
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), (x - mean) / (std if std >= 1e-6 else 1.0)))
+    return F.when(value.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), (x - mean) / (std if std >= 1e-6 else 1.0))))
 
 
 def log_ratio(predicted: Column, actual: Column, floor: float = 1e-3) -> Column:

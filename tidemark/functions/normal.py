@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _log_cdf(z: float) -> float:
@@ -29,17 +30,17 @@ def _log_between(a: float, b: float) -> float:
     return high + math.log1p(-math.exp(min(low - high, -1e-15)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log_normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(_log_cdf, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def interval_nll(lower: pd.Series, upper: pd.Series, mu: pd.Series, sigma: pd.Series) -> pd.Series:
     """-log P(lower < X <= upper) of a log-normal X; sigma is held to [0.05, 3], upper to lower + 0.001 at least."""
     s = sigma.clip(0.05, 3.0)
