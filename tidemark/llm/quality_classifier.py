@@ -131,22 +131,23 @@ class Sampler:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, buckets: int = BUCKETS, scale: float = 200.0, spare: float = 0.0005, seed: int = 7) -> Sampler:
-    """Fits models and sample size; raw text is every document, wanted text the good ones of at
-    most ``labelled`` labelled rows (those of the smallest hashes).
+    """Fits models and sample size; raw text is every document, wanted text every other good one
+    of at most ``labelled`` labelled rows (those of the smallest hashes).
 
-    k is the number of documents that score no lower than all but a share ``spare`` of the good
-    labelled ones do: the sample is to hold what is good, not to be small.  Higher scales draw
+    The good rows between are held out: a model knows the texts it is made of too well.  k is
+    the number of documents that score no lower than all but a share ``spare`` of these do: the
+    sample is to hold what is good, not to be small.  Higher scales draw
     closer to the order of importance.
     """
     few = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     few = few.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(labelled).collect()
-    good = {x["id"] for x in few if x["label"] == 1}
+    good = [x["id"] for x in few if x["label"] == 1]
     source = docs.select(F.col(id_col).alias("id"), _kit.text_of(text_col).alias("text"))
-    ids = docs.sparkSession.createDataFrame([(x,) for x in good], source.select("id").schema)
-    known = source.join(F.broadcast(ids), "id", "left_semi")  # ``labelled`` ids at most
+    those = lambda ids: F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in ids], source.select("id").schema))  # noqa: E731  ``labelled`` ids at most
+    known = source.join(those(good[::2]), "id", "left_semi")
     model = Model.of(tallied(known, buckets), tallied(source, buckets))
     keys = _kit.written(scored(source, model).select("id", "log_ratio", (F.col("log_ratio") * scale + gumbel("id", seed)).alias("key")), "scores")
-    sample = sorted(x["log_ratio"] for x in keys.join(F.broadcast(ids), "id", "left_semi").select("log_ratio").collect())
+    sample = sorted(x["log_ratio"] for x in keys.join(those(good[1::2]), "id", "left_semi").select("log_ratio").collect())
     least = sample[int(spare * len(sample))] if sample else float("-inf")
     k = keys.where(F.col("log_ratio") >= least).count()
     return Sampler(model, cut_off(keys, k), scale, seed)
