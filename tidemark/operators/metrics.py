@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 def mad(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Median and median absolute deviation about it, for each key."""
     keys = keys or []
-    centre = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    joined = df.join(centre, keys) if keys else df.crossJoin(F.broadcast(centre))
-    return joined.groupBy(*keys, "median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    rows = df.select(*keys, F.col(value).alias("_v"))
+    centre = rows.groupBy(*keys).agg(F.median("_v").alias("median"))
+    joined = rows.join(centre, keys) if keys else rows.crossJoin(F.broadcast(centre))  # one row
+    return joined.groupBy(*keys, "median").agg(F.median(F.abs(F.col("_v") - F.col("median"))).alias("mad"))
 
 
 def average_rank(df: DataFrame, value: str, alias: str) -> DataFrame:
