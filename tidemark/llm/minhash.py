@@ -173,9 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     made = _kit.written(features(docs, id_col, text_col, width), "features")
     classes = made.where("fp is not null and id is not null").groupBy("fp", "n", "bands", "bits").agg(F.min("id").alias("rep"))
-    keyed = classes.select(F.explode("bands").alias("band"), F.struct("rep", "n", "bits").alias("x"))
+    keyed = classes.select("rep", F.explode("bands").alias("band"))  # ids alone, until buckets of one are gone
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    member = _kit.written(keyed.join(shared, "band"), "buckets")
+    told = classes.select("rep", F.struct("rep", "n", "bits").alias("x"))
+    member = _kit.written(keyed.join(shared, "band").join(told, "rep").select("band", "x"), "buckets")
     sets = _kit.written(full_sets(docs, member.select(F.col("x.rep").alias("id")).distinct(), id_col, text_col, width), "sets")
     links, label, told = None, None, member.withColumn("part", F.col("x.rep"))
     for turn in range(ROUNDS):
