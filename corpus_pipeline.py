@@ -42,7 +42,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at their mixture's rates, each at most once."""
+    """Documents drawn at their mixture's rates over the largest of these, so each at most once."""
     return _chosen(docs, mix(docs, most_copies=1).where("copies > 0"))
 
 

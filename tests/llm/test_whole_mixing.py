@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from helpers import SCHEMA, by_repr, rows, table
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from tidemark.llm import mixing
 
@@ -26,6 +27,18 @@ def uneven(spark, n=24_000):
     return docs.withColumns({"tokens": F.expr("(octet_length(text) + 3) div 4"), "topic": mixing.topic_of(F.col("text"))}).cache()
 
 
+def test_pipeline_mixing_meets_all_targets(spark):
+    docs = uneven(spark)
+    done = corpus_pipeline.mixed(spark, docs.drop("tokens", "topic"), "").cache()
+    assert done.count() == done.distinct().count()
+    drawn = done.withColumns({"tokens": F.expr("(octet_length(text) + 3) div 4"), "topic": mixing.topic_of(F.col("text")), "copies": F.lit(1)})
+    for name in mixing.DIMENSIONS:
+        got, want = shares(drawn, name), tempered(docs, name)
+        assert min(want.values()) < 0.3 and set(got) == set(want)
+        for value, share in want.items():
+            assert got[value] == pytest.approx(share, abs=0.05), (name, value)
+
+
 def test_mixing_draws_rates_over_any_bound(spark):
     """A rare topic in a rare language of a rare source: rates multiply, far over 4."""
     docs = uneven(spark, 12_000)

@@ -74,8 +74,9 @@ def draw(id_col: str, seed: int) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 1.0, most_copies: int | None = None, rounds: int = 20, seed: int = 7) -> DataFrame:
     """One row per input row: id_col, tokens, rate, copies (how often the document is drawn; 0 if not).
 
-    The expected copies are keep * rate, and most_copies at most if that is given.  Without
-    targets each dimension's are its shares of tokens to a power.  A null source, language or topic is a
+    The expected copies are keep * rate.  Where that passes most_copies in any cell, all cells'
+    are lowered by one factor, so that the largest is most_copies and the shares stay as fitted.
+    Without targets each dimension's are its shares of tokens to a power.  A null source, language or topic is a
     value of its own, a null text has no tokens and is not drawn.  Rows that repeat an id draw
     alike.  Other columns are ignored; an empty table gives an empty result.
     """
@@ -84,10 +85,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: d
     cells = _kit.written(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     told = {name: (targets or {}).get(name) if (targets or {}).get(name) is not None else tempered(cells, name, power) for name in dims}
     rates = _kit.written(raked(cells, told, rounds).drop("tokens"), "rates")
-    few = F.broadcast(rates) if rates.count() <= MOST_BROADCAST else rates
+    cells_n, largest = rates.agg(F.count("*"), F.max("rate")).first()
+    few = F.broadcast(rates) if cells_n <= MOST_BROADCAST else rates
     expected = F.col("rate") * keep
-    if most_copies is not None:
-        expected = F.least(F.lit(float(most_copies)), expected)
+    if most_copies is not None and (largest or 0) * keep > most_copies:
+        expected = F.least(F.lit(float(most_copies)), F.col("rate") * (most_copies / largest))  # least is for rounding alone
     copies = F.floor(expected) + F.when(draw("id", seed) < expected - F.floor(expected), 1).otherwise(0)
     return rows.join(few, list(dims)).select(F.col("id").alias(id_col), "tokens", "rate", copies.cast("long").alias("copies"))
 
