@@ -9,7 +9,7 @@ at most once, packing returns the pieces of what is left.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kit
@@ -20,9 +20,18 @@ from tidemark.llm.packing import pack
 from tidemark.llm.quality_classifier import fit, resampled
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids; one row of each such id and text."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, written so that it is the same at every reading."""
+    return _kit.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _one_of_each(rows: DataFrame, grouped: DataFrame, group: str, chosen: Column) -> DataFrame:
+    """Of the rows that grouped (ROW, group) puts together the one whose number is chosen."""
+    told = grouped.select(ROW, F.col(group).alias("_group")).join(rows.select(ROW, "doc_id"), ROW)
+    return rows.join(told.groupBy("_group").agg(chosen.alias(ROW)).select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +41,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return _chosen(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts the document with the largest id; one row of it, and one without id only where none has any."""
+    rows = _numbered(docs)
+    return _one_of_each(rows, exact_dedup(rows, ROW), "keep_id", F.max_by(ROW, F.struct("doc_id", ROW)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id."""
-    return _chosen(docs, near_duplicates(docs).where("kept or doc_id is null"))
+    """Of near duplicates the document with the smallest id; one row of it, and one without id only where none has any."""
+    rows = _numbered(docs)
+    return _one_of_each(rows, near_duplicates(rows, ROW), "component_id", F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at their mixture's rates over the largest of these, so each at most once."""
-    return _chosen(docs, mix(docs, most_copies=1).where("copies > 0"))
+    own = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(_kit.text_of("text")))  # rows of one id, or of none, are drawn apart
+    drawn = mix(docs.withColumn(ROW, own), ROW, most_copies=1, carried=docs.columns).where("copies > 0")
+    return drawn.select("carried.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

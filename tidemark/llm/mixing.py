@@ -31,11 +31,11 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, Column]) -> DataFrame:
-    """(id, tokens, a column for each dimension): tokens are a quarter of a text's bytes, rounded up."""
+def measured(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], carried: list[str] | None = None) -> DataFrame:
+    """(id, tokens, a column for each dimension, a struct of those carried): tokens are a quarter of a text's bytes, rounded up."""
     text = _kit.text_of(text_col)
     tokens = F.expr(f"(octet_length(coalesce(cast(`{text_col}` as string), '')) + 3) div 4").cast("long")
-    return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(name) for name, c in dims.items()))
+    return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(name) for name, c in dims.items()), *([F.struct(*carried).alias("carried")] if carried else []))
 
 
 def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
@@ -71,17 +71,17 @@ def draw(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 1.0, most_copies: int | None = None, rounds: int = 20, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 1.0, most_copies: int | None = None, rounds: int = 20, seed: int = 7, carried: list[str] | None = None) -> DataFrame:
     """One row per input row: id_col, tokens, rate, copies (how often the document is drawn; 0 if not).
 
     The expected copies are keep * rate.  Where that passes most_copies in any cell, all cells'
     are lowered by one factor, so that the largest is most_copies and the shares stay as fitted.
     Without targets each dimension's are its shares of tokens to a power.  A null source, language or topic is a
     value of its own, a null text has no tokens and is not drawn.  Rows that repeat an id draw
-    alike.  Other columns are ignored; an empty table gives an empty result.
+    alike.  Columns to be carried come along as a struct of that name, others are ignored; an empty table gives an empty result.
     """
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(_kit.text_of(text_col))}
-    rows = measured(docs, id_col, text_col, dims)
+    rows = measured(docs, id_col, text_col, dims, carried)
     cells = _kit.written(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     told = {name: (targets or {}).get(name) if (targets or {}).get(name) is not None else tempered(cells, name, power) for name in dims}
     rates = _kit.written(raked(cells, told, rounds).drop("tokens"), "rates")
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: d
     if most_copies is not None and (largest or 0) * keep > most_copies:
         expected = F.least(F.lit(float(most_copies)), F.col("rate") * (most_copies / largest))  # least is for rounding alone
     copies = F.floor(expected) + F.when(draw("id", seed) < expected - F.floor(expected), 1).otherwise(0)
-    return rows.join(few, list(dims)).select(F.col("id").alias(id_col), "tokens", "rate", copies.cast("long").alias("copies"))
+    return rows.join(few, list(dims)).select(F.col("id").alias(id_col), "tokens", "rate", copies.cast("long").alias("copies"), *(["carried"] if carried else []))
 
 
 def mix_sql(power: float = 0.5, keep: float = 1.0, most_copies: int = 4, rounds: int = 20, seed: int = 7) -> str:
