@@ -301,7 +301,7 @@ def q35_jaccard_top2(t):
     WHERE CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) >= .35""")
 def q35b_jaccard_documents(t):
     # candidates share a word of the prefix that a pair at the threshold must share, rarest words first
-    d = t("documents").where(F.length("text") < 600).select("doc_id", "lang", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("s"))
+    d = t("documents").select("doc_id", "lang", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("s"))
     word = d.select("doc_id", "lang", F.explode("s").alias("w"))
     often = word.groupBy("lang", "w").agg(F.count("*").alias("n"))
     ranked = word.join(often, ["lang", "w"]).groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("r"))
