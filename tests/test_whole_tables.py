@@ -10,6 +10,7 @@ from tidemark.queries import ORACLE_SQL, QUERIES
 
 PARTS = {
     "q35b_jaccard_documents": " WHERE length(text) < 600",
+    "q40_grid_cross": " WHERE l_quantity > 49 AND l_discount > 0.08",
 }
 
 
