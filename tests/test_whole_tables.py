@@ -9,8 +9,10 @@ from test_catalogue import SF, TABLES, plain
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 PARTS = {
+    "q34_band_join_1d": " WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'",
     "q35b_jaccard_documents": " WHERE length(text) < 600",
     "q40_grid_cross": " WHERE l_quantity > 49 AND l_discount > 0.08",
+    "q42_pool_remaining": " WHERE c_nationkey = 7",
 }
 
 
