@@ -1,9 +1,9 @@
 """Token counts and ids of a byte-level BPE, by table lookup of pre-tokens.
 
 Texts are split into pre-tokens with array operations on their code points.  A pre-token is
-looked up by its 64-bit hash first in a broadcast table of frequent ones, then in a cache of
-the worker; what both miss is encoded by the library, once, and enters the cache.  Pre-tokens
-are never shuffled.
+looked up by a pair of 64-bit hashes first in a broadcast table of frequent ones, then in a
+cache of the worker; a hit needs both hashes.  What both miss is encoded by the library, once,
+and enters the cache.  Pre-tokens are never shuffled.
 """
 
 from __future__ import annotations
@@ -104,33 +104,38 @@ def pre_tokens(data: np.ndarray, offs: np.ndarray, splitter: Splitter) -> tuple[
 
 
 class Table:
-    """A hash table from 64-bit keys to positions, as two arrays; lookups take many keys at once."""
+    """A hash table from pairs of 64-bit hashes to positions, as arrays; lookups take many at once.
+
+    The first hash gives the place, a hit needs both: what shares one hash only is told apart.
+    """
 
     def __init__(self, bits: int) -> None:
         self.bits, self.used = bits, 0
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.keys, self.checks, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key, -1 where there is none."""
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The value of each pair, -1 where there is none."""
         out = np.full(len(keys), -1, np.int32)
         left, place, mask = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
         while len(left):
             value = self.values[place]
-            hit = (self.keys[place] == keys[left]) & (value >= 0)
+            hit = (self.keys[place] == keys[left]) & (self.checks[place] == checks[left]) & (value >= 0)
             out[left[hit]] = value[hit]
             on = ~hit & (value >= 0)
             left, place = left[on], (place[on] + 1) & mask
         return out
 
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Add distinct keys that are not there."""
+    def add(self, keys: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct pairs that are not there."""
         mask, left, place = (1 << self.bits) - 1, np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        claimed = np.full(1 << self.bits, -1, np.int64) if len(keys) else None
         while len(left):
             free = self.values[place] < 0
-            self.values[place[free]] = values[left[free]]
-            self.keys[place[free]] = keys[left[free]]
-            on = self.keys[place] != keys[left]
-            left, place = left[on], (place[on] + 1) & mask
+            claimed[place[free]] = left[free]  # of several, the last one has the place
+            won = free & (claimed[place] == left)
+            at, own = place[won], left[won]
+            self.keys[at], self.checks[at], self.values[at] = keys[own], checks[own], values[own]
+            left, place = left[~won], (place[~won] + 1) & mask
         self.used += len(keys)
 
 
@@ -139,28 +144,28 @@ class Encoder:
 
     ROOM = 20  # bits of the worker cache's table; it is emptied when half full
 
-    def __init__(self, path: str, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    def __init__(self, path: str, frequent: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         self.bpe, self.splitter, self.top = library(path), Splitter(path), None
         if frequent is not None:
             self.top = Table(max(8, int(2 * len(frequent[0])).bit_length()))
-            self.top.add(frequent[0], frequent[1])
+            self.top.add(*frequent)
         self.clear()
 
     def clear(self) -> None:
         self.cache, self.pool, self.filled, self.edges = Table(self.ROOM), np.zeros(1 << 20, np.uint32), 0, np.zeros((1 << self.ROOM) + 1, np.int64)
 
-    def _fill(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Cache places of keys, of which the spans are given; encodes what the cache lacks."""
-        place = self.cache.find(keys)
+    def _fill(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Cache places of pairs of hashes, of which the spans are given; encodes what the cache lacks."""
+        place = self.cache.find(keys, checks)
         lost = np.flatnonzero(place < 0)
         if not len(lost):
             return place
-        only, where, back = np.unique(keys[lost], return_index=True, return_inverse=True)
-        if self.cache.used + len(only) > 1 << (self.ROOM - 1):
+        where, back = _kit.distinct_pairs(keys[lost], checks[lost])
+        if self.cache.used + len(where) > 1 << (self.ROOM - 1):
             self.clear()
-            only, where, back = np.unique(keys, return_index=True, return_inverse=True)
+            where, back = _kit.distinct_pairs(keys, checks)
             lost = np.arange(len(keys))
-            while len(only) > 1 << (self.ROOM - 1):  # one slice may hold more than the cache's share
+            while len(where) > 1 << (self.ROOM - 1):  # one slice may hold more than the cache's share
                 self.ROOM += 1
                 self.clear()
         first, encode, where = self.cache.used, self.bpe._core_bpe.encode_single_piece, lost[where]
@@ -173,18 +178,18 @@ class Encoder:
         self.edges[first + 1 : first + 1 + len(lists)] = self.filled + np.cumsum(sizes)
         self.filled += total
         new = np.arange(first, first + len(lists), dtype=np.int32)
-        self.cache.add(only, new)
+        self.cache.add(keys[where], checks[where], new)
         place[lost] = new[back]
         return place
 
     def counts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of tokens of each pre-token."""
         ends = np.r_[starts[1:], len(data)]
-        keys = _kit.span_hashes(data, starts, ends)
-        out = self.top.find(keys) if self.top else np.full(len(keys), -1, np.int32)
+        keys, checks = _kit.span_hashes(data, starts, ends, pairs=True)
+        out = self.top.find(keys, checks) if self.top else np.full(len(keys), -1, np.int32)
         lost = np.flatnonzero(out < 0)
         if len(lost):
-            place = self._fill(keys[lost], data, starts[lost], ends[lost])
+            place = self._fill(keys[lost], checks[lost], data, starts[lost], ends[lost])
             out[lost] = self.edges[place + 1] - self.edges[place]
         return out
 
@@ -193,7 +198,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         ends = np.r_[starts[1:], len(data)]
-        place = self._fill(_kit.span_hashes(data, starts, ends), data, starts, ends)
+        place = self._fill(*_kit.span_hashes(data, starts, ends, pairs=True), data, starts, ends)
         begin = self.edges[place]
         size = self.edges[place + 1] - begin
         edge = np.cumsum(size) - size
@@ -272,11 +277,12 @@ def encoded(column: pa.Array, enc: Encoder, mark: int) -> Iterator[tuple[int, in
         yield row, end, ids, np.diff(edge[begins])
 
 
-def frequent_lengths(docs: DataFrame, path: str, text_col: str, entries: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of the most frequent pre-tokens in a sample of about sample_rows rows.
+def frequent_lengths(docs: DataFrame, path: str, text_col: str, entries: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of hashes and token counts of the most frequent pre-tokens in a sample of about sample_rows rows.
 
     The table is a cache: whatever it holds, counts come out the same.  It has ``entries``
-    entries at most, 12 bytes each.
+    entries at most, 20 bytes each, and the driver gets no more rows than that.  The sample's
+    size doesn't depend on the table's, so one task can sort its pre-tokens.
     """
 
     def tally(batches):
@@ -285,19 +291,20 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, entries: int, sa
             for _, _, data, offs in _kit.slices(batch["text"]):
                 starts, _, spots = _split(data, offs, enc.splitter)
                 starts, ends = np.delete(starts, spots), np.delete(np.r_[starts[1:], len(data)], spots)
-                keys = _kit.span_hashes(data, starts, ends)
+                keys, checks = _kit.span_hashes(data, starts, ends, pairs=True)
                 if len(keys):
-                    only, first, n = np.unique(keys, return_index=True, return_counts=True)
-                    place = enc._fill(only, data, starts[first], ends[first])
-                    size = enc.edges[place + 1] - enc.edges[place]
-                    for k, m, s in zip(only.view(np.int64).tolist(), n.tolist(), size.tolist(), strict=True):
-                        seen[k] = (seen.get(k, (0, 0))[0] + m, s)
+                    first, back = _kit.distinct_pairs(keys, checks)
+                    place = enc._fill(keys[first], checks[first], data, starts[first], ends[first])
+                    size, n = enc.edges[place + 1] - enc.edges[place], np.bincount(back)
+                    for k, c, m, s in zip(keys[first].view(np.int64).tolist(), checks[first].view(np.int64).tolist(), n.tolist(), size.tolist(), strict=True):
+                        seen[k, c] = (seen.get((k, c), (0, 0))[0] + m, s)
         best = sorted(seen.items(), key=lambda x: (-x[1][0], x[0]))[:entries]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.int64()), pa.array([v[0] for _, v in best], pa.int64()), pa.array([v[1] for _, v in best], pa.int32())], ["k", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((*k, *v) for k, v in best), strict=True) if best else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["k", "c", "n", "tokens"])
 
     few = docs.select(_kit.text_of(text_col).alias("text")).sample(min(1.0, sample_rows / max(1, docs.count())), seed=7)
-    rows = few.mapInArrow(tally, "k long, n long, tokens int").groupBy("k").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "k").limit(entries).collect()
-    return np.array([x["k"] for x in rows], np.int64).view(np.uint64), np.array([x["tokens"] for x in rows], np.int32)
+    sums = few.mapInArrow(tally, "k long, c long, n long, tokens int").groupBy("k", "c").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens"))
+    rows = sums.coalesce(1).orderBy(F.desc("n"), "k", "c").limit(entries).collect()
+    return tuple(np.array([x[c] for x in rows], np.int64).view(np.uint64) for c in ("k", "c")) + (np.array([x["tokens"] for x in rows], np.int32),)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 1024, entries: int = 32_768, sample_rows: int = 2_000) -> DataFrame:
@@ -305,7 +312,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ``path`` is a tokenizers file of a byte-level BPE; special strings inside texts count as
     their one token, as the library has it by default.  A null or empty text has 0 bytes and
-    tokens.  Rows stay as they are: null and repeated ids too.  Other columns are ignored.
+    tokens.  A text of any length is one slice of work by itself.  Rows stay as they are: null and repeated ids too.  Other columns are ignored.
     """
     from uuid import uuid4
 
