@@ -43,6 +43,58 @@ def test_near(spark):
     assert by_repr(got) == by_repr(want)
 
 
+def thue_morse(n):
+    """A word of 2 ** n letters a and b, and the same with the letters swapped."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_words_that_polynomials_confuse(spark):
+    """Sums of letters times powers of an odd number modulo 2 ** 64 are equal for these words."""
+    found = []
+    for size in (8, 11, 12):
+        one, other = thue_morse(size)
+        found += [(len(found), f"{one} x y", "en", "a", 0), (len(found) + 1, f"{other} x y", "en", "a", 0)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, found)).collect()}
+    assert got == {i: i for i in range(6)}
+
+
+def test_near_large_buckets(spark, monkeypatch):
+    """Buckets over a bound are parted by a second band, blocks are many, and all keys are hot."""
+    for name, value in (("minhash.BIG", 2), ("minhash.BLOCK", 2), ("_kit.HOT_ROWS", 2), ("_kit.HOT_SHARE", 0.0001)):
+        monkeypatch.setattr(f"tidemark.llm.{name}", value)
+    rng = np.random.default_rng(5)
+    common, found = [f"w{x}" for x in rng.integers(0, 9999, 120)], []
+    for i in range(60):  # documents that share most of a passage, in groups of nearer ones
+        if i % 4 == 0:
+            own = [f"o{x}" for x in rng.integers(0, 9999, 40)]
+        found.append((i, " ".join(common + own + [f"i{i}"]), "en", "a", 0))
+    want = [(d, n, c) for d, n, c in near(found)]
+    assert 1 < len({c for _, _, c in want}) < 60
+    got = minhash.near_duplicates(table(spark, found)).select("doc_id", "n_shingles", "component_id").collect()
+    assert by_repr(got) == by_repr(want)
+
+
+def test_near_recall(spark):
+    """Pairs at and above the threshold, of several lengths: none is lost, none is linked below it."""
+    rng = np.random.default_rng(11)
+    found = []
+    for i in range(700):
+        n = int(rng.choice([12, 24, 60, 150]))
+        w = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        found.append((2 * i, " ".join(w), "en", "a", 0))
+        for at in rng.choice(n, max(1, n // 40), replace=False):
+            w[at] = f"v{i}-{at}"
+        found.append((2 * i + 1, " ".join(w), "en", "a", 0))
+    sets = lambda t: {tuple(x) for x in zip(*(t.split()[k:] for k in range(5)))}
+    alike = [(a, b) for (a, s, *_), (b, t, *_) in zip(found[::2], found[1::2]) if 100 * len(sets(s) & sets(t)) >= 75 * len(sets(s) | sets(t))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(found, SCHEMA)).collect()}
+    assert 200 < len(alike) < 650
+    assert {d: c for d, c in got.items() if d != c} == {b: a for a, b in alike}
+
+
 def test_near_chain(spark):
     """Each text is near the next only: links have to be followed, and a bucket's first isn't near all."""
     rng = np.random.default_rng(2)
@@ -67,10 +119,11 @@ def test_superminhash_estimates_similarity():
     assert all(sorted(slots[:, i]) == list(range(128)) for i in range(50))
 
 
-@pytest.mark.parametrize("one_task", [10**6, 0])
-def test_components(spark, one_task):
+@pytest.mark.parametrize("held", [10**6, 3])
+def test_components(spark, held):
+    """Links in several partitions, and in tasks that hold few of them at once."""
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 200), (200, 300), (5, 5), (None, 3)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), one_task=one_task).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long").repartition(5), held=held).collect()}
     want = {i: i // 20 * 20 for i in range(60) if i % 20} | {200: 100, 300: 100}
     assert got == want
 

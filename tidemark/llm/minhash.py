@@ -4,24 +4,28 @@ A SuperMinHash signature gives each element of a set its own permutation of the
 element's value in a slot is its rank there plus a random fraction.  Ranks are dealt level by
 level, and a document stops as soon as no later level can lower any slot.  Documents of equal
 shingle sets are one class.  Classes that share a band of slots are candidates, unless four
-bits of each slot tell that they can't be similar enough.  In rounds, each bucket's members are
-compared with one of them drawn at random, as long as that joins components; so a bucket of
-many copies costs pairs in proportion to its size.  The candidates that are then still in
-different components are all compared, within the join.  Links are confirmed on full sets.
+bits of each slot tell that they can't be similar enough.  First each bucket's members are
+compared with the one of them that has most company in all its buckets; so a bucket of many
+copies costs pairs in proportion to its size.  Members that are then still in different
+components are all compared, by ids and bits alone; buckets with many of them are parted by a
+second band first.  Links are confirmed on the full sets of both texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kit
 from tidemark.llm.components import components
 
 SLOTS, ROWS = 128, 4  # slots in a signature (a power of two), slots in a band
-ROUNDS = 3  # of comparisons with a random member, at most
+BIG = 1000  # members left in a bucket from which a second band parts it
+BLOCK = 1000  # members of a bucket that one task compares with all others of it
 _HIGH = np.uint64(32)
 
 
@@ -30,27 +34,34 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each row's distinct shingles, sorted, and where each row's begin (rows + 1)."""
+def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct shingles, and where each row's begin (rows + 1).
+
+    A shingle is a pair of 64-bit hashes, given as two arrays; a row's are sorted by the first.
+    """
     starts, ends, begins = _kit.words(data, offs)
-    h = _kit.span_hashes(data, starts, ends)
+    h = _kit.span_hashes(data, starts, ends, pairs=True)
     rows = len(offs) - 1
     size = np.diff(begins)
     row = np.repeat(np.arange(rows), size)
-    wide = _kit.sequence_hashes(h, width)
-    whole = row[: len(wide)] == row[width - 1 :] if len(wide) else np.zeros(0, bool)
-    value, owner = wide[whole], row[: len(wide)][whole]
+    wide = [_kit.sequence_hashes(x, width, seed) for x, seed in zip(h, _kit.SEEDS, strict=True)]
+    whole = row[: len(wide[0])] == row[width - 1 :] if len(wide[0]) else np.zeros(0, bool)
+    pair, owner = [x[whole] for x in wide], row[: len(wide[0])][whole]
     short = np.flatnonzero((size > 0) & (size < width))
     if len(short):
-        one = np.array([_kit.sequence_hashes(h[begins[i] : begins[i + 1]], int(size[i]))[0] for i in short], np.uint64)
-        value, owner = np.r_[value, one], np.r_[owner, short]
-    order = np.argsort(value)
+        one = [np.array([_kit.sequence_hashes(x[begins[i] : begins[i + 1]], int(size[i]), seed)[0] for i in short], np.uint64) for x, seed in zip(h, _kit.SEEDS, strict=True)]
+        pair, owner = [np.r_[x, y] for x, y in zip(pair, one, strict=True)], np.r_[owner, short]
+    order = np.argsort(pair[0])
     order = order[np.argsort(owner[order].astype(np.uint16 if rows < 1 << 16 else np.int64), kind="stable")]
-    value, owner = value[order], owner[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[new], owner[new]
-    return value, np.searchsorted(owner, np.arange(rows + 1))
+    (value, check), owner = (x[order] for x in pair), owner[order]
+    same = np.zeros(len(value), bool)
+    same[1:] = (value[1:] == value[:-1]) & (owner[1:] == owner[:-1])
+    if (same[1:] & (check[1:] != check[:-1])).any():  # one first hash of two shingles
+        order = np.lexsort((check, value, owner))
+        value, check, owner = value[order], check[order], owner[order]
+        same[1:] = (value[1:] == value[:-1]) & (check[1:] == check[:-1]) & (owner[1:] == owner[:-1])
+    value, check, owner = value[~same], check[~same], owner[~same]
+    return value, check, np.searchsorted(owner, np.arange(rows + 1))
 
 
 def _slot(value: np.ndarray, level: int, slots: int) -> np.ndarray:
@@ -83,14 +94,14 @@ def signatures(value: np.ndarray, begins: np.ndarray, slots: int = SLOTS) -> np.
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, fp, bands, bits) per row: size and 128-bit fingerprint of the shingle set (null if
+    """(id, n, fp, bands, bits) per row: size and 128-bit digest of the shingle set (null if
     empty), its band keys, and four bits of each slot."""
     source = docs.select(F.col(id_col).alias("id"), _kit.text_of(text_col).alias("text"))
 
     def made(batches):
         for batch in batches:
             for row, end, data, offs in _kit.slices(batch["text"]):
-                value, begins = shingle_sets(lowered(data), offs, width)
+                value, check, begins = shingle_sets(lowered(data), offs, width)
                 size = np.diff(begins)
                 full = np.flatnonzero(size)
                 sign = signatures(value, begins)[full]
@@ -102,62 +113,62 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     bands[:, i] = h
                 few = _kit.mixed(sign.reshape(-1, 16)) & np.uint64(15)
                 bits = (few << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
-                fp = np.zeros((len(size), 2), np.uint64)
-                if len(full):
-                    at = begins[full]
-                    fp[full, 0] = np.add.reduceat(_kit.mixed(value), at)
-                    fp[full, 1] = np.add.reduceat(_kit.mixed(value ^ _kit.ODD), at)
-                packed = fp.astype("<u8").tobytes()
+                fp = [hashlib.blake2b(value[a:b].tobytes() + check[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
                 per = np.where(size > 0, SLOTS // ROWS, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(row, end - row), pa.array(size.astype(np.int64)), pa.array([packed[16 * i : 16 * i + 16] if n else None for i, n in enumerate(size.tolist())], pa.binary()), _kit.ragged(bands.ravel().view(np.int64), per, pa.int64()), _kit.ragged(bits.view(np.int64), np.where(size > 0, SLOTS // 16, 0), pa.int64())],
+                    [batch["id"].slice(row, end - row), pa.array(size.astype(np.int64)), pa.array(fp, pa.binary()), _kit.ragged(bands.ravel().view(np.int64), per, pa.int64()), _kit.ragged(bits.view(np.int64), np.where(size > 0, SLOTS // 16, 0), pa.int64())],
                     ["id", "n", "fp", "bands", "bits"],
                 )
 
     return source.mapInArrow(made, f"id {source.schema['id'].dataType.simpleString()}, n long, fp binary, bands array<long>, bits array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles) of the rows whose ids are given."""
-    source = docs.select(F.col(id_col).alias("id"), _kit.text_of(text_col).alias("text")).join(ids, "id", "left_semi")
-
-    def made(batches):
-        for batch in batches:
-            for row, end, data, offs in _kit.slices(batch["text"]):
-                value, begins = shingle_sets(lowered(data), offs, width)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(row, end - row), _kit.ragged(value.view(np.int64), np.diff(begins), pa.int64())], ["id", "shingles"])
-
-    return source.mapInArrow(made, f"id {source.schema['id'].dataType.simpleString()}, shingles array<long>")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union, on full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
-    return found.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b), with set sizes na and nb, of which 100 * intersection >= percent * union, on full sets.
 
+    texts has (id, text).  Where an id has several texts, those count whose set has the size told.
+    """
+    both = looked_up(looked_up(pairs, "a", texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))), "b", texts.select(F.col("id").alias("b"), F.col("text").alias("tb")))
 
-def _alike(x: str, y: str, percent: int):
-    """Whether two classes (structs of n and bits) may reach the similarity, by sizes and by the
-    slots' bits; three pairs in 100,000 at the very threshold are lost to the bits."""
+    def compare(batches):
+        for batch in batches:
+            for row, end, data, offs in _kit.slices(batch["ta"]):
+                part = batch.slice(row, end - row)
+                left, lc, lb = shingle_sets(lowered(data), offs, width)
+                other, at_other = _kit.raw(part["tb"])
+                right, rc, rb = shingle_sets(lowered(other[at_other[0] : at_other[-1]]), at_other - at_other[0], width)
+                keep = []
+                for i, (na, nb) in enumerate(zip(part["na"].to_pylist(), part["nb"].to_pylist(), strict=True)):
+                    x, y = slice(lb[i], lb[i + 1]), slice(rb[i], rb[i + 1])
+                    _, at, to = np.intersect1d(left[x], right[y], assume_unique=True, return_indices=True)
+                    n = int((lc[x][at] == rc[y][to]).sum())
+                    keep.append(lb[i + 1] - lb[i] == na and rb[i + 1] - rb[i] == nb and n * 100 >= (na + nb - n) * percent)
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
+def looked_up(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
+    """pairs with the columns of table, which has one row for each value of side; a value that very
+    many pairs have is dealt over many tasks."""
+    salt, salts = _kit.salted(pairs.groupBy(side).agg(F.count("*").alias("_pairs")), side, "_pairs")
+    many = pairs.withColumn("_dealt", F.xxhash64("a", "b")).withColumn("_salt", salt).drop("_dealt")
+    return many.join(table.withColumn("_salt", F.explode(salts)), [side, "_salt"]).drop("_salt")
+
+
+def _alike(n: Column, bits: Column, other_n: Column, other_bits: Column, percent: int) -> Column:
+    """Whether two classes may reach the similarity, by sizes and by the slots' bits; three pairs in
+    100,000 at the very threshold are lost to the bits."""
     chance = percent / 100 + (1 - percent / 100) / 16
     most = int(SLOTS * (1 - chance) + 4.0 * (SLOTS * chance * (1 - chance)) ** 0.5) + 1
     unlike = F.lit(0)
     for i in range(SLOTS // 16):
-        z = F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])
+        z = bits[i].bitwiseXOR(other_bits[i])
         for k in (1, 2):  # the lowest of each four bits: whether any of them differs
             z = z.bitwiseOR(F.shiftrightunsigned(z, k))
         unlike = unlike + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (unlike <= most)
-
-
-def _pairs(found: DataFrame) -> DataFrame:
-    """Pairs of structs x and y as distinct (a, b), a < b."""
-    x, y = F.col("x.rep"), F.col("y.rep")
-    return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+    return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent) & (unlike <= most)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -167,47 +178,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle, a null text or one without words has none and is linked with nothing.  Rows are
     linked at a Jaccard similarity of ``percent`` hundredths or more, and component_id is the
     smallest id that links reach.  Two sets at a threshold of 75 share a bucket with a probability
-    of 0.999995 (32 bands of 4 slots), closer ones with a higher one.  Rows with a null id are
-    not compared: their component_id is null and kept is false.  Rows that repeat id and text
-    are one document; ids are expected to be unique otherwise.  Other columns are ignored.
+    of 0.999995 (32 bands of 4 slots), closer ones with a higher one; where a bucket has over
+    ``BIG`` members that are in no component with each other, two of them meet if they share a
+    second band too.  Rows with a null id are not compared: their component_id is null and kept
+    is false.  Rows that repeat id and text are one document; ids are expected to be unique
+    otherwise, and rows of one id with different texts go each with its own text's component.
+    Texts may be of any length.  Other columns are ignored; an empty table gives an empty result.
     """
     made = _kit.written(features(docs, id_col, text_col, width), "features")
-    classes = made.where("fp is not null and id is not null").groupBy("fp", "n", "bands", "bits").agg(F.min("id").alias("rep"))
+    classes = made.where("fp is not null and id is not null").groupBy("fp", "n", "bands", "bits").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    classes = _kit.written(classes, "classes")
     keyed = classes.select("rep", F.explode("bands").alias("band"))  # ids alone, until buckets of one are gone
-    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    told = classes.select("rep", F.struct("rep", "n", "bits").alias("x"))
-    member = _kit.written(keyed.join(shared, "band").join(told, "rep").select("band", "x"), "buckets")
-    sets = _kit.written(full_sets(docs, member.select(F.col("x.rep").alias("id")).distinct(), id_col, text_col, width), "sets")
-    links, label, told = None, None, member.withColumn("part", F.col("x.rep"))
-    for turn in range(ROUNDS):
-        drawn = told.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "x.rep", F.lit(turn)).alias("order"), "x", "part")).alias("one"))
-        stars = told.join(drawn.select("band", F.col("one.x").alias("y"), F.col("one.part").alias("other")), "band").where((F.col("part") != F.col("other")) & _alike("x", "y", percent))
-        new = _kit.written(confirmed(_pairs(stars), sets, percent), "links")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        label = components(links)
-        told = member.join(label, F.col("x.rep") == F.col("node"), "left").select("band", "x", F.coalesce("label", "x.rep").alias("part"))
-        apart = told.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("band")
-        told = _kit.written(told.join(apart, "band", "left_semi"), "apart")
-        across = told.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        pairs, members = across.agg(F.coalesce(F.sum(F.expr("(all * all - same) div 2")), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if pairs <= 2 * members:
-            break
-    # here the full sets come along, so that of the remaining pairs only those linked are made, in
-    # the first band they share
-    known = classes.select("rep", "bands").join(sets, F.col("rep") == F.col("id")).select("id", "bands", "shingles")
-    left = told.join(known, F.col("x.rep") == F.col("id")).select("band", "x", "part", "shingles", F.array_position("bands", F.col("band")).alias("place"), "bands")
-    right = left.select(F.col("band").alias("same"), F.col("x").alias("y"), F.col("part").alias("other"), F.col("shingles").alias("others"), F.col("bands").alias("bands_y"))
-    before = lambda c: F.slice(c, F.lit(1), F.col("place").cast("int") - 1)
-    linked = F.size(F.array_intersect("shingles", "others")) * (100 + percent) >= (F.size("shingles") + F.size("others")) * percent
-    cross = left.join(right, (F.col("band") == F.col("same")) & (F.col("part") < F.col("other")) & _alike("x", "y", percent) & ~F.arrays_overlap(before("bands"), before("bands_y")) & linked)
-    more = _kit.written(_pairs(cross), "links")
-    if not more.isEmpty():
-        label = components(more if links is None else links.union(more))
-    named = classes.select("fp", F.col("rep").alias("component"))
-    if label is not None:
-        named = classes.join(label, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("label", "rep").alias("component"))
-    out = made.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
+    shared = _kit.written(keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    salt, salts = _kit.salted(shared, "band", "members")
+    dealt = lambda rows: rows.withColumn("_dealt", F.xxhash64("rep")).withColumn("_salt", salt).drop("_dealt")
+    spread = lambda buckets: buckets.withColumn("_salt", F.explode(salts))
+    in_bucket = lambda rows, buckets: dealt(rows).join(spread(buckets), ["band", "_salt"]).drop("_salt")
+    member = _kit.written(in_bucket(keyed, shared), "buckets")
+    company = member.groupBy("rep").agg(F.sum("members").alias("company"))
+    told = _kit.written(classes.join(company, "rep").select("rep", "n", "bits", "bands", "company"), "members")
+    few = _kit.written(told.select(F.col("rep").alias("id")), "ids")
+    source = docs.select(F.col(id_col).alias("id"), _kit.text_of(text_col).alias("text"))
+    texts = _kit.written(source.join(few, "id", "left_semi").distinct(), "texts")  # of rows in shared buckets
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs (a, b) that are links."""
+        side = lambda x: told.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+        pairs = _kit.written(pairs, "pairs")
+        alike = looked_up(looked_up(pairs, "a", side("a")), "b", side("b")).where(_alike(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"), percent))
+        alike = _kit.written(alike.select("a", "b", "na", "nb"), "alike")
+        found = _kit.written(confirmed(alike, texts, width, percent), "links")
+        _kit.dropped(pairs, alike)
+        return found
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    lead = member.join(told.select("rep", "company"), "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", "rep")).alias("lead"))
+    links = compared(in_bucket(member, lead).where("rep != lead").select(*pair("rep", "lead")).distinct())
+    label = components(links)
+    parts = member.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("part"))
+    apart = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("left"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(key, "left")
+    parts = _kit.written(in_bucket(parts, _kit.written(apart(parts, "band"), "apart")), "parts")
+    other = F.explode(F.array_except(F.col("bands"), F.array("band")))
+    second = parts.where(F.col("left") > BIG).drop("left").join(told.select("rep", "bands"), "rep").select("rep", "part", "band", other.alias("other"))
+    keys = parts.where(F.col("left") <= BIG).select(F.col("band").alias("key"), "rep", "part").union(second.select(F.xxhash64("band", "other").alias("key"), "rep", "part"))
+    # every member of a bucket meets every other in one of the bucket's blocks
+    rows = keys.join(apart(keys, "key"), "key").join(told.select("rep", "n", "bits"), "rep").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
+    rows = _kit.written(rows, "rows")
+    one = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    all_ = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_2") for c in ("rep", "part", "n", "bits")))
+    cross = one.join(all_, ["key", "block"]).where((F.col("part") < F.col("part_2")) & _alike(F.col("n"), F.col("bits"), F.col("n_2"), F.col("bits_2"), percent))
+    label = components(links.union(compared(cross.select(*pair("rep", "rep_2")).distinct())))
+    named = _kit.written(classes.join(label, F.col("rep") == F.col("node"), "left").select("fp", "rows", F.coalesce("label", "rep").alias("component")), "named")
+    _kit.dropped(shared, member, told, few, texts, parts, rows)
+    by_fp, each = _kit.salted(named, "fp", "rows")
+    out = made.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp"), F.xxhash64("id").alias("_dealt")).withColumn("_salt", F.coalesce(by_fp, F.lit(0)))
+    out = out.join(named.select("fp", "component", F.explode(each).alias("_salt")), ["fp", "_salt"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
