@@ -12,8 +12,10 @@ from tidemark.llm.substring import without_repeats as cut
 
 
 @pytest.mark.parametrize("digest_bytes", [16, 1])
-def test_exact(spark, digest_bytes):
-    """Digests of one byte collide, which the chunks' contents must settle."""
+def test_exact(spark, digest_bytes, monkeypatch):
+    """Digests of one byte collide, which the chunks' contents must settle; all groups are hot."""
+    monkeypatch.setattr("tidemark.llm._kit.HOT_ROWS", 2)
+    monkeypatch.setattr("tidemark.llm._kit.HOT_SHARE", 0.0001)
     found = rows()
     count = Counter(r[1] or "" for r in found)
     top = {}
@@ -133,9 +135,11 @@ def test_substring(spark):
     assert by_repr(got) == by_repr(without_repeats(rows()))
 
 
-def test_substring_hot(spark, monkeypatch):
-    """Minimisers with many runs are dealt by windows; the result is the same."""
-    monkeypatch.setattr("tidemark.llm.substring.HOT", 2)
+@pytest.mark.parametrize("held", [10**6, 3])
+def test_substring_hot(spark, monkeypatch, held):
+    """Minimisers with many runs are dealt by windows, hot keys over tasks; the result is the same."""
+    for name, value in (("substring.HOT", 2), ("substring.HELD", held), ("_kit.HOT_ROWS", 2), ("_kit.HOT_SHARE", 0.0001)):
+        monkeypatch.setattr(f"tidemark.llm.{name}", value)
     got = cut(table(spark)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
     assert by_repr(got) == by_repr(without_repeats(rows()))
 

@@ -63,7 +63,11 @@ def _pieces(text: bytes, ends: list[int]) -> list[bytes]:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 12, digest_bytes: int = 16) -> DataFrame:
-    """(id, text_sha256, recipe) per row; recipe is the ordered list of verified chunk identifiers."""
+    """(id, text_sha256, recipe) per row; recipe is the ordered list of verified chunk identifiers.
+
+    The texts are read twice: for their chunks, whose contents are compared under their digests,
+    and for their recipes.  Where contents differ under a digest, a third reading numbers them.
+    """
     source = docs.select(F.col(id_col).alias("id"), _kit.text_of(text_col).alias("text"))
     key = source.schema["id"].dataType.simpleString()
 
@@ -103,6 +107,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     shared = distinct.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1").select("digest")
     shared = _kit.written(shared, "digests")  # digests of more than one content; none, as a rule
     if shared.isEmpty():
+        _kit.dropped(shared)
         return source.mapInArrow(lists, f"id {key}, text_sha256 string, recipe binary")
     ranked = distinct.join(shared, "digest", "left_semi").select("digest", "chunk", F.row_number().over(Window.partitionBy("digest").orderBy("chunk")).alias("ordinal"))
     named = source.mapInArrow(rows, f"row string, id {key}, text_sha256 string, pos long, digest binary, chunk binary").join(ranked, ["digest", "chunk"], "left")
@@ -116,8 +121,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with identical texts the largest id stays.  A null text is the empty text; empty
     texts are equal to each other.  Null ids are smaller than all others: a group without any
     id has a null keep_id.  Rows that repeat an id with the same text count in group_size and
-    share their flag.  Other columns are ignored.  An empty table gives an empty result.
+    share their flag.  Texts may be of any length.  Other columns are ignored.  An empty table
+    gives an empty result.
     """
-    made = recipes(docs, id_col, text_col, bits, digest_bytes)
+    made = _kit.written(recipes(docs, id_col, text_col, bits, digest_bytes), "recipes")
     groups = made.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return made.join(groups, "recipe").select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = _kit.written(groups.where("group_size > 1"), "groups")  # a text of its own is its own group
+    salt, salts = _kit.salted(groups, "recipe", "group_size")
+    rows = made.withColumn("_dealt", F.xxhash64("id")).withColumn("_salt", F.coalesce(salt, F.lit(0))).join(groups.withColumn("_salt", F.explode(salts)), ["recipe", "_salt"], "left")
+    keep, size = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1).cast("long"))
+    return rows.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256")

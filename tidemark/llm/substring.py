@@ -5,12 +5,14 @@ sequences, leftmost first.  Consecutive windows with the minimiser at one place
 (a super-k-mer).  Equal windows have equal minimisers, so a minimiser of one run alone needs
 no more work: only runs of repeated minimisers travel, each as one packed string of words, to
 their minimiser's bucket.  There the windows are compared word by word.  Runs of a minimiser
-with very many runs are dealt by their windows instead, so no bucket grows with a common
-passage.  Texts that are equal as a whole are one text with a number of copies.
+with very many runs are dealt by their windows instead, and a task sends a window of these once
+however often it meets it, so a bucket gets no more of a common passage than there are tasks.
+Texts that are equal as a whole are one text with a number of copies.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _kit
 
 HOT = 8192  # runs from which a minimiser's windows are dealt one by one
+HELD = 50_000  # such windows that a task remembers at once
 
 
 def runs(data: np.ndarray, offs: np.ndarray, width: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,11 +53,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("key"), text.alias("text")).where("key is not null")
 
 
-def repeated_spans(texts: DataFrame, width: int = 35, part: int = 6) -> DataFrame:
-    """(key, copies, spans) of each text of keyed() that repeats as a whole or has windows that repeat.
+def repeated_spans(texts: DataFrame, copies: DataFrame, width: int = 35, part: int = 6) -> DataFrame:
+    """(key, salt, copies, spans) of each text of keyed() that repeats as a whole or has windows that repeat.
 
     spans are the word ranges [begin, end) that windows found elsewhere, or at another place of
-    the text, cover.
+    the text, cover.  copies has (key, copies, low, salts): a text's rows, their smallest id, and
+    the salts over which its rows are dealt, which have a row each.
     """
 
     def light(batches):
@@ -63,18 +67,34 @@ def repeated_spans(texts: DataFrame, width: int = 35, part: int = 6) -> DataFram
                 r, first, n, value = runs(data, offs, width, part)
                 yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(r + row)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(value.view(np.int64))], ["key", "first", "n", "mini"])
 
-    def packed(batches):
+    def packed(batches, held):
+        seen: dict[bytes, tuple | bool] = {}  # windows of hot runs: where each was met first, or that it was sent on
         for batch in batches:
             out = [[], [], [], [], []]
             batch = batch.filter(batch["first"])  # as a condition it would part this join's shuffle from the last one's
             for key, body, own in zip(*(batch[x].to_pylist() for x in ("key", "text", "runs")), strict=True):
                 word = body.encode().split()
+                found = []
                 for run in own:
-                    each = ((run["first"] + i, 1) for i in range(run["n"])) if run["hot"] else ((run["first"], run["n"]),)
-                    for first, n in each:
-                        string = b" ".join(word[first : first + n + width - 1])
-                        for x, y in zip(out, (key, first, n, xxhash.xxh3_64_intdigest(string) - (1 << 63) if run["hot"] else run["mini"], string), strict=True):
-                            x.append(y)
+                    if not run["hot"]:
+                        found.append((run["first"], run["n"], run["mini"], b" ".join(word[run["first"] : run["first"] + run["n"] + width - 1])))
+                        continue
+                    if len(seen) > held:
+                        seen.clear()
+                    for first in range(run["first"], run["first"] + run["n"]):
+                        window = b" ".join(word[first : first + width])
+                        before = seen.setdefault(window, (key, first))
+                        if before == (key, first):  # met for the first time, or a row that repeats
+                            found.append((first, 1, xxhash.xxh3_64_intdigest(window) - (1 << 63), window))
+                        else:  # it repeats, whatever other tasks hold; what was met first hears of it from here
+                            found.append((first, 1, xxhash.xxh3_64_intdigest(key) - (1 << 63), None))
+                            if before is not True:
+                                found.append((before, 1, xxhash.xxh3_64_intdigest(before[0]) - (1 << 63), None))
+                                seen[window] = True
+                for first, n, bucket, string in found:
+                    whose, first = first if isinstance(first, tuple) else (key, first)
+                    for x, y in zip(out, (whose, first, n, bucket, string), strict=True):
+                        x.append(y)
                 if len(out[0]) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
                     out = [[], [], [], [], []]
@@ -90,6 +110,9 @@ def repeated_spans(texts: DataFrame, width: int = 35, part: int = 6) -> DataFram
             for key, first, n, bucket, string in zip(*(batch[x].to_pylist() for x in names), strict=True):
                 if bucket != at:
                     at, seen = bucket, {}
+                if string is None:  # told already
+                    out.append((key, first, first + n + width - 1))
+                    continue
                 edge = [0, *(i + 1 for i, c in enumerate(string) if c == 32), len(string) + 1]
                 begin = None
                 for i in range(n):
@@ -111,14 +134,16 @@ def repeated_spans(texts: DataFrame, width: int = 35, part: int = 6) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["key", "begin", "end"])
 
     found = texts.select("key", "text").mapInArrow(light, "key binary, first int, n int, mini long")
-    many = found.groupBy("mini").agg(F.count("*").alias("runs")).where("runs > 1")
-    copies = texts.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("low"))
+    many = _kit.written(found.groupBy("mini").agg(F.count("*").alias("runs")).where("runs > 1"), "minimisers")
+    salt, salts = _kit.salted(many, "mini", "runs")
+    dealt = found.withColumn("_dealt", F.xxhash64("key", "first")).withColumn("_salt", salt).join(many.withColumn("_salt", F.explode(salts)), ["mini", "_salt"])
     # of a text's copies the one with the smallest id goes on, here and below
-    travel = found.join(many, "mini").groupBy("key").agg(F.collect_set(F.struct("first", "n", "mini", (F.col("runs") >= HOT).alias("hot"))).alias("runs"))
-    body = texts.join(copies.select("key", "low").join(travel, "key"), "key").select("key", "text", "runs", F.col("id").eqNullSafe(F.col("low")).alias("first"))
-    dealt = body.mapInArrow(packed, "key binary, first int, n int, bucket long, string binary").repartition("bucket").sortWithinPartitions("bucket")
-    spans = dealt.mapInArrow(counted, "key binary, begin int, end int").groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    return copies.select("key", "copies").join(spans, "key", "left").where("copies > 1 or spans is not null")
+    travel = dealt.groupBy("key").agg(F.collect_set(F.struct("first", "n", "mini", (F.col("runs") >= HOT).alias("hot"))).alias("runs"))
+    body = texts.join(copies.join(travel, "key").select("key", "low", "runs", F.explode("salts").alias("salt")), ["key", "salt"]).select("key", "text", "runs", F.col("id").eqNullSafe(F.col("low")).alias("first"))
+    strings = body.mapInArrow(functools.partial(packed, held=HELD), "key binary, first int, n int, bucket long, string binary").repartition("bucket").sortWithinPartitions("bucket")
+    spans = strings.mapInArrow(counted, "key binary, begin int, end int").groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    told = copies.join(spans, "key", "left").where("copies > 1 or spans is not null")
+    return told.select("key", "copies", "spans", F.explode("salts").alias("salt"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, part: int = 6) -> DataFrame:
@@ -128,10 +153,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same text or another, is removed; kept_text is the other words joined by one space.
     Windows are judged on the input.  A null text has no words; texts of fewer than ``width``
     words lose nothing.  Rows that repeat a text are places of their own.  Ids may be null or
-    repeat.  Other columns are ignored.
+    repeat.  Texts may be of any length.  Other columns are ignored; an empty table gives an
+    empty result.
     """
     source = keyed(docs, id_col, text_col)
-    told = repeated_spans(source, width, part)
+    copies = _kit.written(source.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("low")), "copies")
+    salt, salts = _kit.salted(copies, "key", "copies")
+    source = source.withColumn("_dealt", F.xxhash64("id")).withColumn("salt", salt).drop("_dealt")
+    told = repeated_spans(source, copies.withColumn("salts", salts), width, part)
 
     def cut(batches):
         for batch in batches:
@@ -150,5 +179,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(b" ".join(word))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    out = source.join(told, "key", "left").select("id", "text", "copies", "spans").mapInArrow(cut, f"id {source.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
+    out = source.join(told, ["key", "salt"], "left").select("id", "text", "copies", "spans").mapInArrow(cut, f"id {source.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("id", id_col)
