@@ -2,7 +2,8 @@
 
 Each rule is evaluated once per document from measurements; its verdict is one bit.  A policy
 is a named, versioned mask of bits that reject.  Changing a policy or asking what a rule
-alone removes touches the ledger only, never the texts.  All of it is SQL functions.
+alone removes touches the ledger only, never the texts; the ledger can be stored and read
+again.  All of it is SQL functions.
 """
 
 from __future__ import annotations
@@ -56,15 +57,14 @@ BASE = Policy("base", 1, ("few_words", "repeated_words"))
 STANDARD = Policy("standard", 1, ("few_words", "repeated_words", "symbols", "repeated_lines", "long_words"))
 
 
-def _covered(windows: str, count: str, width: int) -> str:
-    """Words covered by windows that occur twice or more: SQL over an array of window values.
+def _repeated(found: str) -> str:
+    """SQL: places whose value comes up twice or more, in order, from an array of structs (value h, place i)."""
+    near = "zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (x, y) -> if(x.h = y.h, array(x.i, y.i), cast(array() as array<int>)))"
+    return f"array_sort(array_distinct(flatten(flatten(transform(array(array_sort({found})), s -> if(size(s) < 2, cast(array() as array<array<int>>), {near}))))))"
 
-    Windows and their places are sorted by value; a place is marked if a neighbour has the
-    same value.  The marked places in order then add what each covers beyond the one before.
-    """
-    order = f"array_sort(zip_with({windows}, sequence(0, {count} - 1), (h, i) -> struct(h, i)))"
-    near = f"zip_with(slice(s, 1, {count} - 1), slice(s, 2, {count} - 1), (x, y) -> if(x.h = y.h, array(x.i, y.i), cast(array() as array<int>)))"
-    places = f"array_sort(array_distinct(flatten(transform(array({order}), s -> flatten({near})))))"
+
+def _covered(places: str, width: int) -> str:
+    """SQL: how many words windows at these places, in order, cover: each adds what lies beyond the one before."""
     return f"cast(aggregate({places}, struct(0L as n, 0 as next), (a, i) -> struct(a.n + (i + {width} - greatest(i, a.next)) as n, i + {width} as next), a -> a.n) as bigint)"
 
 
@@ -90,8 +90,10 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(f"transform(arrays_zip({parts}), x -> xxhash64(x))").alias("h"),
     )
-    exact = f"transform(sequence(1, size(h)), i -> array_join(slice(w, i, {width}), ' '))"
-    repeat = F.expr(f"if(size(array_distinct(h)) = size(h), 0L, {_covered(exact, 'size(h)', width)})")
+    # places whose hashes repeat are few; only their windows are built and compared
+    alike = _repeated("zip_with(h, sequence(0, size(h) - 1), (h, i) -> struct(h, i))")
+    exact = f"transform({alike}, i -> struct(array_join(slice(w, i + 1, {width}), ' ') as h, i as i))"
+    repeat = F.expr(f"if(size(array_distinct(h)) = size(h), 0L, {_covered(_repeated(exact), width)})")
     return hashed.select("id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeat.alias("n_repeat_words"))
 
 
@@ -99,7 +101,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """One row per input row: id_col, the measurements, and failed, a mask of the rules that fail.
 
     A null text has no words.  Empty texts measure 0 throughout.  Null and repeated ids stay
-    as they are; other columns are ignored.
+    as they are; texts may be of any length that a row can have.  Other columns are ignored; an
+    empty table gives an empty result.
     """
     bits: Column = F.lit(0).cast("long")
     for rule in rules:
