@@ -103,3 +103,53 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality_rules.quality_rules(empty).count() == 0
     assert mixing.mix(empty).count() == 0
+
+
+def test_classifier_matches_brute_force(spark):
+    """Scores and kept set by plain Python sums over the same hash of words and pairs."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from tidemark.llm import _kit
+
+    buckets, found = 512, [r for r in rows() if r[0] is not None][:-1]
+    labels = [(i, int(i % 10 != 3)) for i in range(0, 120)]
+
+    def grams(text):
+        w = words(text)
+        if not w:
+            return []
+        h = np.concatenate([_kit.span_hashes(b := np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(b)])) for x in w])
+        return [int(x >> np.uint64(20)) % buckets for x in (*h, *_kit.sequence_hashes(h, 2))]
+
+    docs = spark.createDataFrame(found, SCHEMA)
+    sampler, keys = quality_classifier.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), buckets=buckets)
+    order = [r.id for r in spark.createDataFrame(labels, "id long, quality int").orderBy(F.xxhash64(F.lit(7), F.col("id")), "id").collect()]
+    good = [i for i in order if dict(labels)[i]]
+    text, raw, wanted = {r[0]: r[1] for r in found}, Counter(), Counter()
+    for d in text:
+        raw.update(grams(text[d]))
+    for d in good[::2]:
+        wanted.update(grams(text[d]))
+    prior = {b: (raw[b] + 1) / (sum(raw.values()) + buckets) for b in range(buckets)}
+    ratio = {b: math.log((wanted[b] + buckets / 4 * prior[b]) / (sum(wanted.values()) + buckets / 4) / prior[b]) for b in range(buckets)}
+    score = {d: sum(ratio[b] for b in grams(text[d])) / (len(grams(text[d])) + quality_classifier.PRIOR) for d in text}
+    got = {r.id: r for r in keys.collect()}
+    for d in text:
+        assert got[d].log_ratio == pytest.approx(score[d], abs=1e-9) and got[d].n_grams == len(grams(text[d]))
+    held = sorted(score[d] for d in good[1::2])
+    least = min(held[0], np.mean(held) - 3.2905267 * np.std(held, ddof=1))  # 54 rows are too few to tell one in 2,000
+    k = sum(score[d] >= least - 1e-12 for d in text)
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality_classifier.gumbel("doc_id", 7).alias("g")).collect()}
+    best = sorted(text, key=lambda d: -(score[d] / quality_classifier.TEMPERATURE + noise[d]))[:k]
+    kept = {r.doc_id for r in quality_classifier.resampled(docs, sampler).where("kept").collect()}
+    assert kept == set(best) and 0 < len(kept) < len(text)
+
+
+def test_equal_texts_score_alike(spark):
+    """Whatever is beside them, and with noise by id alone."""
+    docs = spark.createDataFrame([(i, ("good words " * 20 if i % 3 else f"x{i} " * i), "en", "a", 0) for i in range(90)], SCHEMA).repartition(7)
+    _, keys = quality_classifier.fit(docs, spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int"))
+    assert len({r.log_ratio for r in keys.where("id % 3 <> 0").collect()}) == 1
