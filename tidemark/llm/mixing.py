@@ -2,8 +2,10 @@
 
 Documents are summed to cells of source, language and topic.  The cells' token weights are
 scaled to the target shares of each dimension in turn, round after round; a cell's weight
-over its tokens is the rate at which its documents are drawn.  Fitting works on cells, which
-are few however many documents there are; all of it is SQL functions.
+over its tokens is the rate at which its documents are drawn.  Where a document may be drawn a
+limited number of times, each scaling is followed by a projection onto that limit, and the
+volume is lowered until all marginals hold within it.  Fitting works on cells, which are few
+however many documents there are; all of it is SQL functions.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import _kit
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Cells up to this number are broadcast to the documents; more are joined by a shuffle.
-MOST_BROADCAST = 20_000
+#: How far a bounded fit's marginals may be from their targets.
+TOLERANCE = 0.002
 
 
 def topic_of(text: Column) -> Column:
@@ -31,11 +33,14 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], carried: list[str] | None = None) -> DataFrame:
-    """(id, tokens, a column for each dimension, a struct of those carried): tokens are a quarter of a text's bytes, rounded up."""
-    text = _kit.text_of(text_col)
-    tokens = F.expr(f"(octet_length(coalesce(cast(`{text_col}` as string), '')) + 3) div 4").cast("long")
-    return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(name) for name, c in dims.items()), *([F.struct(*carried).alias("carried")] if carried else []))
+def measured(docs: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], carried: list[str] | None = None, tokens: Column | None = None) -> DataFrame:
+    """(id, tokens, a column for each dimension, a struct of those carried).
+
+    Where tokens aren't given they are taken to be a quarter of a text's bytes, rounded up.
+    """
+    guess = F.expr(f"(octet_length(coalesce(cast(`{text_col}` as string), '')) + 3) div 4")
+    tokens = F.coalesce((guess if tokens is None else tokens).cast("long"), F.lit(0).cast("long"))
+    return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(name) for name, c in dims.items()), *([F.struct(*(F.col(f"`{c}`") for c in carried)).alias("carried")] if carried else []))
 
 
 def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
@@ -44,57 +49,102 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
     return raised.crossJoin(F.broadcast(raised.agg(F.sum("r").alias("all")))).select(F.col(name).alias("value"), (F.col("r") / F.col("all")).alias("share"))  # one row of totals
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20) -> DataFrame:
-    """cells with rate, a cell's fitted weight over its tokens; the weights' sum is that of the tokens.
-
-    targets: (value, share) for each dimension.  A value without a target gets no weight, a cell
-    without tokens a rate of 0.
-    """
-    fitted = cells
+def _with_shares(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """cells with the target share of their value in each dimension, and the total of tokens."""
     for name, target in targets.items():
         share = target.select(F.col("value").alias(name), F.col("share").cast("double").alias(f"share_{name}"))
-        fitted = fitted.join(share, name, "left").fillna(0.0, [f"share_{name}"])
+        cells = cells.join(share, name, "left").fillna(0.0, [f"share_{name}"])
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    fitted = _kit.written(fitted.crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens").cast("double")), "cells")  # one row of totals
-    for i in range(rounds):
-        for name in targets:
+    return cells.crossJoin(F.broadcast(total))  # one row of totals
+
+
+def _rounds(fitted: DataFrame, names: list[str], rounds: int, volume: Column, most: float | None) -> DataFrame:
+    """Weights scaled to each dimension's shares of the volume in turn, and held to the limit."""
+    for _ in range(rounds):
+        for name in names:
             now = F.sum("weight").over(Window.partitionBy(name))
-            fitted = fitted.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"share_{name}") * F.col("total") / now).otherwise(0.0))
-        if i % 5 == 4:
-            fitted = _kit.written(fitted, "cells")
+            weight = F.when(now > 0, F.col("weight") * F.col(f"share_{name}") * volume / now).otherwise(0.0)
+            fitted = fitted.withColumn("weight", weight if most is None else F.least(weight, F.col("tokens") * F.lit(float(most))))
+    return fitted
+
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20, keep: float = 1.0, most: float | None = None) -> DataFrame:
+    """cells with rate, a cell's fitted weight over its tokens; the weights' sum is keep times that of the tokens.
+
+    targets: (value, share) for each dimension.  A value without a target gets no weight, a cell
+    without tokens a rate of 0.  With ``most``, no rate passes it; the sum is then lowered, by a
+    fifth at a time from the largest that any value's own tokens allow, until all marginals are
+    within ``TOLERANCE`` of their targets.  That ends: low sums don't meet the limit at all.
+    """
+    names = list(targets)
+    start = _kit.written(_with_shares(cells, targets).withColumn("weight", F.col("tokens").cast("double")), "cells")
+    if most is None:
+        fitted, volume = start, F.col("total") * keep
+        for done in range(0, rounds, 5):
+            fitted = _kit.written(_rounds(fitted, names, min(5, rounds - done), volume, None), "cells")
+    else:
+        by_value = None
+        for name in names:
+            one = start.groupBy(name).agg(F.sum("tokens").alias("tokens"), F.max(f"share_{name}").alias("share"), F.max("total").alias("total")).where("share > 0").select("total", (F.col("tokens") * float(most) / F.col("share")).alias("room"))
+            by_value = one if by_value is None else by_value.union(one)
+        total, room = by_value.agg(F.max("total"), F.min("room")).first()
+        volume = min((total or 0.0) * keep, room or 0.0)
+        while True:
+            fitted = start
+            for _ in range(0, rounds, 5):
+                fitted = _kit.written(_rounds(fitted, names, 5, F.lit(volume), most), "cells")
+                if not volume or missed(fitted, names, volume) <= TOLERANCE:
+                    break
+            else:
+                volume *= 0.8
+                continue
+            break
     return fitted.select(*cells.columns, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("rate"))
 
 
+def missed(fitted: DataFrame, names: list[str], volume: float) -> float:
+    """How far the marginal that is farthest off is from its target, as a share of the volume."""
+    off = None
+    for name in names:
+        one = fitted.groupBy(name).agg(F.abs(F.sum("weight") / volume - F.max(f"share_{name}")).alias("off")).select("off")
+        off = one if off is None else off.union(one)
+    return off.agg(F.max("off")).first()[0] or 0.0
+
+
 def draw(id_col: str, seed: int) -> Column:
     """A number in [0, 1) from the id and the seed, the same in every run; a null id draws as the empty one."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 1.0, most_copies: int | None = None, rounds: int = 20, seed: int = 7, carried: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 1.0, most_copies: float | None = None, rounds: int = 20, seed: int = 7, carried: list[str] | None = None, tokens: Column | None = None) -> DataFrame:
     """One row per input row: id_col, tokens, rate, copies (how often the document is drawn; 0 if not).
 
-    The expected copies are keep * rate.  Where that passes most_copies in any cell, all cells'
-    are lowered by one factor, so that the largest is most_copies and the shares stay as fitted.
-    Without targets each dimension's are its shares of tokens to a power.  A null source, language or topic is a
+    The rate is the expected number of copies; its whole part is drawn and the rest by chance.
+    The expected weight is keep times the tokens, or, where a document may be drawn no more than
+    most_copies times, the largest that still meets all targets (see ``raked``).
+    Without targets each dimension's are its shares of tokens to a power.  tokens is a column of
+    counts; without it they are told from bytes.  A null source, language or topic is a
     value of its own, a null text has no tokens and is not drawn.  Rows that repeat an id draw
-    alike.  Columns to be carried come along as a struct of that name, others are ignored; an empty table gives an empty result.
+    alike, null ids as one id.  Dimensions must not be named id, tokens, rate or carried, else
+    an error is raised.  Columns to be carried come along as a struct of that name, others are
+    ignored.  Texts may be of any length; an empty table gives an empty result.
     """
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(_kit.text_of(text_col))}
-    rows = measured(docs, id_col, text_col, dims, carried)
+    if clash := {"id", "tokens", "rate", "carried", "weight", "total"} & set(dims):
+        raise ValueError(f"dimensions can't be named {sorted(clash)}")
+    rows = measured(docs, id_col, text_col, dims, carried, tokens)
+    if not carried:
+        rows = _kit.written(rows, "measured")  # the texts are read once
     cells = _kit.written(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     told = {name: (targets or {}).get(name) if (targets or {}).get(name) is not None else tempered(cells, name, power) for name in dims}
-    rates = _kit.written(raked(cells, told, rounds).drop("tokens"), "rates")
-    cells_n, largest = rates.agg(F.count("*"), F.max("rate")).first()
-    few = F.broadcast(rates) if cells_n <= MOST_BROADCAST else rates
-    expected = F.col("rate") * keep
-    if most_copies is not None and (largest or 0) * keep > most_copies:
-        expected = F.least(F.lit(float(most_copies)), F.col("rate") * (most_copies / largest))  # least is for rounding alone
+    rates = _kit.written(raked(cells, told, rounds, keep, most_copies).drop("tokens"), "rates")
+    expected = F.col("rate")
     copies = F.floor(expected) + F.when(draw("id", seed) < expected - F.floor(expected), 1).otherwise(0)
-    return rows.join(few, list(dims)).select(F.col("id").alias(id_col), "tokens", "rate", copies.cast("long").alias("copies"), *(["carried"] if carried else []))
+    return rows.join(rates, list(dims)).select(F.col("id").alias(id_col), "tokens", "rate", copies.cast("long").alias("copies"), *(["carried"] if carried else []))
 
 
-def mix_sql(power: float = 0.5, keep: float = 1.0, most_copies: int = 4, rounds: int = 20, seed: int = 7) -> str:
+def mix_sql(power: float = 0.5, rounds: int = 20, seed: int = 7) -> str:
     """DuckDB SQL of mix() over documents with its own dimensions."""
     without = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
     sql = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents),
@@ -119,7 +169,7 @@ def mix_sql(power: float = 0.5, keep: float = 1.0, most_copies: int = 4, rounds:
             last = f"w{n}"
     sql += f""",
         f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS rate FROM {last}),
-        x AS (SELECT doc_id, tokens, rate, least({float(most_copies)}, rate * {keep}) AS e,
+        x AS (SELECT doc_id, tokens, rate, rate AS e,
               CAST(('0x' || substr(md5('{seed}:' || doc_id), 1, 13))::BIGINT AS DOUBLE) / {1 << 52} AS u FROM r JOIN f USING (source, lang, topic))
         SELECT doc_id, tokens, round(rate, 6) AS rate, CAST(floor(e) + (u < e - floor(e))::INT AS BIGINT) AS copies FROM x"""
     return sql.replace("* REPLACE (", "* EXCLUDE (n) REPLACE (").replace(") EXCLUDE (n)\n", ")\n")
