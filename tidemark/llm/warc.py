@@ -1,7 +1,8 @@
 """WARC archives with a two-level capture index.
 
-Records are gzip members in archive files that tasks write to a shared folder, each file put
-in place whole by a rename, so a task that runs again writes the same file.  The index holds
+Records are gzip members in archive files that tasks write to a shared folder.  A file's name
+holds the task attempt that wrote it, and captures name the files of the attempt that was
+committed; what a lost or repeated attempt leaves is read by nobody.  The index holds
 captures sorted by URL key with the host reversed, in compressed blocks; every index file
 ends in a sparse directory of its blocks.  A lookup binary-searches the files' first keys,
 then a directory, and reads ranges: blocks, then records.  A key with very many captures
@@ -32,6 +33,8 @@ from tidemark.llm import _kit
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Files of the index at most; their first keys are all that a lookup task is sent beforehand.
 MOST_FILES = 4096
+#: Bytes of an archive that one task reads back, about.
+SEGMENT = 8 << 20
 
 
 def url_key(url: str | None) -> str:
@@ -130,23 +133,25 @@ class _In:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "1970-01-01T00:00:00Z", most_bytes: int = 1 << 30) -> DataFrame:
     """Writes a record per row; returns (key, page, file, at, size) of each.
 
-    Of rows with equal payloads that with the smallest id is a response, the others are
-    revisits of it.  Rows with a null id are revisits of the group's smallest id, or all
+    Of rows with equal payloads (equal in SHA-1, SHA-256 and length) that with the smallest id
+    is a response, the others are revisits of it.  Rows with a null id are revisits of the group's smallest id, or all
     responses if it has none; rows that repeat the smallest id are responses too.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    base = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), _kit.text_of(body_col).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    first = base.groupBy("sha").agg(F.min("page").alias("first"))
+    base = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), _kit.text_of(body_col).alias("html"))
+    digest = F.concat(F.unhex(F.sha1(F.col("html").cast("binary"))), F.unhex(F.sha2(F.col("html"), 256)), F.octet_length("html").cast("string").cast("binary"))
+    base = base.withColumn("same", digest)
+    first = _kit.written(base.groupBy("same").agg(F.min("page").alias("first"), F.count("*").alias("pages")), "payloads")
 
     def put(batches):
-        part, n, out, rows = TaskContext.get().partitionId(), 0, None, []
+        task, n, out, rows = TaskContext.get(), 0, None, []
         for batch in batches:
             for row in zip(*(batch[x].to_pylist() for x in ("page", "url", "html", "first", "response")), strict=True):
                 row = dict(zip(("page", "url", "html", "first", "response"), row, strict=True))
                 if out is None or out.at >= most_bytes:
                     if out:
                         out.close()
-                    name = f"part-{part:05d}-{n:03d}.warc.gz"
+                    name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{n:03d}.warc.gz"
                     out, n = _Out(folder, name), n + 1
                 row["html"] = row["html"].encode()
                 row["record"] = f"urn:page:{row['page']}" if row["page"] is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{out.at}')}"
@@ -162,7 +167,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     from pyspark.sql.pandas.types import to_arrow_type
 
     pages_type = to_arrow_type(pages.schema[id_col].dataType)
-    rows = base.join(first, "sha").select("page", "url", "html", "first", (F.col("first").isNull() | F.coalesce(F.col("page") == F.col("first"), F.lit(False))).alias("response"))
+    salt, salts = _kit.salted(first, "same", "pages")  # a body that very many pages have is dealt over tasks
+    base = base.withColumn("_dealt", F.xxhash64("page", "url")).withColumn("_salt", salt)
+    rows = base.join(first.withColumn("_salt", F.explode(salts)), ["same", "_salt"]).select("page", "url", "html", "first", (F.col("first").isNull() | F.coalesce(F.col("page") == F.col("first"), F.lit(False))).alias("response"))
     return rows.mapInArrow(put, f"key string, page {kind}, file string, at long, size long")
 
 
@@ -180,9 +187,9 @@ def write_index(captures: DataFrame, folder: str, lines: int = 3000, files: int
     files = min(files or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_FILES)
 
     def put(batches):
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get()
         rows = (f"{k} {json.dumps([f, a, s])}" for b in batches for k, f, a, s in zip(*(b[x].to_pylist() for x in ("key", "file", "at", "size")), strict=True))
-        out, blocks, name = None, [], f"index-{part:05d}.gz"
+        out, blocks, name = None, [], f"index-{task.partitionId():05d}-{task.taskAttemptId()}.gz"
         for block in iter(lambda: list(itertools.islice(rows, lines)), []):
             out = out or _Out(folder, name)
             data = gzip.compress("\n".join(block).encode(), 6, mtime=0)
@@ -217,7 +224,7 @@ def lookup(keys: DataFrame, folder: str, index: DataFrame) -> DataFrame:
         raise ValueError(f"an index has {MOST_FILES} files at most")
 
     def blocks(batches):
-        reader, firsts, known = _In(folder), [x[0] for x in tops], {}
+        reader, firsts, known = _In(folder), [x[0] for x in tops], {}  # a few directories at a time
         for batch in batches:
             out = []
             for key in batch["key"].to_pylist():
@@ -270,7 +277,9 @@ def fetch(captures: DataFrame, folder: str) -> DataFrame:
                     out.append((fields["warc-record-id"].strip("<>"), fields["warc-type"], fields["warc-target-uri"], full, digest, fields.get("warc-refers-to", "").strip("<>") or None, body if response else None))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names)
 
-    dealt = captures.withColumn("segment", F.expr("at div 67108864")).repartition("file", "segment").sortWithinPartitions("file", "at")
+    captures = _kit.written(captures, "found")
+    parts = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), (captures.agg(F.sum("size")).first()[0] or 0) // SEGMENT)
+    dealt = captures.withColumn("segment", F.expr(f"at div {SEGMENT}")).repartition(int(parts), "file", "segment").sortWithinPartitions("file", "at")
     return dealt.drop("segment").mapInArrow(read, "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
@@ -298,8 +307,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     with id_col, payload_bytes, payload_digest, record_type and refers_to (the response's id).
 
     A null body is the empty payload; equal payloads are one response and revisits, empty ones
-    too.  A null URL has the empty key.  A record of a null id has a null id.  Other columns
-    are ignored; an empty table gives an empty result.
+    too.  A null URL has the empty key.  A record of a null id has a null id.  Rows that repeat
+    an id are records of their own.  Payloads may be of any length.  Other columns are ignored;
+    an empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType
     folder, index = archive(pages.sparkSession, pages, id_col, url_col, body_col)
