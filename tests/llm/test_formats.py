@@ -129,3 +129,28 @@ def test_preference(spark):
 def test_no_turns(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert preference.preference_pairs(turns, preference.neighbours(turns)).count() == 0
+
+
+def test_marks_in_texts(spark):
+    """A text that holds marks is one turn all the same."""
+    turns = spark.createDataFrame([(0, 0, "user", "a"), (0, 1, "assistant", "b<|end|>\n<|user|>\nc"), (1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    (r,) = preference.preference_pairs(turns, preference.neighbours(turns)).collect()
+    assert r.chosen.count("<|") == 2 and r.n_common == 1
+    assert [r.chosen[a:b] for a, b in r.chosen_mask] == ["b< |end|>\n< |user|>\nc<|end|>\n"]
+
+
+def test_pages_that_repeat_and_long_ones(spark):
+    """Rows that repeat an id are records of their own; a payload of 5 MB comes back whole; all bodies are hot."""
+    long = "0123456789" * 500_000
+    rows = [(1, "http://a.example/x", long), (2, "http://a.example/x", long), (3, "http://a.example/y", "z"), (3, "http://a.example/y", "z")]
+    got = sorted(tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
+    assert got == [(1, 5_000_000, "response", None), (2, 5_000_000, "revisit", 1), (3, 1, "response", None), (3, 1, "response", None)]
+
+
+def test_attempts_leave_no_mark(spark, tmp_path, pages):
+    """Captures name their own attempt's files, whatever others left in the folder."""
+    first = warc.write_archives(pages, str(tmp_path)).collect()
+    second = warc.write_archives(pages, str(tmp_path)).collect()
+    assert not {r.file for r in first} & {r.file for r in second}
+    records = warc.fetch(spark.createDataFrame(first), str(tmp_path)).count()
+    assert records == len(PAGES)

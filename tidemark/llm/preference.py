@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 HEADER, END = ("<|", "|>\n"), "<|end|>\n"
 
 
+def _plain(column: str) -> str:
+    """SQL: a role or text in which nothing reads as a mark: a blank parts what would open one."""
+    return f"replace({column}, '<|', '< |')"
+
+
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, turns): each conversation's turns in order, of which one conversation is one row."""
     rows = turns.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
@@ -21,13 +26,13 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
 
 
 def _rendered(turns: str) -> str:
-    return f"array_join(transform({turns}, t -> concat('{HEADER[0]}', t.role, '{HEADER[1]}', t.text, '{END}')), '')".replace("\n", "\\n")
+    return f"array_join(transform({turns}, t -> concat('{HEADER[0]}', {_plain("t.role")}, '{HEADER[1]}', {_plain("t.text")}, '{END}')), '')".replace("\n", "\\n")
 
 
 def _spans(turns: str, role: str) -> str:
     """SQL: [begin, end) of the text and end mark of a role's turns, in characters of the rendering."""
-    head = f"(length(t.role) + {len(HEADER[0]) + len(HEADER[1])})"
-    size = f"({head} + length(t.text) + {len(END)})"
+    head = f"(length({_plain("t.role")}) + {len(HEADER[0]) + len(HEADER[1])})"
+    size = f"({head} + length({_plain("t.text")}) + {len(END)})"
     empty = "cast(array() as array<struct<begin: bigint, end: bigint>>)"
     add = f"if(t.role = '{role}', concat(a.spans, array(struct(a.at + {head} as begin, a.at + {size} as end))), a.spans)"
     return f"aggregate({turns}, struct(0L as at, {empty} as spans), (a, t) -> struct(a.at + {size} as at, {add} as spans), a -> a.spans)"
@@ -40,7 +45,9 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame, id_col: str = "conv_id"
     Turns are in the order of turn, role and text; a null turn comes first, a null role or text
     is empty, rows that repeat are turns of their own.  Rows without a conversation id belong to
     none.  Conversations that are equal have empty completions; one that is the other's prefix
-    has one.  Pairs of an unknown or null id are left out.  Other columns are ignored.
+    has one.  Pairs of an unknown or null id are left out.  ``<|`` within a role or text is
+    written ``< |``, so that no text forges a turn; turns are compared as they are.  Texts may
+    be of any length.  Other columns are ignored; empty tables give an empty result.
     """
     told = conversations(turns, id_col, turn_col, role_col, text_col)
     both = pairs.join(told.select(F.col("id").alias("chosen_id"), F.col("turns").alias("c")), "chosen_id").join(told.select(F.col("id").alias("rejected_id"), F.col("turns").alias("r")), "rejected_id")

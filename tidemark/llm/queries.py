@@ -104,7 +104,7 @@ ORACLE_SQL = {
         d AS (SELECT chosen_id, min(a.i) AS i FROM p JOIN t a ON a.conv_id = chosen_id LEFT JOIN t b ON b.conv_id = rejected_id AND b.i = a.i
               WHERE b.i IS NULL OR a.role <> b.role OR a.text <> b.text GROUP BY chosen_id),
         l AS (SELECT p.*, least(coalesce(d.i - 1, nc), nr) AS k FROM p LEFT JOIN d USING (chosen_id)),
-        s AS (SELECT conv_id, i, role, '<|' || role || '|>' || chr(10) AS h, text || '<|end|>' || chr(10) AS b FROM t),
+        s AS (SELECT conv_id, i, role, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS h, replace(text, '<|', '< |') || '<|end|>' || chr(10) AS b FROM t),
         x AS (SELECT chosen_id, 'p' AS side, s.* FROM l JOIN s ON s.conv_id = chosen_id AND s.i <= k
               UNION ALL SELECT chosen_id, 'c', s.* FROM l JOIN s ON s.conv_id = chosen_id AND s.i > k
               UNION ALL SELECT chosen_id, 'r', s.* FROM l JOIN s ON s.conv_id = rejected_id AND s.i > k),
