@@ -140,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: d
     told = {name: (targets or {}).get(name) if (targets or {}).get(name) is not None else tempered(cells, name, power) for name in dims}
     rates = _kit.written(raked(cells, told, rounds, keep, most_copies).drop("tokens"), "rates")
     expected = F.col("rate")
-    copies = F.floor(expected) + F.when(draw("id", seed) < expected - F.floor(expected), 1).otherwise(0)
+    copies = F.when(F.col("tokens") > 0, F.floor(expected) + F.when(draw("id", seed) < expected - F.floor(expected), 1).otherwise(0)).otherwise(0)
     return rows.join(rates, list(dims)).select(F.col("id").alias(id_col), "tokens", "rate", copies.cast("long").alias("copies"), *(["carried"] if carried else []))
 
 
@@ -171,5 +171,5 @@ def mix_sql(power: float = 0.5, rounds: int = 20, seed: int = 7) -> str:
         f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS rate FROM {last}),
         x AS (SELECT doc_id, tokens, rate, rate AS e,
               CAST(('0x' || substr(md5('{seed}:' || doc_id), 1, 13))::BIGINT AS DOUBLE) / {1 << 52} AS u FROM r JOIN f USING (source, lang, topic))
-        SELECT doc_id, tokens, round(rate, 6) AS rate, CAST(floor(e) + (u < e - floor(e))::INT AS BIGINT) AS copies FROM x"""
+        SELECT doc_id, tokens, round(rate, 6) AS rate, CAST(CASE WHEN tokens > 0 THEN floor(e) + (u < e - floor(e))::INT ELSE 0 END AS BIGINT) AS copies FROM x"""
     return sql.replace("* REPLACE (", "* EXCLUDE (n) REPLACE (").replace(") EXCLUDE (n)\n", ")\n")
