@@ -9,6 +9,7 @@ at most once, packing returns the pieces of what is left.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,36 +25,60 @@ ROW = "_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row, written so that it is the same at every reading."""
-    return _kit.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """docs with a number of its own for each row, the same at every reading.
+
+    A Parquet table's rows are numbered by file and place within it, and nothing is written.
+    Rows of another source are written with a number first.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        files = sorted(x[0] for x in placed.select("_file").distinct().collect())  # as many as the table has files with rows
+    except AnalysisException:
+        return _kit.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    names = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _number long")
+    return placed.join(F.broadcast(names), "_file").select(*docs.columns, (F.col("_number") * F.lit(1 << 40) + F.col("_place")).alias(ROW))
 
 
 def _one_of_each(rows: DataFrame, grouped: DataFrame, group: str, chosen: Column) -> DataFrame:
     """Of the rows that grouped (ROW, group) puts together the one whose number is chosen."""
     told = grouped.select(ROW, F.col(group).alias("_group")).join(rows.select(ROW, "doc_id"), ROW)
-    return rows.join(told.groupBy("_group").agg(chosen.alias(ROW)).select(ROW), ROW, "left_semi").drop(ROW)
+    return rows.join(_kit.written(told.groupBy("_group").agg(chosen.alias(ROW)).select(ROW), "chosen"), ROW, "left_semi").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample holds."""
+    """Documents that the importance sample holds.
+
+    Rows without text stay as any others do that no model tells apart; of rows that repeat an id
+    and text all have one verdict.  An empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resampled(docs, fit(docs, labels), kept="_kept").where("_kept").select(*docs.columns)
+    return resampled(docs, fit(docs, labels)[0], kept="_kept").where("_kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id; one row of it, and one without id only where none has any."""
+    """Of equal texts the document with the largest id; one row of it, and one without id only where none has any.
+
+    A null text equals an empty one.  An empty table gives an empty one.
+    """
     rows = _numbered(docs)
     return _one_of_each(rows, exact_dedup(rows, ROW), "keep_id", F.max_by(ROW, F.struct("doc_id", ROW)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id; one row of it, and one without id only where none has any."""
+    """Of near duplicates the document with the smallest id; one row of it, and one without id only where none has any.
+
+    Texts without words are near nothing and all stay.  An empty table gives an empty one.
+    """
     rows = _numbered(docs)
     return _one_of_each(rows, near_duplicates(rows, ROW), "component_id", F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at their mixture's rates over the largest of these, so each at most once."""
+    """Documents drawn, each at most once, so that the tokens' shares meet the mixture's.
+
+    The volume is the largest at which they do.  Null values of source or language are values;
+    rows without text are not drawn.  An empty table gives an empty one.
+    """
     own = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(_kit.text_of("text")))  # rows of one id, or of none, are drawn apart
     drawn = mix(docs.withColumn(ROW, own), ROW, most_copies=1, carried=docs.columns).where("copies > 0")
     return drawn.select("carried.*")
