@@ -63,9 +63,9 @@ def test_near_words_that_polynomials_confuse(spark):
     assert got == {i: i for i in range(6)}
 
 
-def test_near_large_buckets(spark, monkeypatch):
-    """Buckets over a bound are parted by a second band, blocks are many, and all keys are hot."""
-    for name, value in (("minhash.BIG", 2), ("minhash.BLOCK", 2), ("_kit.HOT_ROWS", 2), ("_kit.HOT_SHARE", 0.0001)):
+def test_near_large_groups(spark, monkeypatch):
+    """Groups in different components are compared in many blocks, and all keys are hot."""
+    for name, value in (("minhash.BLOCK", 2), ("_kit.HOT_ROWS", 2), ("_kit.HOT_SHARE", 0.0001)):
         monkeypatch.setattr(f"tidemark.llm.{name}", value)
     rng = np.random.default_rng(5)
     common, found = [f"w{x}" for x in rng.integers(0, 9999, 120)], []

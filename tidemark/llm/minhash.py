@@ -6,9 +6,10 @@ level, and a document stops as soon as no later level can lower any slot.  Docum
 shingle sets are one class.  Classes that share a band of slots are candidates, unless four
 bits of each slot tell that they can't be similar enough.  First each bucket's members are
 compared with the one of them that has most company in all its buckets; so a bucket of many
-copies costs pairs in proportion to its size.  Members that are then still in different
-components are all compared, by ids and bits alone; buckets with many of them are parted by a
-second band first.  Links are confirmed on the full sets of both texts.
+copies costs pairs in proportion to its size.  Buckets of one such leader are then one group,
+which a document enters once however many of them it is in; members of a group that are still
+in different components are all compared within a join, by bits and then by their sets, so
+that pairs are made of links alone.  Links are confirmed on the full sets of both texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from tidemark.llm import _kit
 from tidemark.llm.components import components
 
 SLOTS, ROWS = 128, 4  # slots in a signature (a power of two), slots in a band
-BIG = 1000  # members left in a bucket from which a second band parts it
-BLOCK = 1000  # members of a bucket that one task compares with all others of it
+BLOCK = 4000  # members of a group that one task compares with all others of it
 _HIGH = np.uint64(32)
 
 
@@ -123,6 +123,18 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return source.mapInArrow(made, f"id {source.schema['id'].dataType.simpleString()}, n long, fp binary, bands array<long>, bits array<long>")
 
 
+def sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of texts (id, text): the first of each shingle's two hashes."""
+
+    def made(batches):
+        for batch in batches:
+            for row, end, data, offs in _kit.slices(batch["text"]):
+                value, _, begins = shingle_sets(lowered(data), offs, width)
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(row, end - row), _kit.ragged(value.view(np.int64), np.diff(begins), pa.int64())], ["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(made, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b), with set sizes na and nb, of which 100 * intersection >= percent * union, on full sets.
 
@@ -178,9 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle, a null text or one without words has none and is linked with nothing.  Rows are
     linked at a Jaccard similarity of ``percent`` hundredths or more, and component_id is the
     smallest id that links reach.  Two sets at a threshold of 75 share a bucket with a probability
-    of 0.999995 (32 bands of 4 slots), closer ones with a higher one; where a bucket has over
-    ``BIG`` members that are in no component with each other, two of them meet if they share a
-    second band too.  Rows with a null id are not compared: their component_id is null and kept
+    of 0.999995 (32 bands of 4 slots), closer ones with a higher one.  Rows with a null id are not compared: their component_id is null and kept
     is false.  Rows that repeat id and text are one document; ids are expected to be unique
     otherwise, and rows of one id with different texts go each with its own text's component.
     Texts may be of any length.  Other columns are ignored; an empty table gives an empty result.
@@ -213,23 +223,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     lead = member.join(told.select("rep", "company"), "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", "rep")).alias("lead"))
-    links = compared(in_bucket(member, lead).where("rep != lead").select(*pair("rep", "lead")).distinct())
+    led = _kit.written(in_bucket(member, lead).select("lead", "rep").distinct(), "led")
+    links = compared(led.where("rep != lead").select(*pair("rep", "lead")).distinct())
     label = components(links)
-    parts = member.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("part"))
-    apart = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("left"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select(key, "left")
-    parts = _kit.written(in_bucket(parts, _kit.written(apart(parts, "band"), "apart")), "parts")
-    other = F.explode(F.array_except(F.col("bands"), F.array("band")))
-    second = parts.where(F.col("left") > BIG).drop("left").join(told.select("rep", "bands"), "rep").select("rep", "part", "band", other.alias("other"))
-    keys = parts.where(F.col("left") <= BIG).select(F.col("band").alias("key"), "rep", "part").union(second.select(F.xxhash64("band", "other").alias("key"), "rep", "part"))
-    # every member of a bucket meets every other in one of the bucket's blocks
-    rows = keys.join(apart(keys, "key"), "key").join(told.select("rep", "n", "bits"), "rep").withColumn("blocks", F.ceil(F.col("left") / BLOCK).cast("int"))
-    rows = _kit.written(rows, "rows")
+    parts = led.join(label, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("label", "rep").alias("part"))
+    apart = parts.groupBy("lead").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("lead", "members")
+    parts = _kit.written(looked_up(parts.withColumnsRenamed({"rep": "a", "part": "b"}), "lead", apart).withColumnsRenamed({"a": "rep", "b": "part"}), "parts")
+    # every member of a group meets every other in one of the group's blocks
+    own = _kit.written(sets(texts.join(parts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width), "sets")
+    rows = parts.join(told.select("rep", "n", "bits"), "rep").join(own, (F.col("rep") == F.col("id")) & (F.col("n") == F.size("shingles"))).select("lead", "rep", "part", "n", "bits", "shingles", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     one = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    all_ = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_2") for c in ("rep", "part", "n", "bits")))
-    cross = one.join(all_, ["key", "block"]).where((F.col("part") < F.col("part_2")) & _alike(F.col("n"), F.col("bits"), F.col("n_2"), F.col("bits_2"), percent))
+    all_ = rows.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_2") for c in ("rep", "part", "n", "bits", "shingles")))
+    linked = F.size(F.array_intersect("shingles", "shingles_2")) * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent
+    cross = one.join(all_, ["lead", "block"]).where((F.col("part") < F.col("part_2")) & _alike(F.col("n"), F.col("bits"), F.col("n_2"), F.col("bits_2"), percent) & linked)
     label = components(links.union(compared(cross.select(*pair("rep", "rep_2")).distinct())))
     named = _kit.written(classes.join(label, F.col("rep") == F.col("node"), "left").select("fp", "rows", F.coalesce("label", "rep").alias("component")), "named")
-    _kit.dropped(shared, member, told, few, texts, parts, rows)
+    _kit.dropped(shared, member, told, few, texts, led, parts, own)
     by_fp, each = _kit.salted(named, "fp", "rows")
     out = made.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp"), F.xxhash64("id").alias("_dealt")).withColumn("_salt", F.coalesce(by_fp, F.lit(0)))
     out = out.join(named.select("fp", "component", F.explode(each).alias("_salt")), ["fp", "_salt"], "left")
