@@ -25,7 +25,7 @@ from tidemark.llm import _kit
 from tidemark.llm.components import components
 
 SLOTS, ROWS = 128, 4  # slots in a signature (a power of two), slots in a band
-BLOCK = 4000  # members of a group that one task compares with all others of it
+BLOCK = 1000  # members of a group that one task compares with all others of it
 _HIGH = np.uint64(32)
 
 
