@@ -58,13 +58,16 @@ def _with_shares(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return cells.crossJoin(F.broadcast(total))  # one row of totals
 
 
-def _rounds(fitted: DataFrame, names: list[str], rounds: int, volume: Column, most: float | None) -> DataFrame:
-    """Weights scaled to each dimension's shares of the volume in turn, and held to the limit."""
+def _rounds(fitted: DataFrame, names: list[str], rounds: int, most: float | None) -> DataFrame:
+    """Weights scaled to each dimension's shares of the volume in turn, and held to the limit; what
+    the limit takes away is taken from the volume after each round."""
     for _ in range(rounds):
         for name in names:
             now = F.sum("weight").over(Window.partitionBy(name))
-            weight = F.when(now > 0, F.col("weight") * F.col(f"share_{name}") * volume / now).otherwise(0.0)
+            weight = F.when(now > 0, F.col("weight") * F.col(f"share_{name}") * F.col("volume") / now).otherwise(0.0)
             fitted = fitted.withColumn("weight", weight if most is None else F.least(weight, F.col("tokens") * F.lit(float(most))))
+        if most is not None:
+            fitted = fitted.withColumn("volume", F.least("volume", F.sum("weight").over(Window.partitionBy())))
     return fitted
 
 
@@ -72,43 +75,34 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20, kee
     """cells with rate, a cell's fitted weight over its tokens; the weights' sum is keep times that of the tokens.
 
     targets: (value, share) for each dimension.  A value without a target gets no weight, a cell
-    without tokens a rate of 0.  With ``most``, no rate passes it; the sum is then lowered, by a
-    fifth at a time from the largest that any value's own tokens allow, until all marginals are
-    within ``TOLERANCE`` of their targets.  That ends: low sums don't meet the limit at all.
+    without tokens a rate of 0.  With ``most``, no rate passes it; the sum then starts from the
+    largest that any value's own tokens allow and gives way until all marginals are within
+    ``TOLERANCE`` of their targets.  That ends: low sums don't meet the limit at all.  Cells are
+    as many as there are combinations of values; they are one partition, so that rounds shuffle nothing.
     """
-    names = list(targets)
-    start = _kit.written(_with_shares(cells, targets).withColumn("weight", F.col("tokens").cast("double")), "cells")
+    names, total = list(targets), F.col("total")
+    start = _with_shares(cells, targets).withColumns({"weight": F.col("tokens").cast("double"), "volume": total * keep})
+    fitted = _kit.written(start.coalesce(1), "cells").coalesce(1)
     if most is None:
-        fitted, volume = start, F.col("total") * keep
-        for done in range(0, rounds, 5):
-            fitted = _kit.written(_rounds(fitted, names, min(5, rounds - done), volume, None), "cells")
+        for done in range(0, rounds, 10):
+            fitted = _kit.written(_rounds(fitted, names, min(10, rounds - done), None), "cells").coalesce(1)
     else:
-        by_value = None
         for name in names:
-            one = start.groupBy(name).agg(F.sum("tokens").alias("tokens"), F.max(f"share_{name}").alias("share"), F.max("total").alias("total")).where("share > 0").select("total", (F.col("tokens") * float(most) / F.col("share")).alias("room"))
-            by_value = one if by_value is None else by_value.union(one)
-        total, room = by_value.agg(F.max("total"), F.min("room")).first()
-        volume = min((total or 0.0) * keep, room or 0.0)
+            own = F.sum("tokens").over(Window.partitionBy(name)) * float(most) / F.col(f"share_{name}")
+            fitted = fitted.withColumn("_room", F.when(F.col(f"share_{name}") > 0, own))
+            fitted = fitted.withColumn("volume", F.least("volume", F.min("_room").over(Window.partitionBy()))).drop("_room")
         while True:
-            fitted = start
-            for _ in range(0, rounds, 5):
-                fitted = _kit.written(_rounds(fitted, names, 5, F.lit(volume), most), "cells")
-                if not volume or missed(fitted, names, volume) <= TOLERANCE:
-                    break
-            else:
-                volume *= 0.8
-                continue
-            break
+            fitted = _kit.written(_rounds(fitted, names, 10, most), "cells").coalesce(1)
+            if missed(fitted, names) <= TOLERANCE:
+                break
+            fitted = fitted.withColumn("volume", F.col("volume") * 0.98)
     return fitted.select(*cells.columns, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("rate"))
 
 
-def missed(fitted: DataFrame, names: list[str], volume: float) -> float:
+def missed(fitted: DataFrame, names: list[str]) -> float:
     """How far the marginal that is farthest off is from its target, as a share of the volume."""
-    off = None
-    for name in names:
-        one = fitted.groupBy(name).agg(F.abs(F.sum("weight") / volume - F.max(f"share_{name}")).alias("off")).select("off")
-        off = one if off is None else off.union(one)
-    return off.agg(F.max("off")).first()[0] or 0.0
+    off = [F.abs(F.sum("weight").over(Window.partitionBy(name)) / F.col("volume") - F.col(f"share_{name}")) for name in names]
+    return fitted.where("volume > 0").select(F.greatest(*off, F.lit(0.0)).alias("off")).agg(F.max("off")).first()[0] or 0.0
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -131,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: d
     ignored.  Texts may be of any length; an empty table gives an empty result.
     """
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(_kit.text_of(text_col))}
-    if clash := {"id", "tokens", "rate", "carried", "weight", "total"} & set(dims):
+    if clash := {"id", "tokens", "rate", "carried", "weight", "total", "volume"} & set(dims):
         raise ValueError(f"dimensions can't be named {sorted(clash)}")
     rows = measured(docs, id_col, text_col, dims, carried, tokens)
     if not carried:
