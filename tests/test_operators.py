@@ -17,16 +17,18 @@ def labels(spark, lots, bids, teams=("A", "B", "C")):
     return {(r.lot, r.team): (r.label, r.lower, r.upper, r.winner) for r in replay.interval_labels(lots, teams, bids, "lot", "team", "no", "amt").collect()}
 
 
-def test_labels_of_five_lots(spark):
-    lots = [(1, "MI", 100.0, 20.0, "SOLD"), (2, "CSK", 80.0, 20.0, "sold"), (3, "MI", 60.0, 20.0, "SOLD"), (4, None, None, 20.0, "UNSOLD"), (5, "RCB", 20.0, 20.0, "SOLD")]
-    bids = [(5, "RCB", 1, 20.0), (3, "RCB", 2, 30.0), (3, "MI", 3, 60.0), (2, "MI", 4, 50.0), (2, "CSK", 5, 80.0), (1, "CSK", 6, 40.0), (1, "MI", 7, 100.0)]
-    got = labels(spark, lots, bids, ("MI", "CSK", "RCB"))
-    left = ("left", 0.01, 20.0, False)
+def test_labels_of_an_auction(spark):
+    """Two bidders who drive each other up, a sale at the base price, a lot nobody wanted, one bid on and left."""
+    lots = [(11, "Red", 45.0, 10.0, "SOLD"), (12, "Blue", 8.0, 8.0, "Sold"), (13, None, None, 30.0, "UNSOLD"), (14, None, None, 12.0, "unsold"), (15, "Grey", 26.0, 25.0, "RTM"), (16, "Red", 5.0, 5.0, "TRADED")]
+    bids = [(11, "Blue", 1, 10.0), (11, "Red", 2, 15.0), (11, "Blue", 3, 40.0), (11, "Red", 4, 45.0), (12, "Blue", 1, 8.0), (14, "Grey", 1, 12.0), (15, "Red", 1, 25.0), (15, "Grey", 2, 26.0)]
+    got = labels(spark, lots, bids, ("Red", "Blue", "Grey"))
+    none = lambda base: ("left", 0.01, base, False)
     assert got == {
-        (5, "MI"): left, (5, "CSK"): left, (5, "RCB"): ("right", 20.0, 40.0, True), (4, "MI"): left, (4, "CSK"): left, (4, "RCB"): left,
-        (3, "MI"): ("right", 60.0, 120.0, True), (3, "CSK"): left, (3, "RCB"): ("interval", 30.0, 60.0, False),
-        (2, "MI"): ("interval", 50.0, 80.0, False), (2, "CSK"): ("right", 80.0, 160.0, True), (2, "RCB"): left,
-        (1, "MI"): ("right", 100.0, 200.0, True), (1, "CSK"): ("interval", 40.0, 100.0, False), (1, "RCB"): left,
+        (11, "Red"): ("right", 45.0, 90.0, True), (11, "Blue"): ("interval", 40.0, 45.0, False), (11, "Grey"): none(10.0),
+        (12, "Blue"): ("right", 8.0, 16.0, True), (12, "Red"): none(8.0), (12, "Grey"): none(8.0),
+        (13, "Red"): none(30.0), (13, "Blue"): none(30.0), (13, "Grey"): none(30.0),
+        (14, "Grey"): ("unknown", None, None, False), (14, "Red"): none(12.0), (14, "Blue"): none(12.0),
+        (15, "Grey"): ("right", 26.0, 52.0, True), (15, "Red"): ("interval", 25.0, 26.0, False), (15, "Blue"): none(25.0),
     }
 
 
@@ -55,9 +57,11 @@ def test_money(spark):
 def test_names(spark):
     df = spark.createDataFrame([("José  O'Neil-Smith",), ("MS Dhoni",), ("AB de Villiers",)], "n string")
     rows = [r for r in df.select(names.normal_name(F.col("n")).alias("normal"), names.signatures(F.col("n")).alias("s"), names.given_names(names.tokens(F.col("n"))).alias("g")).collect()]
-    assert rows[0].normal == "jose oneil smith" and rows[0].s == ["oneilsmith j", "smith jo"] and rows[0].g == ["jose"]
+    assert rows[0].normal == "jose oneilsmith" and rows[0].s == ["oneilsmith j", "smith jo"] and rows[0].g == ["jose"]
     assert rows[1].s == ["dhoni ms"] and rows[1].g == []
     assert rows[2].s == ["villiers ab"]
+    particles = spark.createDataFrame([("Anna von der Berg", "berg a"), ("Rui dos Reis", "reis r"), ("DA Costa", "costa da"), ("Omar bin Said", "said ob"), ("Ali Al Noor", "noor aa"), ("Jan ten Op Dam", "dam j")], "n string, want string")
+    assert all(r.got == r.want for r in particles.select("want", names.signature(names.tokens(F.col("n"), plain=True)).alias("got")).collect())
     pairs = spark.createDataFrame([("ak", "abck", True), ("ka", "abck", False), ("", "x", True)], "a string, b string, want boolean")
     assert all(r.got == r.want for r in pairs.select("want", names.subsequence(F.col("a"), F.col("b")).alias("got")).collect())
 

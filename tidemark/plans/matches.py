@@ -49,7 +49,7 @@ def phase(over: Column) -> Column:
 
 def competition(info: str = "doc.info") -> Column:
     c = lambda x: F.nullif(F.trim(F.col(f"{info}.{x}")), F.lit(""))
-    label = F.when(F.col(f"{info}.match_type") == "IT20", "T20 International").when(F.col(f"{info}.match_type") == "T20", "T20")
+    label = F.when(F.col(f"{info}.match_type") == "T20", "T20 International").when(F.col(f"{info}.match_type") == "IT20", "Other T20 International")
     return F.coalesce(c("event.name"), label, c("match_type"), F.lit("unknown"))
 
 
@@ -65,8 +65,10 @@ class Ingested:
 def ingest(docs: DataFrame, wanted: Wanted | None = None) -> Ingested:
     """The tables of parsed documents (doc_id, doc, error).
 
-    A match of which a name isn't in its registry is in ``failed`` and nowhere else; names of
-    fielders may be unknown.  Super overs leave no deliveries, wickets or fielding.
+    A match of which a name isn't in its registry is in ``failed`` and nowhere else, and its
+    people are known from other matches only; names of fielders may be unknown.  Super overs
+    leave no deliveries, wickets or fielding.  A ball with several wickets is the bowler's, or
+    puts the striker out, if any of them does.
     """
     chosen = docs.where("error is null").where((wanted or Wanted()).passes())
     people = F.col("doc.info.registry.people")
@@ -78,7 +80,8 @@ def ingest(docs: DataFrame, wanted: Wanted | None = None) -> Ingested:
     order = Window.partitionBy("match_id", "innings").orderBy("_o", "_b")
     extra = lambda x: F.coalesce(F.col(f"d.extras.{x}"), F.lit(0))
     boundary = ~F.coalesce("d.runs.non_boundary", F.lit(False))
-    wickets = F.coalesce("d.wickets", F.array().cast("array<struct<kind:string,player_out:string,fielders:array<struct<name:string,substitute:boolean>>>>"))
+    noted = F.coalesce("d.wickets", F.array().cast("array<struct<kind:string,player_out:string,fielders:array<struct<name:string,substitute:boolean>>>>"))
+    wickets = F.transform(noted, lambda w: w.withField("kind", F.lower(F.trim(w["kind"]))))
     real = F.filter("wickets", lambda w: ~w["kind"].isin(*RETIRED))
     first = F.coalesce(F.get(F.filter("wickets", lambda w: ~w["kind"].isin(*RETIRED)), F.lit(0)), F.get("wickets", F.lit(0)))
     rows = balls.select(
@@ -87,15 +90,15 @@ def ingest(docs: DataFrame, wanted: Wanted | None = None) -> Ingested:
         *(F.col(f"d.{n}").alias(f"_{n}") for n in ("batter", "non_striker", "bowler")),
         who(F.col("d.batter")).alias("batter_id"), who(F.col("d.non_striker")).alias("non_striker_id"), who(F.col("d.bowler")).alias("bowler_id"),
         F.col("d.runs.batter").alias("runs"), F.col("d.runs.total").alias("total"), extra("wides").alias("wides"), extra("noballs").alias("noballs"),
-        (extra("wides") == 0).alias("faced"), ((extra("wides") == 0) & (extra("noballs") == 0)).alias("legal"),
+        (extra("byes") + extra("legbyes")).alias("leg_extras"), (extra("wides") == 0).alias("faced"), ((extra("wides") == 0) & (extra("noballs") == 0)).alias("legal"),
         (F.col("d.runs.batter") + extra("wides") + extra("noballs")).alias("conceded"),
         ((F.col("d.runs.batter") == 4) & boundary).alias("four"), ((F.col("d.runs.batter") == 6) & boundary).alias("six"), wickets.alias("wickets"),
     )
     rows = rows.withColumns({"dot": F.col("faced") & (F.col("runs") == 0), "n_out": F.size(real), "_first": first})
     rows = rows.withColumns({
         "wicket_kind": F.col("_first.kind"), "player_out_id": F.when(~F.col("_first.kind").isin(*RETIRED), who(F.col("_first.player_out"))),
-        "bowler_wicket": F.coalesce(F.col("_first.kind").isin(*BOWLERS), F.lit(False)),
-        "batter_dismissed": F.coalesce((F.col("_first.player_out") == F.col("_batter")) & ~F.col("_first.kind").isin(*RETIRED), F.lit(False)),
+        "bowler_wicket": F.coalesce(F.exists("wickets", lambda w: w["kind"].isin(*BOWLERS)), F.lit(False)),
+        "batter_dismissed": F.coalesce(F.exists("wickets", lambda w: (w["player_out"] == F.col("_batter")) & ~w["kind"].isin(*RETIRED)), F.lit(False)),
     })
     before = Window.partitionBy("match_id", "innings").orderBy("ball_seq").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
@@ -107,7 +110,7 @@ def ingest(docs: DataFrame, wanted: Wanted | None = None) -> Ingested:
     out = good.select("match_id", "innings", "over", "ball_seq", "bowler_id", "_people", F.explode("wickets").alias("w"))
     wicket_rows = out.select("match_id", "innings", "over", "ball_seq", "bowler_id", F.col("w.kind").alias("kind"), who(F.col("w.player_out")).alias("player_out_id"), F.col("w.kind").isin(*BOWLERS).alias("bowler_credited"))
     fielding = out.select("match_id", "innings", "ball_seq", F.col("w.kind").alias("kind"), F.explode("w.fielders").alias("f"), "_people").select("match_id", "innings", "ball_seq", "kind", F.col("f.name").alias("fielder"), F.try_element_at("_people", F.col("f.name")).alias("fielder_id"), F.coalesce("f.substitute", F.lit(False)).alias("substitute"))
-    names = chosen.select(F.explode(people).alias("name", "person_id"))
+    names = chosen.join(lost.select(F.col("match_id").alias("doc_id")), "doc_id", "left_anti").select(F.explode(people).alias("name", "person_id"))
     persons = names.groupBy("person_id").agg(F.array_sort(F.collect_set("name")).alias("_v"), F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("name"))
     persons = persons.select("person_id", "name", F.array_join("_v", "|").alias("variants"), F.size("_v").cast("long").alias("n_variants"))
     return Ingested(good.drop("_people", "_first", "_batter", "_non_striker", "_bowler", "super_over", "wickets"), wicket_rows, fielding, persons, failed)
@@ -129,7 +132,7 @@ def innings_table(made: Ingested) -> DataFrame:
     d, one = made.deliveries, lambda c: F.col(c).cast("int")
     by_phase = lambda prefix, cols: {f"{prefix}_{n}_{p}": F.when(F.col("phase") == p, c).otherwise(0) for p in PHASES for n, c in cols.items()}
     bat = {"bat_runs": F.col("runs"), "bat_balls": one("faced"), "bat_fours": one("four"), "bat_sixes": one("six"), "bat_dots": one("dot"), "bat_in": F.lit(1), **by_phase("bat", {"runs": F.col("runs"), "balls": one("faced")})}
-    bowl = {"bowl_balls": one("legal"), "bowl_runs": F.col("conceded"), "bowl_wickets": one("bowler_wicket"), "bowl_wides": F.col("wides"), "bowl_noballs": F.col("noballs"), "bowl_dots": (F.col("legal") & (F.col("total") == 0)).cast("int"), **by_phase("bowl", {"runs": F.col("conceded"), "balls": one("legal")})}
+    bowl = {"bowl_balls": one("legal"), "bowl_runs": F.col("conceded"), "bowl_wickets": one("bowler_wicket"), "bowl_wides": F.col("wides"), "bowl_noballs": F.col("noballs"), "bowl_dots": (F.col("legal") & (F.col("runs") == 0) & (F.col("leg_extras") == 0)).cast("int"), **by_phase("bowl", {"runs": F.col("conceded"), "balls": one("legal")})}
     roles = [fold.Role("striker", F.col("batter_id"), bat), fold.Role("non_striker", F.col("non_striker_id"), {"bat_in": F.lit(1)}), fold.Role("out", F.col("player_out_id"), {"outs": F.lit(1)}), fold.Role("bowler", F.col("bowler_id"), bowl)]
     sums = fold.fold_roles(d, roles, {"match_id": F.col("match_id"), "innings": F.col("innings")}, F.col("match_date"))
     overs = d.groupBy("bowler_id", "match_id", "innings", "over").agg(F.sum("conceded").alias("r"), F.sum(one("legal")).alias("l"))
