@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tidemark.queries_more  # noqa: F401  registers its queries
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -5,8 +5,8 @@ import math
 import pytest
 
 from pyspark.sql import functions as F
-from tidemark.functions import exprs, names, normal
-from tidemark.operators import asof, checks, encode, linkage, replay, tags
+from tidemark.functions import exprs, names, normal, vocabulary
+from tidemark.operators import asof, checks, encode, linkage, market, replay, tags
 from tidemark.operators.order import infeasibility, lot_order, repaired_order
 
 
@@ -137,3 +137,44 @@ def test_order_repair(spark):
     fixed = repaired_order(lots_df, bids_df, 100.0)
     renamed = bids_df.join(fixed.select("auction", F.col("old_lot").alias("lot"), F.col("lot").alias("new")), ["auction", "lot"]).drop("lot").withColumnRenamed("new", "lot")
     assert before == 2.0 and infeasibility(fixed, renamed, 100.0).first().shortfall == 0.0
+
+
+def test_loud_checks(spark):
+    """What must not pass in silence fails with a message."""
+    df = spark.createDataFrame([(1, 5.0, 7.0), (2, 7.0, 6.0)], "k int, lower double, upper double")
+    with pytest.raises(ValueError, match="not in all tables: lower, upper"):
+        checks.concat_strict([df, df.select("k")])
+    with pytest.raises(ValueError, match="no row has k"):
+        checks.restricted(df, "k", [9])
+    with pytest.raises(ValueError, match=r"\(7.0, 6.0\)"):
+        checks.sound_intervals(df, "lower", "upper")
+    assert checks.sound_intervals(df.where("k = 1"), "lower", "upper").count() == 1
+    roles = spark.createDataFrame([("WK-Batsman", "WICKETKEEPER"), ("batting all-rounder", "ALL-ROUNDER"), ("umpire", None), (None, None)], "r string, want string")
+    assert all(r.got == r.want for r in roles.select("want", vocabulary.canonical_role(F.col("r"), strict=False).alias("got")).collect())
+    with pytest.raises(Exception, match="no role is known as"):
+        roles.select(vocabulary.canonical_role(F.col("r"))).collect()
+
+
+def test_recent_matches(spark):
+    """Two matches on a day are two; a match's innings are one; a request sees earlier days only."""
+    rows = [("a", "2020-01-01", "m1", 1), ("a", "2020-01-01", "m2", 10), ("a", "2020-01-01", "m2", 20), ("a", "2020-01-03", "m3", 100), ("b", "2020-01-02", "m4", 5)]
+    df = spark.createDataFrame(rows, "k string, d string, m string, p int").withColumn("d", F.to_date("d"))
+    asked = spark.createDataFrame([("a", "2020-01-01"), ("a", "2020-01-02"), ("a", "2020-01-04"), ("b", "2021-01-01"), ("c", "2021-01-01"), ("a", "2020-01-04")], "k string, at string").withColumn("at", F.to_date("at"))
+    got = sorted((r.k, str(r.at), r.matches, r.total) for r in asof.recent_of(df, asked, "k", "d", "m", "at", 2, {"total": F.col("p")}).collect())
+    assert got == [("a", "2020-01-01", 0, 0), ("a", "2020-01-02", 2, 31), ("a", "2020-01-04", 2, 130), ("a", "2020-01-04", 2, 130), ("b", "2021-01-01", 1, 5), ("c", "2021-01-01", 0, 0)]
+
+
+def test_market_states(spark):
+    lots = spark.createDataFrame([(1, 1, "R", 60.0, ["x"]), (1, 2, None, None, ["x", "y"]), (1, 3, "B", None, ["y"]), (1, 4, "R", 30.0, ["z"])], "auction int, lot int, team string, price double, tags array<string>")
+    teams, targets = spark.createDataFrame([("R",), ("B",)], "team string"), spark.createDataFrame([("x", 1), ("y", 1)], "tag string, target int")
+    states = market.team_states(lots, teams, 100.0, 2)
+    got = {(r.lot, r.team): (r.purse_left, r.slots_left) for r in states.collect()}
+    assert got == {(1, "R"): (100, 2), (1, "B"): (100, 2), (2, "R"): (40, 1), (2, "B"): (100, 2), (3, "R"): (40, 1), (3, "B"): (100, 2), (4, "R"): (40, 1), (4, "B"): (100, 1)}
+    told = {(r.lot, r.tag): (r.supply, r.demand, r.scarcity) for r in market.tag_states(lots, states, targets, 50.0).collect()}
+    assert told[1, "x"] == (2, 2, 1.0) and told[2, "x"] == (1, 1, 1.0) and told[4, "y"] == (0, 0, 0.0) and told[3, "x"] == (0, 1, 1.0)
+    block = {(r.lot, r.team): r for r in market.focus(lots, states, targets, 50.0).collect()}
+    assert set(block) == {(i, t) for i in (1, 2, 3) for t in "RB"}  # lot 4 has no tag with a target
+    r = block[2, "R"]
+    assert (r.bought_min, r.bought_max, r.needed_max, r.wants_any, r.interested, r.n_tags, r.substitutes_remaining) == (0, 1, 1, 1, 2, 2, 2)
+    bids = spark.createDataFrame([(1, 2, 5.0, 1), (1, 1, 4.0, 2), (2, None, 3.0, 3), (2, 7, 2.0, 4)], "lot int, no long, amt double, row int")
+    assert {r.row: r.no for r in market.numbered_bids(bids, "lot", "no", "amt", "row").collect()} == {1: 2, 2: 1, 3: 2, 4: 1}

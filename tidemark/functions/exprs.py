@@ -91,3 +91,13 @@ def all_null(columns: Iterable[str]) -> Column:
 
 def age_years(born: Column, at: Column) -> Column:
     return F.datediff(at, born) / F.lit(365.25)
+
+
+def as_int(value: Column) -> Column:
+    """The whole part, towards 0."""
+    return value.cast("long")
+
+
+def season(text: Column) -> Column:
+    """The year a season's name begins with: its first four characters."""
+    return F.substring(text.cast("string"), 1, 4)

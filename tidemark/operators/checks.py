@@ -70,3 +70,50 @@ def regressions(df: DataFrame, key: str, edition: str, values: list[str]) -> Dat
     past = df.select(key, F.col(edition).alias("_prev"), *(F.col(v).alias(f"_{v}") for v in values))
     long = now.join(past, [key, "_prev"]).select(key, edition, F.explode(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(f"_{v}").cast("double").alias("before"), F.col(v).cast("double").alias("now")) for v in values))).alias("m"))
     return long.select(key, edition, "m.*").where("now < before")
+
+
+def concat_strict(tables: list[DataFrame]) -> DataFrame:
+    """All rows of tables with the same columns, in any order; other columns are an error."""
+    first = set(tables[0].columns)
+    for df in tables[1:]:
+        if odd := first ^ set(df.columns):
+            raise ValueError(f"columns are not in all tables: {', '.join(sorted(odd))}")
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def restricted(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows of the given values; none at all is an error, told before anything is built on them."""
+    kept = df.where(F.col(column).isin(*values))
+    if kept.isEmpty():
+        raise ValueError(f"no row has {column} of {values}")
+    return kept
+
+
+def sound_intervals(df: DataFrame, lower: str, upper: str, shown: int = 10) -> DataFrame:
+    """df, if all its intervals are 0 < lower < upper; else an error that shows some that aren't."""
+    bad = bad_intervals(df, lower, upper).select(lower, upper).limit(shown).collect()
+    if bad:
+        raise ValueError("intervals are not sound: " + ", ".join(f"({r[0]}, {r[1]})" for r in bad))
+    return df
+
+
+def _told(check: str, severity: str, counted: DataFrame) -> DataFrame:
+    return counted.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.col("value").cast("long").alias("value"))
+
+
+def unmatched(check: str, severity: str, df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
+    """A finding: how many rows have a key that the other table lacks."""
+    return _told(check, severity, df.select(key).join(other.select(other_key), F.col(key) == F.col(other_key), "left_anti").agg(F.count("*").alias("value")))
+
+
+def repeated(check: str, severity: str, df: DataFrame, keys: list[str]) -> DataFrame:
+    """A finding: how many keys come up more than once."""
+    return _told(check, severity, duplicate_keys(df, keys).agg(F.count("*").alias("value")))
+
+
+def audit(found: list[DataFrame]) -> DataFrame:
+    """Findings of several tables as one."""
+    return concat_strict(found)
