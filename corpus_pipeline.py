@@ -43,9 +43,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _one_of_each(rows: DataFrame, grouped: DataFrame, group: str, chosen: Column) -> DataFrame:
-    """Of the rows that grouped (ROW, group) puts together the one whose number is chosen."""
+    """Of the rows that grouped (ROW, group) puts together the one whose number is chosen.
+
+    The numbers grow with the documents, so they are never broadcast, at no size.
+    """
     told = grouped.select(ROW, F.col(group).alias("_group")).join(rows.select(ROW, "doc_id"), ROW)
-    return rows.join(_kit.written(told.groupBy("_group").agg(chosen.alias(ROW)).select(ROW), "chosen"), ROW, "left_semi").drop(ROW)
+    picked = _kit.written(told.groupBy("_group").agg(chosen.alias(ROW)).select(ROW), "chosen")
+    return rows.join(picked.hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
