@@ -178,3 +178,12 @@ def test_market_states(spark):
     assert (r.bought_min, r.bought_max, r.needed_max, r.wants_any, r.interested, r.n_tags, r.substitutes_remaining) == (0, 1, 1, 1, 2, 2, 2)
     bids = spark.createDataFrame([(1, 2, 5.0, 1), (1, 1, 4.0, 2), (2, None, 3.0, 3), (2, 7, 2.0, 4)], "lot int, no long, amt double, row int")
     assert {r.row: r.no for r in market.numbered_bids(bids, "lot", "no", "amt", "row").collect()} == {1: 2, 2: 1, 3: 2, 4: 1}
+
+
+def test_next_greater_and_last_two(spark):
+    rows = [("a", i, v) for i, v in enumerate([3.0, 1.0, None, 2.0, 5.0, 5.0, 4.0])] + [("b", 0, 1.0), ("c", 0, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(3)
+    got = {(r.k, r.i): r.next_greater for r in replay.next_greater(df, ["k"], [F.col("i")], "v").collect()}
+    assert got == {("a", 0): 5.0, ("a", 1): 2.0, ("a", 2): None, ("a", 3): 5.0, ("a", 4): None, ("a", 5): None, ("a", 6): None, ("b", 0): None, ("c", 0): None}
+    two = replay.last_two(df.withColumn("base", F.lit(0.5)), ["k"], [F.col("i")], "v", "base")
+    assert {r.k: (r.last_value, r.previous_value) for r in two.collect()} == {"a": (4.0, 5.0), "b": (1.0, 0.5), "c": (None, 0.5)}

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import ratio
-
 
 @dataclass(frozen=True)
 class Role:
@@ -63,32 +61,6 @@ def group_profile(df: DataFrame, key: str, flag: Column) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(flag.cast("double")) * 100, 1).alias("percent"))
 
 
-def batting_metrics(prefix: str = "bat") -> dict[str, Column]:
-    """Rates from a batter's sums (columns runs, balls, outs, fours, sixes, dots)."""
-    c = F.col
-    return {
-        f"{prefix}_average": ratio(c("runs"), c("outs")),
-        f"{prefix}_strike_rate": ratio(c("runs"), c("balls"), 100.0),
-        f"{prefix}_boundary_rate": ratio(c("fours") + c("sixes"), c("balls")),
-        f"{prefix}_dot_rate": ratio(c("dots"), c("balls")),
-    }
-
-
-def bowling_metrics(prefix: str = "bowl") -> dict[str, Column]:
-    """Rates from a bowler's sums (columns balls, conceded, wickets, dots)."""
-    c = F.col
-    return {
-        f"{prefix}_economy": ratio(c("conceded"), c("balls"), 6.0),
-        f"{prefix}_average": ratio(c("conceded"), c("wickets")),
-        f"{prefix}_strike_rate": ratio(c("balls"), c("wickets")),
-        f"{prefix}_dot_rate": ratio(c("dots"), c("balls")),
-    }
-
-
 def first_seen(df: DataFrame, entities: list[str], date: str) -> DataFrame:
     """(entity, first_date) over all columns that name an entity."""
     return df.select(F.explode(F.array(*entities)).alias("entity"), date).where("entity is not null").groupBy("entity").agg(F.min(date).alias("first_date"))
-
-
-def share_of_total(df: DataFrame, value: str, by: list[str], alias: str) -> DataFrame:
-    return df.withColumn(alias, ratio(F.col(value), F.sum(value).over(Window.partitionBy(*by))))

@@ -15,14 +15,20 @@ def mad(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     return joined.groupBy(*keys, "median").agg(F.median(F.abs(F.col("_v") - F.col("median"))).alias("mad"))
 
 
-def average_rank(df: DataFrame, value: str, alias: str) -> DataFrame:
-    """df with the value's rank, ties sharing the mean of theirs.
+def average_rank(df: DataFrame, value: str, alias: str, parts: int = 64) -> DataFrame:
+    """df with the value's rank, ties sharing the mean of theirs; null values have none.
 
-    Ranks come from the distinct values: their counts before each, by range partitions.
+    Ranks come from the distinct values: their counts before each, within parts of the value's
+    range, and the parts' counts before them.  Where the parts begin needn't be exact.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(value, (before + (F.col("_c") + 1) / 2).alias(alias)), value)
+    edges = sorted(set(df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.01)))  # as many as parts
+    part = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")).withColumn("_part", part)
+    sums = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    first = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row for each part
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.join(F.broadcast(first), "_part").select(value, (F.col("_first") + inside + (F.col("_c") + 1) / 2).alias(alias))
+    return df.join(ranks, value, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, alias: str = "rho") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
-from tidemark.operators import fold
+from tidemark.operators import asof, fold
 
 SCHEMA = """meta struct<data_version:string,created:string,revision:int>,
 info struct<balls_per_over:int,overs:int,match_type:string,gender:string,team_type:string,season:string,dates:array<string>,
@@ -142,10 +142,17 @@ def innings_table(made: Ingested) -> DataFrame:
 
 
 def career(table: DataFrame, requests: DataFrame) -> DataFrame:
-    """For requests (entity, as_of) the sums of earlier days with their rates; has_history is false where there are none."""
+    """For requests (entity, as_of) the sums of earlier days with their rates; has_history is false where there are none.
+
+    Innings and requests go through one window by player and day, so no request is joined with a
+    player's innings one by one.
+    """
     sums = [c for c in table.columns if c not in ("entity", "match_id", "innings", "first_date", "bat_in")]
-    joined = requests.join(table.withColumnRenamed("entity", "_e"), (F.col("entity") == F.col("_e")) & (F.col("first_date") < F.col("as_of")), "left")
-    done = joined.groupBy("entity", "as_of").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), F.countDistinct("match_id").alias("matches"), F.sum(F.when(F.col("bat_in") > 0, 1).otherwise(0)).alias("bat_innings"))
+    first = F.row_number().over(Window.partitionBy("entity", "match_id").orderBy("innings"))
+    counted = table.withColumn("matches", (first == 1).cast("int")).withColumn("bat_innings", (F.col("bat_in") > 0).cast("int"))
+    names = [*sums, "matches", "bat_innings"]
+    done = asof.totals_of(counted, requests.distinct(), "entity", "first_date", "as_of", {c: F.col(c) for c in names})
+    done = done.select("entity", "as_of", *(F.col(c).cast("long").alias(c) for c in names))
     c = F.col
     return done.withColumns({
         "has_history": c("matches") > 0, "bat_average": ratio(c("bat_runs"), c("outs")), "bat_strike_rate": ratio(c("bat_runs"), c("bat_balls"), 100.0),

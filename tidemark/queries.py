@@ -375,12 +375,13 @@ def q42_pool_remaining(t):
 
 @query("""WITH l AS (SELECT user_id, event_type, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1, 2) SELECT user_id, event_type, v[-1] AS last_value, CASE WHEN len(v) > 1 THEN v[-2] END AS previous_value FROM l""")
 def q43_last_prev_bid(t):
-    return replay.last_two(t("events"), ["user_id", "event_type"], F.struct("ts", "event_id"), "value")
+    return replay.last_two(t("events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], "value")
 
 
 @query("""SELECT event_id, list_filter(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), lambda x: x > value)[1] AS next_greater FROM events""")
 def q44_next_greater(t):
-    return replay.next_greater(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], "value").select("event_id", "next_greater")
+    rows = t("events").select("event_id", "user_id", "ts", "value")
+    return replay.next_greater(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "value").select("event_id", "next_greater")
 
 
 @query("""WITH e AS (SELECT CAST(ts AS DATE) AS lot, event_type AS team, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS no, round(max(value) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS amt FROM events),

@@ -7,6 +7,7 @@ import zipfile
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,6 +48,9 @@ def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     that can't be read is a row with an error.
     """
 
+    def table(rows):
+        return pd.DataFrame(rows, columns=["doc_id", "body", "error"])
+
     def unpack(frames):
         for frame in frames:
             rows = []
@@ -61,9 +65,12 @@ def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                             last = x.rsplit("/", 1)[-1]
                             if last.endswith(".json") and last != SKIPPED:
                                 rows.append((last.removesuffix(".json"), z.read(x).decode("utf-8", "replace"), None))
+                                if len(rows) >= 256:
+                                    yield table(rows)
+                                    rows = []
                 except zipfile.BadZipFile as e:
                     rows.append((name, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "body", "error"])
+            yield table(rows)
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     wanted = found.where((F.col("path").endswith(".zip") | F.col("path").endswith(".json")) & ~F.col("path").endswith(f"/{SKIPPED}"))
@@ -82,9 +89,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_review(df: DataFrame, path: str, most: int = 100_000) -> None:
-    """A CSV for people to read: one file, of ``most`` rows at most."""
-    df.limit(most).coalesce(1).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+def write_review(df: DataFrame, path: str, files: int = 1) -> None:
+    """A CSV for people to read, all rows of it; one file unless more are asked for."""
+    df.coalesce(files).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+
+
+def prepared(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at path; built and written first if it isn't there whole."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
 
 def year_of_file(df: DataFrame) -> DataFrame:
