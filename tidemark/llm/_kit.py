@@ -80,7 +80,8 @@ def salted(weights: DataFrame, key: str, weight: str) -> tuple[Column, Column]:
     if not hot:
         return F.lit(0), F.array(F.lit(0))
     is_hot = F.xxhash64(key).isin(hot)
-    return F.when(is_hot, F.pmod(F.col("_dealt"), F.lit(SALTS)).cast("int")).otherwise(0), F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    # never null, so that no join adds a condition of its own and joins can share a shuffle
+    return F.coalesce(F.when(is_hot, F.pmod(F.col("_dealt"), F.lit(SALTS)).cast("int")), F.lit(0)), F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
 
 
 def text_of(column: str):
