@@ -15,8 +15,8 @@ def shares(drawn, name):
     return {k: v / sum(found.values()) for k, v in found.items()}
 
 
-def tempered(docs, name):
-    found = {r[0]: float(r[1]) ** 0.5 for r in docs.groupBy(name).agg(F.sum("tokens")).collect()}
+def tempered(docs, name, power=0.5):
+    found = {r[0]: float(r[1]) ** power for r in docs.groupBy(name).agg(F.sum("tokens")).collect()}
     return {k: v / sum(found.values()) for k, v in found.items()}
 
 
@@ -35,7 +35,7 @@ def test_pipeline_mixing_meets_all_targets(spark):
     drawn = done.withColumns({"tokens": F.expr("(octet_length(text) + 3) div 4"), "topic": mixing.topic_of(F.col("text")), "copies": F.lit(1)})
     room = 1.0
     for name in mixing.DIMENSIONS:
-        got, want = shares(drawn, name), tempered(docs, name)
+        got, want = shares(drawn, name), tempered(docs, name, corpus_pipeline.POWER)
         assert min(want.values()) < 0.3 and set(got) == set(want)
         plain = {r[0]: float(r[1]) for r in docs.groupBy(name).agg(F.sum("tokens")).collect()}
         room = min(room, *(plain[v] / sum(plain.values()) / want[v] for v in want))

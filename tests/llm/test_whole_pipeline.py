@@ -45,4 +45,5 @@ def test_drawn_rows_come_alone(spark):
     assert len(got) == len(set(got)) and set(map(tuple, got)) <= set(same)
     for part, size in ((1, 2000), (None, 1800)):
         n = sum(r.doc_id == part and r.source == "a" for r in got)
-        assert 0.15 * size < n < 0.35 * size
+        # b, a twentieth of the tokens, has 6.6 % of the mixture, which limits the volume to 0.76; a is 93.4 % of that
+        assert 0.68 * size < n < 0.80 * size
