@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs, names, normal, rates, vocabulary
-from tidemark.operators import asof, checks, market
+from tidemark.operators import asof, checks, features, market
+from tidemark.plans import register
 from tidemark.queries import query
 
 # order, concatenation, sets
@@ -286,3 +287,44 @@ def q91_table_audit(t):
 def q92_bad_intervals(t):
     rows = t("orders").withColumns({"lower": F.col("o_totalprice"), "upper": F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 3 - 1) / 10.0)})
     return checks.bad_intervals(rows, "lower", "upper").select("o_orderkey")
+
+
+# features and identities
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, count(*) AS n, count_if(o_orderstatus = 'F') AS closed FROM orders GROUP BY 1)
+    SELECT c_custkey, (n IS NOT NULL)::INT::DOUBLE AS has_history, coalesce(n, 0)::DOUBLE AS n_orders, coalesce(n / nullif(closed, 0), 0) AS per_closed, (n / nullif(closed, 0) IS NULL)::INT::DOUBLE AS per_closed_is_missing
+    FROM customer LEFT JOIN s ON k = c_custkey AND c_acctbal >= 0""")
+def q93_roster_features(t):
+    closed = F.sum(F.when(F.col("o_orderstatus") == "F", 1))
+    table = t("orders").groupBy(F.col("o_custkey").alias("person")).agg(F.count("*").alias("n"), (F.count("*") / closed).alias("per_closed"))
+    people = t("customer").where("c_acctbal >= 0").select("c_custkey", F.col("c_custkey").alias("person"))
+    return features.for_roster(t("customer"), people, table, "c_custkey", "person", {"n_orders": F.col("n")}, {"per_closed": F.col("per_closed")})
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, 'part ' || (p_partkey % 100) AS second FROM part), r AS (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name ELSE ' ' END AS u FROM supplier),
+    b AS (SELECT *, CASE WHEN trim(u) <> '' THEN u END AS given FROM p LEFT JOIN r ON s_suppkey = p_partkey), v AS (SELECT *, list_sort(list_distinct(list_filter([p_name, second, CASE WHEN s_suppkey IS NOT NULL THEN 'S' || s_suppkey END, given], lambda x: x IS NOT NULL))) AS names FROM b)
+    SELECT p_partkey AS person_id, coalesce(given, p_name) AS canonical_name, array_to_string(names, '|') AS name_variants, len(names)::INT AS n_variants, u AS unique_name, CASE WHEN s_suppkey IS NOT NULL THEN 'c' || s_suppkey END AS key_cricinfo, CAST(NULL AS VARCHAR) AS key_cricbuzz FROM v""")
+def q94_merge_register(t):
+    people = t("part").select(F.col("p_partkey").alias("person_id"), F.col("p_name").alias("canonical_name"), F.concat("p_name", F.lit("|part "), (F.col("p_partkey") % 100).cast("string")).alias("name_variants"))
+    key = F.col("s_suppkey")
+    known = t("supplier").select(key.alias("identifier"), F.concat(F.lit("S"), key.cast("string")).alias("name"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).otherwise(" ").alias("unique_name"),
+        F.concat(F.lit("c"), key.cast("string")).alias("key_cricinfo"), F.lit(None).cast("string").alias("key_cricbuzz"))
+    return register.merge_register(people, known)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey AS player, year(CAST(o_orderdate AS DATE)) AS season, c_nationkey AS team, o_orderpriority AS prio FROM orders JOIN customer ON o_custkey = c_custkey),
+    sq AS (SELECT DISTINCT season, team, l_suppkey AS person FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50), un AS (SELECT c_custkey AS player, CASE WHEN c_acctbal < 0 THEN 'ambiguous' ELSE 'no_match' END AS reason FROM customer),
+    li AS (SELECT DISTINCT player, season, team FROM o JOIN un USING (player) WHERE prio = '1-URGENT' AND reason = 'no_match'), co AS (SELECT DISTINCT player FROM li JOIN sq USING (season, team)),
+    pa AS (SELECT DISTINCT player, person FROM li JOIN sq USING (season, team) ANTI JOIN (SELECT s_suppkey AS person FROM supplier WHERE s_acctbal > 0) USING (person)),
+    ca AS (SELECT player, list_sort(list(person)) AS c, bool_or(n > 1) AS d FROM (SELECT *, count(*) OVER (PARTITION BY person) AS n FROM pa) GROUP BY 1)
+    SELECT un.player, CASE WHEN reason = 'ambiguous' THEN 'fixable' WHEN co.player IS NULL THEN 'inconclusive' WHEN c IS NOT NULL THEN 'residue_hit' ELSE 'no_t20_record' END AS status, coalesce(array_to_string(c, ','), '') AS candidates, coalesce(d, false) AS contested
+    FROM un LEFT JOIN co USING (player) LEFT JOIN ca USING (player)""")
+def q95_squad_residue(t):
+    o = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.select("o_orderkey", F.col("o_custkey").alias("player"), F.year(F.to_date("o_orderdate")).alias("season"), F.col("c_nationkey").alias("team"), "o_orderpriority")
+    played = t("lineitem").where("l_quantity >= 50").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("season", "team", F.col("l_suppkey").alias("person"))
+    asked = t("customer").select(F.col("c_custkey").alias("player"), F.when(F.col("c_acctbal") < 0, "ambiguous").otherwise("no_match").alias("reason"))
+    listed = o.where("o_orderpriority = '1-URGENT'").select("player", "season", "team")
+    done = register.residue(asked, listed, played, t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("person")))
+    return done.withColumn("candidates", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ","))
