@@ -66,16 +66,18 @@ def dropped(*tables: DataFrame) -> None:
 HOT_SHARE, HOT_ROWS, SALTS = 1 / 4096, 256, 64
 
 
-def salted(weights: DataFrame, key: str, weight: str) -> tuple[Column, Column]:
+def salted(weights: DataFrame, key: str, weight: str, total: int | None = None) -> tuple[Column, Column]:
     """What deals hot keys over many tasks: (salt, salts), columns for the side that has many rows
     of a key (a hash of its columns decides) and for the side that has one row for each.
 
-    weights has one row for each key, with the number of the other side's rows in ``weight``.
+    weights has one row for each key, with the number of the other side's rows in ``weight``;
+    total is their sum, where the caller knows it.
     The first column is a function of the key and of a column ``_dealt`` (any long that varies
     within the key), the second is an array to be exploded.  Keys are told by their hash: one
     that shares a hot one's is dealt too, on both sides alike.
     """
-    least = (weights.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE
+    total = weights.agg(F.sum(weight)).first()[0] or 0 if total is None else total
+    least = total * HOT_SHARE
     hot = [x[0] for x in weights.where((F.col(weight) > least) & (F.col(weight) >= HOT_ROWS)).select(F.xxhash64(key)).distinct().collect()]  # 4,096 at most
     if not hot:
         return F.lit(0), F.array(F.lit(0))

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _kit
 
-#: Links that a task's union-find holds at once; it goes on with a new one then.
+#: Nodes that a task's union-find holds at once; it goes on with a new one then.
 HELD = 500_000
+#: Links for each task of a round; more tasks than Spark's own partitions there never are.
+TASK = 1 << 14
 
 
 def _forest(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
@@ -59,16 +61,18 @@ def components(links: DataFrame, most_rounds: int = 60, held: int = HELD) -> Dat
     links may repeat.
     """
     kind = links.schema["a"].dataType.simpleString()
-    stars = _kit.written(links.where("a != b").select("a", "b").mapInArrow(lambda batches: _forest(batches, held), f"a {kind}, b {kind}").distinct(), "stars")  # a > b
+    tasks = 1 + links.count() // TASK
+    ends = links.where("a != b").select("a", "b").coalesce(tasks)
+    stars = _kit.written(ends.mapInArrow(lambda batches: _forest(batches, held), f"a {kind}, b {kind}").distinct().coalesce(tasks), "stars")  # a > b
     for _ in range(most_rounds):
         if _settled(stars):
             return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        large = _kit.written(large, "large-star")
+        large = _kit.written(large.coalesce(tasks), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", "low")).distinct()
-        before, stars = stars, _kit.written(small, "stars")
+        before, stars = stars, _kit.written(small.coalesce(tasks), "stars")
         _kit.dropped(before, large)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

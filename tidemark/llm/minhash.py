@@ -8,8 +8,9 @@ bits of each slot tell that they can't be similar enough.  First each bucket's m
 compared with the one of them that has most company in all its buckets; so a bucket of many
 copies costs pairs in proportion to its size.  Buckets of one such leader are then one group,
 which a document enters once however many of them it is in; members of a group that are still
-in different components are all compared within a join, by bits and then by their sets, so
-that pairs are made of links alone.  Links are confirmed on the full sets of both texts.
+in different components are all compared within a join, by bits, by a bitmap of each set, which
+bounds how much two sets share from above, and then by the sets, so that pairs are made of links
+alone.  Links are confirmed on the full sets of both texts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tidemark.llm.components import components
 
 SLOTS, ROWS = 128, 4  # slots in a signature (a power of two), slots in a band
 BLOCK = 1000  # members of a group that one task compares with all others of it
+MAP = 16  # longs of the bitmap of a set's shingles
 _HIGH = np.uint64(32)
 
 
@@ -124,15 +126,25 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of texts (id, text): the first of each shingle's two hashes."""
+    """(id, shingles, bitmap) of texts (id, text): the first of each shingle's two hashes, and a
+    bitmap in which each of them sets the bit that its lowest bits name."""
 
     def made(batches):
         for batch in batches:
             for row, end, data, offs in _kit.slices(batch["text"]):
                 value, _, begins = shingle_sets(lowered(data), offs, width)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(row, end - row), _kit.ragged(value.view(np.int64), np.diff(begins), pa.int64())], ["id", "shingles"])
+                for at in range(0, end - row, 4096):
+                    own = begins[at : at + 4097]
+                    few, size = value[own[0] : own[-1]], np.diff(own)
+                    bits = np.zeros((len(size), 64 * MAP), bool)
+                    bits[np.repeat(np.arange(len(size)), size), (few & np.uint64(64 * MAP - 1)).astype(np.int64)] = True
+                    bitmap = np.packbits(bits, axis=1).view(np.int64).ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["id"].slice(row + at, len(size)), _kit.ragged(few.view(np.int64), size, pa.int64()), _kit.ragged(bitmap, np.full(len(size), MAP), pa.int64())],
+                        ["id", "shingles", "bitmap"],
+                    )
 
-    return texts.select("id", "text").mapInArrow(made, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
+    return texts.select("id", "text").mapInArrow(made, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>, bitmap array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -140,7 +152,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     texts has (id, text).  Where an id has several texts, those count whose set has the size told.
     """
-    both = looked_up(looked_up(pairs, "a", texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))), "b", texts.select(F.col("id").alias("b"), F.col("text").alias("tb")))
+    one = looked_up(pairs, "a", texts.select(F.col("id").alias("a"), F.col("text").alias("ta")))
+    both = looked_up(one, "b", texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), pairs)
 
     def compare(batches):
         for batch in batches:
@@ -161,10 +174,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def looked_up(pairs: DataFrame, side: str, table: DataFrame) -> DataFrame:
+def looked_up(pairs: DataFrame, side: str, table: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """pairs with the columns of table, which has one row for each value of side; a value that very
-    many pairs have is dealt over many tasks."""
-    salt, salts = _kit.salted(pairs.groupBy(side).agg(F.count("*").alias("_pairs")), side, "_pairs")
+    many pairs have is dealt over many tasks.  counted is a written table with the rows of pairs for
+    each value of side, where pairs itself would have to be made once more to count them."""
+    counted = pairs if counted is None else counted
+    salt, salts = _kit.salted(counted.groupBy(side).agg(F.count("*").alias("_pairs")), side, "_pairs", counted.count())
     many = pairs.withColumn("_dealt", F.xxhash64("a", "b")).withColumn("_salt", salt).drop("_dealt")
     return many.join(table.withColumn("_salt", F.explode(salts)), [side, "_salt"]).drop("_salt")
 
@@ -215,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Those of the distinct pairs (a, b) that are links."""
         side = lambda x: told.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
         pairs = _kit.written(pairs, "pairs")
-        alike = looked_up(looked_up(pairs, "a", side("a")), "b", side("b")).where(_alike(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"), percent))
+        alike = looked_up(looked_up(pairs, "a", side("a")), "b", side("b"), pairs).where(_alike(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"), percent))
         alike = _kit.written(alike.select("a", "b", "na", "nb"), "alike")
         found = _kit.written(confirmed(alike, texts, width, percent), "links")
         _kit.dropped(pairs, alike)
@@ -228,15 +243,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links)
     parts = led.join(label, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("label", "rep").alias("part"))
     apart = parts.groupBy("lead").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("lead", "members")
-    parts = _kit.written(looked_up(parts.withColumnsRenamed({"rep": "a", "part": "b"}), "lead", apart).withColumnsRenamed({"a": "rep", "b": "part"}), "parts")
+    parts = _kit.written(looked_up(parts.withColumnsRenamed({"rep": "a", "part": "b"}), "lead", apart, led).withColumnsRenamed({"a": "rep", "b": "part"}), "parts")
     # every member of a group meets every other in one of the group's blocks
     own = _kit.written(sets(texts.join(parts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width), "sets")
-    rows = parts.join(told.select("rep", "n", "bits"), "rep").join(own, (F.col("rep") == F.col("id")) & (F.col("n") == F.size("shingles"))).select("lead", "rep", "part", "n", "bits", "shingles", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = parts.join(told.select("rep", "n", "bits"), "rep").join(own, (F.col("rep") == F.col("id")) & (F.col("n") == F.size("shingles"))).select("lead", "rep", "part", "n", "bits", "shingles", "bitmap", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     one = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    all_ = rows.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_2") for c in ("rep", "part", "n", "bits", "shingles")))
+    all_ = rows.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_2") for c in ("rep", "part", "n", "bits", "shingles", "bitmap")))
+    # a bit that one bitmap alone has is a shingle, at least, that one set alone has
+    differ = sum((F.bit_count(F.col("bitmap")[i].bitwiseXOR(F.col("bitmap_2")[i])) for i in range(MAP)), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent)
     linked = F.size(F.array_intersect("shingles", "shingles_2")) * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent
-    cross = one.join(all_, ["lead", "block"]).where((F.col("part") < F.col("part_2")) & _alike(F.col("n"), F.col("bits"), F.col("n_2"), F.col("bits_2"), percent) & linked)
-    label = components(links.union(compared(cross.select(*pair("rep", "rep_2")).distinct())))
+    cross = one.join(all_, ["lead", "block"]).where((F.col("part") < F.col("part_2")) & _alike(F.col("n"), F.col("bits"), F.col("n_2"), F.col("bits_2"), percent) & near & linked)
+    more = compared(cross.select(*pair("rep", "rep_2")).distinct())
+    label = components(more.union(label.select(F.col("label").alias("a"), F.col("node").alias("b"))))
     named = _kit.written(classes.join(label, F.col("rep") == F.col("node"), "left").select("fp", "rows", F.coalesce("label", "rep").alias("component")), "named")
     _kit.dropped(shared, member, told, few, texts, led, parts, own)
     by_fp, each = _kit.salted(named, "fp", "rows")
