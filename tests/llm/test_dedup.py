@@ -148,3 +148,15 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (exact_dedup, minhash.near_duplicates, cut):
         assert f(empty).count() == 0
+
+
+def test_bitmaps_never_differ_in_more_bits_than_sets_in_shingles(spark):
+    from tidemark.llm.minhash import MAP, sets
+
+    texts = [" ".join(f"w{i}" for i in range(n, n + 300)) for n in range(0, 60, 7)] + ["", "one two", " ".join(f"x{i}" for i in range(5000))]
+    rows = {r.id: r for r in sets(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5).collect()}
+    assert len(rows) == len(texts) and all(len(r.bitmap) == MAP for r in rows.values())
+    for a in rows.values():
+        for b in rows.values():
+            differ = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a.bitmap, b.bitmap, strict=True))
+            assert differ <= len(set(a.shingles) ^ set(b.shingles))
