@@ -9,6 +9,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix, mix_sql
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import BASE, counted, listed, personal_data
 from tidemark.llm.preference import neighbours, preference_pairs
 from tidemark.llm.quality_classifier import quality_classifier
 from tidemark.llm.quality_rules import quality_rules
@@ -71,6 +72,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = personal_data(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", *(counted(k).alias(f"n_{k}") for k in BASE), F.sha2(listed(BASE), 256).alias("base_sha256"), listed().alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_personal_data": op11_personal_data,
     "pipeline": pipeline,
 }
 
@@ -151,4 +158,30 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM g LEFT JOIN k USING (doc_id)""",
+    "op11_personal_data": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+        k(kind, o, p) AS (VALUES ('email', 1, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)'), ('ip', 2, '([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)'), ('card', 3, '([0-9](?:[ -]?[0-9])+)'), ('phone', 4, '(\+[0-9][ ().0-9-]+[0-9])'),
+            ('iban', 5, '\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b'), ('ssn', 6, '\b([0-9]{3}-[0-9]{2}-[0-9]{4})\b')),
+        m AS (SELECT row, t, 'email' AS kind, regexp_replace(t, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', chr(57344) || '\1' || chr(57345), 'g') AS x FROM d WHERE contains(t, '@')
+              UNION ALL SELECT row, t, 'ip', regexp_replace(t, '([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)', chr(57344) || '\1' || chr(57345), 'g') FROM d
+              UNION ALL SELECT row, t, 'card', regexp_replace(t, '([0-9](?:[ -]?[0-9])+)', chr(57344) || '\1' || chr(57345), 'g') FROM d
+              UNION ALL SELECT row, t, 'phone', regexp_replace(t, '(\+[0-9][ ().0-9-]+[0-9])', chr(57344) || '\1' || chr(57345), 'g') FROM d WHERE contains(t, '+')
+              UNION ALL SELECT row, t, 'iban', regexp_replace(t, '\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b', chr(57344) || '\1' || chr(57345), 'g') FROM d
+              UNION ALL SELECT row, t, 'ssn', regexp_replace(t, '\b([0-9]{3}-[0-9]{2}-[0-9]{4})\b', chr(57344) || '\1' || chr(57345), 'g') FROM d),
+        u AS (SELECT row, t, kind, unnest(string_split(x, chr(57344))) AS part, generate_subscripts(string_split(x, chr(57344)), 1) AS i FROM m WHERE contains(x, chr(57344))),
+        s AS (SELECT row, t, kind, i, split_part(part, chr(57345), 1) AS v,
+                     coalesce(sum(length(replace(part, chr(57345), ''))) OVER (PARTITION BY row, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM u),
+        v AS (SELECT row, kind, b, b + length(v) AS e, v, regexp_replace(v, '[^0-9]', '', 'g') AS g, replace(v, ' ', '') AS c,
+                     lower(substr(t, greatest(b - 48, 0) + 1, least(b, 48)) || chr(10) || substr(t, b + length(v) + 1, 24)) AS w FROM s WHERE i > 1),
+        f AS (SELECT row, b, e, k.kind, o FROM v JOIN k ON v.kind = k.kind WHERE CASE v.kind WHEN 'email' THEN true
+              WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS BIGINT), 256) > 255)) = 0
+              WHEN 'card' THEN length(g) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(g)), lambda j: CASE WHEN j % 2 = 0 THEN substr(g, CAST(length(g) - j AS INT), 1)::INT ELSE (2 * substr(g, CAST(length(g) - j AS INT), 1)::INT) // 10 + (2 * substr(g, CAST(length(g) - j AS INT), 1)::INT) % 10 END)) % 10 = 0
+              WHEN 'phone' THEN length(g) BETWEEN 9 AND 15
+              WHEN 'iban' THEN list_reduce(list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''), lambda x: (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)::BIGINT), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+              ELSE g[1:3] NOT IN ('000', '666') AND g[1:3] < '900' AND g[4:5] <> '00' AND g[6:9] <> '0000' AND regexp_matches(w, '(?:^|[^a-z0-9])(?:ssn|social security)(?:$|[^a-z0-9])')
+                   AND NOT regexp_matches(w, '(?:^|[^a-z0-9])(?:part|item|serial)(?:$|[^a-z0-9])') END),
+        a AS (SELECT row, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone,
+                     string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) FILTER (o < 5) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) AS spans FROM f GROUP BY row)
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row)""",
 }
