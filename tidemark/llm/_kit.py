@@ -132,9 +132,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and where each row's words begin among them (rows + 1)."""
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, offs: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and where each row's words begin among them (rows + 1).
+
+    letters tells of each byte whether it belongs to a word; without it all but white space do.
+    """
+    inside = ~_SPACE[data] if letters is None else letters[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

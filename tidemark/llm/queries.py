@@ -13,6 +13,8 @@ from tidemark.llm.pii import BASE, counted, listed, personal_data
 from tidemark.llm.preference import neighbours, preference_pairs
 from tidemark.llm.quality_classifier import quality_classifier
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.repair import damaged, repaired_conversations
+from tidemark.llm.search import ranked
 from tidemark.llm.substring import without_repeats
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.warc import round_trip
@@ -77,6 +79,15 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *(counted(k).alias(f"n_{k}") for k in BASE), F.sha2(listed(BASE), 256).alias("base_sha256"), listed().alias("spans"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repaired_conversations(turns, damaged(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +106,8 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_personal_data": op11_personal_data,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_structure_repair": op13_structure_repair,
     "pipeline": pipeline,
 }
 
@@ -184,4 +197,45 @@ ORACLE_SQL = {
                      string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) FILTER (o < 5) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) AS spans FROM f GROUP BY row)
         SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row)""",
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        q AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        a AS (SELECT count(*)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM d WHERE len(w) > 0),
+        t AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY ALL),
+        f AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, a GROUP BY term, N),
+        m AS (SELECT row, doc_id, 100 - 90 + (90 * len(w)::BIGINT * N) // L AS m FROM d, a WHERE len(w) > 0),
+        s AS (SELECT item, row, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+              FROM (SELECT DISTINCT item, unnest(w) AS term FROM q) JOIN t USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY ALL),
+        r AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s JOIN m USING (row) WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM r JOIN q USING (item) WHERE rank <= 10""",
+    "op13_structure_repair": r"""
+        WITH RECURSIVE k AS (SELECT list(v ORDER BY n) AS k FROM (SELECT n, list_reduce(range(8)::BIGINT[], lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS v FROM (SELECT unnest(range(256)) AS n))),
+        c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+        c1 AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(s, ''), lambda y: ascii(y)::BIGINT), lambda a, y: xor(a >> 8, k[(xor(a, y) & 255) + 1]), 4294967295), 4294967295) % 20 AS f FROM c0, k),
+        c2 AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c1 WHERE f <> 0),
+        c3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM c2),
+        c4 AS (SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS mark, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, left(role, 1) AS r,
+                     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM c3),
+        c AS (SELECT *, CASE WHEN mark = '' THEN 1 WHEN seen > 1 THEN 2 WHEN mark NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f FROM c4),
+        e(q, code, cost, goal) AS (SELECT q, repeat('I', k::INT), 3 * k, CASE WHEN k = 0 THEN q WHEN (q = 'u') = (k = 1) THEN 'a' ELSE 'u' END FROM (SELECT unnest(['-', 's', 'u', 'a']) AS q), (SELECT unnest(range(3)) AS k)),
+        d AS (SELECT conv_id, 0::BIGINT AS i, '-' AS q, 0::BIGINT AS cost, '' AS audit, '' AS said FROM (SELECT DISTINCT conv_id FROM c)
+              UNION ALL
+              SELECT conv_id, i, z.q, z.cost, z.audit, z.said FROM (
+                SELECT conv_id, i, q2, arg_min({'q': q2, 'cost': cost, 'audit': audit, 'said': said}, {'cost': cost, 'audit': audit}) AS z FROM (
+                  SELECT c.conv_id, c.i, t.q2, d.cost + e.cost + t.cost + CASE WHEN f = 3 AND t.edit <> 'D' THEN 3 ELSE 0 END AS cost, d.audit || e.code || t.edit AS audit,
+                         d.said || CASE length(e.code) WHEN 0 THEN '' WHEN 1 THEN chr(10) || CASE e.goal WHEN 'u' THEN 'user:' ELSE 'assistant:' END
+                           ELSE chr(10) || CASE e.goal WHEN 'u' THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END END
+                           || CASE t.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || c.role || ':' || c.text ELSE chr(10) || CASE t.q2 WHEN 'u' THEN 'user:' ELSE 'assistant:' END || c.text END AS said
+                  FROM d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.i = d.i + 1 JOIN e ON e.q = d.q
+                  JOIN (VALUES ('-', 'D', '-', 4, ''), ('s', 'D', 's', 4, ''), ('u', 'D', 'u', 4, ''), ('a', 'D', 'a', 4, ''), ('-', 'K', 's', 0, 's'), ('-', 'K', 'u', 0, 'u'), ('s', 'K', 'u', 0, 'u'), ('a', 'K', 'u', 0, 'u'), ('u', 'K', 'a', 0, 'a'),
+                        ('-', 'R', 'u', 3, ''), ('s', 'R', 'u', 3, ''), ('a', 'R', 'u', 3, ''), ('u', 'R', 'a', 3, '')) t(q, edit, q2, cost, r)
+                    ON t.q = e.goal AND (t.edit <> 'K' OR t.r = c.r) AND (t.edit = 'D' OR c.f NOT IN (1, 2))) GROUP BY conv_id, i, q2)),
+        w AS (SELECT conv_id, arg_min({'cost': cost, 'audit': audit, 'said': said}, {'cost': cost, 'audit': audit}) AS z FROM (
+              SELECT d.conv_id, d.cost + e.cost AS cost, d.audit || e.code AS audit, d.said || CASE length(e.code) WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' || chr(10) || 'assistant:' END AS said
+              FROM d JOIN (SELECT conv_id, max(i) AS n FROM c GROUP BY conv_id) x ON x.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = x.n JOIN e ON e.q = d.q WHERE e.goal = 'a' OR (d.q = '-' AND e.code = '')) GROUP BY conv_id),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+                     count(*) FILTER (i > 1 AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM c GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(z.cost, 0)::BIGINT AS cost, coalesce(z.audit, '') AS audit, sha256(coalesce(substr(z.said, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
