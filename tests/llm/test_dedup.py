@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from helpers import SCHEMA, by_repr, near, rows, table, without_repeats
 
-from tidemark.llm import minhash
+from tidemark.llm import _kit, minhash
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import cut_points, exact_dedup
 from tidemark.llm.substring import without_repeats as cut
@@ -64,8 +64,8 @@ def test_near_words_that_polynomials_confuse(spark):
 
 
 def test_near_large_groups(spark, monkeypatch):
-    """Groups in different components are compared in many blocks, and all keys are hot."""
-    for name, value in (("minhash.BLOCK", 2), ("_kit.HOT_ROWS", 2), ("_kit.HOT_SHARE", 0.0001)):
+    """Groups in different components meet by prefixes, under a sketch that tells rare from frequent badly; all keys are hot."""
+    for name, value in (("minhash.SKETCH", 16), ("_kit.HOT_ROWS", 2), ("_kit.HOT_SHARE", 0.0001)):
         monkeypatch.setattr(f"tidemark.llm.{name}", value)
     rng = np.random.default_rng(5)
     common, found = [f"w{x}" for x in rng.integers(0, 9999, 120)], []
@@ -84,7 +84,7 @@ def test_near_recall(spark):
     rng = np.random.default_rng(11)
     found = []
     for i in range(700):
-        n = int(rng.choice([12, 24, 60, 150]))
+        n = int(rng.choice([1000, 2500, 6000]) if i < 60 else rng.choice([12, 24, 60, 150]))
         w = [f"w{x}" for x in rng.integers(0, 10**6, n)]
         found.append((2 * i, " ".join(w), "en", "a", 0))
         for at in rng.choice(n, max(1, n // 40), replace=False):
@@ -150,13 +150,41 @@ def test_empty_tables(spark):
         assert f(empty).count() == 0
 
 
-def test_bitmaps_never_differ_in_more_bits_than_sets_in_shingles(spark):
-    from tidemark.llm.minhash import MAP, sets
-
-    texts = [" ".join(f"w{i}" for i in range(n, n + 300)) for n in range(0, 60, 7)] + ["", "one two", " ".join(f"x{i}" for i in range(5000))]
-    rows = {r.id: r for r in sets(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5).collect()}
-    assert len(rows) == len(texts) and all(len(r.bitmap) == MAP for r in rows.values())
-    for a in rows.values():
-        for b in rows.values():
-            differ = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a.bitmap, b.bitmap, strict=True))
-            assert differ <= len(set(a.shingles) ^ set(b.shingles))
+def similar_sets(seed, count=160):
+    """Sets of one family and of sub-families, with the parts of a rough clustering."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(count):
+        if i % 8 == 0:
+            own = rng.choice(10**6, int(rng.integers(20, 90)), replace=False)
+        shared, rest = np.arange(int(rng.integers(60, 120))), rng.choice(10**9, int(rng.integers(0, 40)), replace=False)
+        x = np.unique(np.r_[shared, own, rest])
+        out.append((i, int(rng.integers(0, 60)) if i % 3 else i + 100, len(x), np.sort(_kit.mixed(x.astype(np.uint64)).view(np.int64)).tolist()))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "sketch", "percent"), [(1, 1 << 20, 75), (2, 8, 75), (3, 64, 60), (4, 64, 90)])
+def test_similar_sets_meet(spark, monkeypatch, seed, sketch, percent):
+    """Every pair of different parts that is similar enough meets, and pairs that meet share a shingle."""
+    monkeypatch.setattr(minhash, "SKETCH", sketch)
+    monkeypatch.setattr("tidemark.llm._kit.HOT_ROWS", 4)
+    found = similar_sets(seed)
+    own = spark.createDataFrame(found, "id long, part long, n long, shingles array<long>")
+    met = {tuple(sorted(r)) for r in minhash.meeting(minhash.prefixes(own, minhash.frequencies(own), percent), percent).collect()}
+    sets, part = {r[0]: set(r[3]) for r in found}, {r[0]: r[1] for r in found}
+    alike = {(a, b) for a in sets for b in sets if a < b and part[a] != part[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert alike and alike <= met
+    assert all(part[a] != part[b] and sets[a] & sets[b] for a, b in met)
+
+
+def test_template_families_never_meet(spark):
+    """Pages of a template, of which none is near another: a handful of pairs, not all of them."""
+    rng = np.random.default_rng(6)
+    common = [f"c{x}" for x in rng.integers(0, 9999, 300)]
+    texts = [" ".join(common + [f"o{x}" for x in rng.integers(0, 10**6, 80)]) for _ in range(600)]
+    one = spark.createDataFrame([(i, t, i, 376) for i, t in enumerate(texts)], "id long, text string, part long, n long")
+    own = minhash.sets(one, 5)
+    assert own.count() > 550
+    assert minhash.meeting(minhash.prefixes(own, minhash.frequencies(own), 75), 75).count() < 100
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)).where("not kept").count()
+    assert got == 0

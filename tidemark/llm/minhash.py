@@ -4,13 +4,14 @@ A SuperMinHash signature gives each element of a set its own permutation of the
 element's value in a slot is its rank there plus a random fraction.  Ranks are dealt level by
 level, and a document stops as soon as no later level can lower any slot.  Documents of equal
 shingle sets are one class.  Classes that share a band of slots are candidates, unless four
-bits of each slot tell that they can't be similar enough.  First each bucket's members are
-compared with the one of them that has most company in all its buckets; so a bucket of many
-copies costs pairs in proportion to its size.  Buckets of one such leader are then one group,
-which a document enters once however many of them it is in; members of a group that are still
-in different components are all compared within a join, by bits, by a bitmap of each set, which
-bounds how much two sets share from above, and then by the sets, so that pairs are made of links
-alone.  Links are confirmed on the full sets of both texts.
+bits of each slot tell that they can't be similar enough.  First each document is compared with one
+leader: of its buckets' members with most company, the one that it shares most buckets with.
+So a bucket of many copies costs pairs in proportion to its size.  Documents in buckets that
+still hold several components are then joined by prefixes of their sets: shingles are ordered from
+rare to frequent, by counts in a sketch of fixed size, and two sets that are similar enough share
+one that comes early in both, so early that what follows still suffices.  Pages of one template
+have their own shingles there and never meet, however many there are.  Links are confirmed on the
+full sets of both texts.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ from tidemark.llm import _kit
 from tidemark.llm.components import components
 
 SLOTS, ROWS = 128, 4  # slots in a signature (a power of two), slots in a band
-BLOCK = 1000  # members of a group that one task compares with all others of it
-MAP = 16  # longs of the bitmap of a set's shingles
+SKETCH = 1 << 20  # counters of the sketch of shingles' frequencies
 _HIGH = np.uint64(32)
 
 
@@ -126,25 +126,86 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, shingles, bitmap) of texts (id, text): the first of each shingle's two hashes, and a
-    bitmap in which each of them sets the bit that its lowest bits name."""
+    """(id, part, n, shingles) of texts (id, text, part, n): the first of each shingle's two hashes.
+
+    Texts whose set isn't of the size n are left out.
+    """
 
     def made(batches):
         for batch in batches:
             for row, end, data, offs in _kit.slices(batch["text"]):
                 value, _, begins = shingle_sets(lowered(data), offs, width)
+                some = batch.slice(row, end - row).select(["id", "part", "n"])
                 for at in range(0, end - row, 4096):
                     own = begins[at : at + 4097]
-                    few, size = value[own[0] : own[-1]], np.diff(own)
-                    bits = np.zeros((len(size), 64 * MAP), bool)
-                    bits[np.repeat(np.arange(len(size)), size), (few & np.uint64(64 * MAP - 1)).astype(np.int64)] = True
-                    bitmap = np.packbits(bits, axis=1).view(np.int64).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["id"].slice(row + at, len(size)), _kit.ragged(few.view(np.int64), size, pa.int64()), _kit.ragged(bitmap, np.full(len(size), MAP), pa.int64())],
-                        ["id", "shingles", "bitmap"],
-                    )
+                    size = np.diff(own)
+                    done = some.slice(at, len(size)).append_column("shingles", _kit.ragged(value[own[0] : own[-1]].view(np.int64), size, pa.int64()))
+                    yield done.filter(pa.array(size == some["n"].slice(at, len(size)).to_numpy()))
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text", "part", "n").mapInArrow(made, f"id {kind}, part {kind}, n long, shingles array<long>")
+
+
+def frequencies(own: DataFrame) -> np.ndarray:
+    """In how many sets shingles are, at least, by their lowest bits: SKETCH counters, whatever the corpus."""
+
+    def count(batches):
+        seen = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            seen += np.bincount(batch["shingles"].flatten().to_numpy() & (SKETCH - 1), minlength=SKETCH)
+        slot = np.flatnonzero(seen)
+        for at in range(0, len(slot), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(slot[at : at + (1 << 16)].astype(np.int32)), pa.array(seen[slot[at : at + (1 << 16)]])], ["slot", "seen"])
 
-    return texts.select("id", "text").mapInArrow(made, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>, bitmap array<long>")
+    found = own.select("shingles").mapInArrow(count, "slot int, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow()
+    out = np.zeros(SKETCH, np.uint32)
+    out[found["slot"].to_numpy()] = np.minimum(found["seen"].to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def prefixes(own: DataFrame, seen: np.ndarray, percent: int) -> DataFrame:
+    """(rep, part, n, pos, token): the first shingles of each set, from rare to frequent, of which a similar
+    set of any size holds one; those that are surely in one set alone are left out."""
+    sent = own.sparkSession.sparkContext.broadcast(seen)  # 4 MB
+
+    def made(batches):
+        seen = sent.value
+        for batch in batches:
+            value = batch["shingles"].flatten().to_numpy().view(np.uint64)
+            size = batch["n"].to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            often = seen[(value & np.uint64(SKETCH - 1)).astype(np.int64)]
+            order = np.lexsort((value, often, owner))
+            pos = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+            first = np.flatnonzero((pos < (size - (percent * size + 99) // 100 + 1)[owner]) & (often[order] > 1))
+            who = pa.array(owner[first])
+            yield pa.RecordBatch.from_arrays([batch["id"].take(who), batch["part"].take(who), pa.array(size[owner[first]]), pa.array(pos[first].astype(np.int32)), pa.array(value[order][first].view(np.int64))], ["rep", "part", "n", "pos", "token"])
+
+    kind = own.schema["id"].dataType.simpleString()
+    return own.mapInArrow(made, f"rep {kind}, part {kind}, n long, pos int, token long")
+
+
+def meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (rep, rep_2) of sets of different parts that share a token of their prefixes so early that
+    what follows it in both suffices for the similarity.
+
+    The smaller set's token must be in the part of its prefix that suffices for sets no smaller;
+    tokens that are nowhere so early, or in one part alone, are dropped first.  The part that most
+    of a token's sets are of is never joined with itself.
+    """
+    rows = rows.withColumn("early", F.expr(f"pos <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
+    each = rows.groupBy("token", "part").agg(F.count("*").alias("sets"), F.max("early").alias("early"))
+    live = each.groupBy("token").agg(F.max_by("part", F.struct("sets", "part")).alias("top"), F.count("*").alias("parts"), F.sum("sets").alias("sets"), F.max("early").alias("early"))
+    live = _kit.written(live.where("parts > 1 and early").select("token", "top", "sets"), "tokens")
+    salt, salts = _kit.salted(live, "token", "sets")
+    dealt = lambda x: x.withColumn("_dealt", F.xxhash64("rep")).withColumn("_salt", salt).drop("_dealt")
+    rows = _kit.written(dealt(rows).join(live.select("token", "top", F.explode(salts).alias("_salt")), ["token", "_salt"]).drop("_salt").withColumn("main", F.col("part") == F.col("top")), "live")
+    left = dealt(rows.where("early")).drop("top", "early")
+    other = rows.select("token", F.explode(salts).alias("_salt"), *(F.col(c).alias(f"{c}_2") for c in ("rep", "part", "n", "pos", "main")))
+    follow = F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2"))
+    fits = (F.col("part") != F.col("part_2")) & (follow * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent) & (F.col("n") <= F.col("n_2"))
+    pairs = lambda x, y: x.join(y, ["token", "_salt"]).where(fits).select("rep", "rep_2")
+    return pairs(left.where("not main"), other).union(pairs(left.where("main"), other.where("not main_2")))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -238,26 +299,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     lead = member.join(told.select("rep", "company"), "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", "rep")).alias("lead"))
-    led = _kit.written(in_bucket(member, lead).select("lead", "rep").distinct(), "led")
-    links = compared(led.where("rep != lead").select(*pair("rep", "lead")).distinct())
+    led = _kit.written(in_bucket(member, lead).groupBy("lead", "rep").agg(F.count("*").alias("buckets")), "led")
+    nearest = led.where("rep != lead").groupBy("rep").agg(F.max_by("lead", F.struct("buckets", "lead")).alias("lead"))
+    links = compared(nearest.select(*pair("rep", "lead")).distinct())
     label = components(links)
     parts = led.join(label, F.col("rep") == F.col("node"), "left").select("lead", "rep", F.coalesce("label", "rep").alias("part"))
-    apart = parts.groupBy("lead").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("lead", "members")
-    parts = _kit.written(looked_up(parts.withColumnsRenamed({"rep": "a", "part": "b"}), "lead", apart, led).withColumnsRenamed({"a": "rep", "b": "part"}), "parts")
-    # every member of a group meets every other in one of the group's blocks
-    own = _kit.written(sets(texts.join(parts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), width), "sets")
-    rows = parts.join(told.select("rep", "n", "bits"), "rep").join(own, (F.col("rep") == F.col("id")) & (F.col("n") == F.size("shingles"))).select("lead", "rep", "part", "n", "bits", "shingles", "bitmap", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    one = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    all_ = rows.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_2") for c in ("rep", "part", "n", "bits", "shingles", "bitmap")))
-    # a bit that one bitmap alone has is a shingle, at least, that one set alone has
-    differ = sum((F.bit_count(F.col("bitmap")[i].bitwiseXOR(F.col("bitmap_2")[i])) for i in range(MAP)), F.lit(0))
-    near = differ * (100 + percent) <= (F.col("n") + F.col("n_2")) * (100 - percent)
-    linked = F.size(F.array_intersect("shingles", "shingles_2")) * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent
-    cross = one.join(all_, ["lead", "block"]).where((F.col("part") < F.col("part_2")) & _alike(F.col("n"), F.col("bits"), F.col("n_2"), F.col("bits_2"), percent) & near & linked)
-    more = compared(cross.select(*pair("rep", "rep_2")).distinct())
+    apart = parts.groupBy("lead").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("lead")
+    parts = looked_up(parts.withColumnsRenamed({"rep": "a", "part": "b"}), "lead", apart, led).select(F.col("a").alias("rep"), F.col("b").alias("part")).distinct()
+    own = _kit.written(sets(texts.join(parts.join(told.select("rep", "n"), "rep").withColumnRenamed("rep", "id"), "id"), width), "sets")
+    first = _kit.written(prefixes(own, frequencies(own), percent), "prefixes")
+    more = compared(meeting(first, percent).select(*pair("rep", "rep_2")).distinct())
     label = components(more.union(label.select(F.col("label").alias("a"), F.col("node").alias("b"))))
     named = _kit.written(classes.join(label, F.col("rep") == F.col("node"), "left").select("fp", "rows", F.coalesce("label", "rep").alias("component")), "named")
-    _kit.dropped(shared, member, told, few, texts, led, parts, own)
+    _kit.dropped(shared, member, told, few, texts, led, own, first)
     by_fp, each = _kit.salted(named, "fp", "rows")
     out = made.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp"), F.xxhash64("id").alias("_dealt")).withColumn("_salt", F.coalesce(by_fp, F.lit(0)))
     out = out.join(named.select("fp", "component", F.explode(each).alias("_salt")), ["fp", "_salt"], "left")
