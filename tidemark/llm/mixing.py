@@ -3,9 +3,11 @@
 Documents are summed to cells of source, language and topic.  The cells' token weights are
 scaled to the target shares of each dimension in turn, round after round; a cell's weight
 over its tokens is the rate at which its documents are drawn.  Where a document may be drawn a
-limited number of times, each scaling is followed by a projection onto that limit, and the
-volume is lowered until all marginals hold within it.  Fitting works on cells, which are few
-however many documents there are; all of it is SQL functions.
+limited number of times, marginals that can be met together are told from an unbounded fit;
+then a ladder of volumes is fitted at once, each scaling followed by a projection onto the limit,
+and the largest volume whose marginals hold is taken.  The number of jobs is the same for any
+table.  Fitting works on cells, which are few however many documents there are; all of it is SQL
+functions.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import _kit
 
 DIMENSIONS = ("source", "lang", "topic")
-#: How far a bounded fit's marginals may be from their targets.
-TOLERANCE = 0.002
+#: How far a bounded fit's marginals may be from their targets, volumes tried at once, and how often they are narrowed.
+TOLERANCE, LADDER, NARROWED = 0.002, 16, 2
+#: The value that pooled ones become.
+POOL = "(rare)"
 
 
 def topic_of(text: Column) -> Column:
@@ -49,25 +53,51 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
     return raised.crossJoin(F.broadcast(raised.agg(F.sum("r").alias("all")))).select(F.col(name).alias("value"), (F.col("r") / F.col("all")).alias("share"))  # one row of totals
 
 
+def pooled(cells: DataFrame, names: list[str], least: float) -> DataFrame:
+    """cells with a column _name for each dimension: its value, or POOL for values under a share ``least`` of the tokens."""
+    for name in names:
+        sums = cells.groupBy(name).agg(F.sum("tokens").alias("_own"))
+        total = sums.agg(F.sum("_own").alias("_total"))
+        value = F.when(F.col("_own") < F.col("_total") * least, POOL).otherwise(F.col(name))
+        cells = cells.join(sums.crossJoin(F.broadcast(total)).select(name, value.alias(f"_{name}")), name)  # one row of totals
+    return cells
+
+
 def _with_shares(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """cells with the target share of their value in each dimension, and the total of tokens."""
+    """cells with the target share of their value in each dimension, and the total of tokens.
+
+    Shares count among the values that cells with tokens have: what a target gives to others is
+    dealt over these in proportion.
+    """
     for name, target in targets.items():
-        share = target.select(F.col("value").alias(name), F.col("share").cast("double").alias(f"share_{name}"))
-        cells = cells.join(share, name, "left").fillna(0.0, [f"share_{name}"])
+        share = target.select(F.col("value").alias(name), F.col("share").cast("double").alias("_share"))
+        there = cells.groupBy(name).agg(F.sum("tokens").alias("_own")).where("_own > 0").join(share, name)
+        all_ = there.agg(F.sum("_share").alias("_all"))
+        told = there.crossJoin(F.broadcast(all_)).select(name, F.when(F.col("_all") > 0, F.col("_share") / F.col("_all")).otherwise(0.0).alias(f"share_{name}"))  # one row of totals
+        cells = cells.join(told, name, "left").fillna(0.0, [f"share_{name}"])
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
     return cells.crossJoin(F.broadcast(total))  # one row of totals
 
 
-def _rounds(fitted: DataFrame, names: list[str], rounds: int, most: float | None) -> DataFrame:
-    """Weights scaled to each dimension's shares of the volume in turn, and held to the limit; what
-    the limit takes away is taken from the volume after each round."""
+def _rounds(fitted: DataFrame, names: list[str], rounds: int, most: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Weights scaled to each dimension's shares of the volume in turn, and held to the limit."""
     for _ in range(rounds):
         for name in names:
-            now = F.sum("weight").over(Window.partitionBy(name))
+            now = F.sum("weight").over(Window.partitionBy(*by, name))
             weight = F.when(now > 0, F.col("weight") * F.col(f"share_{name}") * F.col("volume") / now).otherwise(0.0)
             fitted = fitted.withColumn("weight", weight if most is None else F.least(weight, F.col("tokens") * F.lit(float(most))))
-        if most is not None:
-            fitted = fitted.withColumn("volume", F.least("volume", F.sum("weight").over(Window.partitionBy())))
+    return fitted
+
+
+def _fitted(fitted: DataFrame, names: list[str], rounds: int, most: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``_rounds`` in plans of ten; what one plan wrote is deleted once the next has read it."""
+    placed = lambda x: x.repartition(*by) if by else x.coalesce(1)  # noqa: E731  so that windows shuffle nothing
+    before = None
+    for done in range(0, rounds, 10):
+        fitted = _kit.written(_rounds(placed(fitted), names, min(10, rounds - done), most, by), "cells")
+        if before is not None:
+            _kit.dropped(before)
+        before = fitted
     return fitted
 
 
@@ -75,34 +105,64 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20, kee
     """cells with rate, a cell's fitted weight over its tokens; the weights' sum is keep times that of the tokens.
 
     targets: (value, share) for each dimension.  A value without a target gets no weight, a cell
-    without tokens a rate of 0.  With ``most``, no rate passes it; the sum then starts from the
-    largest that any value's own tokens allow and gives way until all marginals are within
-    ``TOLERANCE`` of their targets.  That ends: low sums don't meet the limit at all.  Cells are
-    as many as there are combinations of values; they are one partition, so that rounds shuffle nothing.
+    without tokens a rate of 0; shares of values that no cell with tokens has go to the others in proportion.
+    Targets that contradict each other, as where each source has a language of its own, are met
+    in turn: the last dimension's holds exactly, the others' as nearly as the rounds bring them.
+    With ``most``, no rate passes it.  The sum is then the largest of a ladder of volumes, narrowed
+    ``NARROWED`` times, at which all marginals are within ``TOLERANCE`` of their targets, or, where those
+    contradict each other, of the marginals that the unbounded fit comes to.  Its lowest rung is that fit
+    itself, scaled down until it meets the limit, so there always is one.
+    Cells are as many as there are combinations of values; those of a volume are one partition,
+    so that rounds shuffle nothing.
     """
     names, total = list(targets), F.col("total")
-    start = _with_shares(cells, targets).withColumns({"weight": F.col("tokens").cast("double"), "volume": total * keep})
-    fitted = _kit.written(start.coalesce(1), "cells").coalesce(1)
-    if most is None:
-        for done in range(0, rounds, 10):
-            fitted = _kit.written(_rounds(fitted, names, min(10, rounds - done), None), "cells").coalesce(1)
-    else:
-        for name in names:
-            own = F.sum("tokens").over(Window.partitionBy(name)) * float(most) / F.col(f"share_{name}")
-            fitted = fitted.withColumn("_room", F.when(F.col(f"share_{name}") > 0, own))
-            fitted = fitted.withColumn("volume", F.least("volume", F.min("_room").over(Window.partitionBy()))).drop("_room")
-        while True:
-            fitted = _kit.written(_rounds(fitted, names, 10, most), "cells").coalesce(1)
-            if missed(fitted, names) <= TOLERANCE:
-                break
-            fitted = fitted.withColumn("volume", F.col("volume") * 0.98)
+    start = _kit.written(_with_shares(cells, targets).coalesce(1), "start")
+    fitted = _fitted(start.withColumns({"weight": F.col("tokens").cast("double"), "volume": total * keep}), names, rounds if most is None else 2 * rounds)
+    if most is not None:
+        fitted = _bounded(fitted, names, rounds, float(most))
     return fitted.select(*cells.columns, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("rate"))
 
 
-def missed(fitted: DataFrame, names: list[str]) -> float:
-    """How far the marginal that is farthest off is from its target, as a share of the volume."""
-    off = [F.abs(F.sum("weight").over(Window.partitionBy(name)) / F.col("volume") - F.col(f"share_{name}")) for name in names]
-    return fitted.where("volume > 0").select(F.greatest(*off, F.lit(0.0)).alias("off")).agg(F.max("off")).first()[0] or 0.0
+def _bounded(fitted: DataFrame, names: list[str], rounds: int, most: float) -> DataFrame:
+    """The unbounded fit with weights of no more than ``most`` times the tokens, at the largest volume that allows its marginals."""
+    all_ = F.sum("weight").over(Window.partitionBy())
+    fitted = fitted.coalesce(1).withColumn("part", F.when(all_ > 0, F.col("weight") / all_).otherwise(0.0))
+    for name in names:  # what can be met together
+        fitted = fitted.withColumn(f"share_{name}", F.sum("part").over(Window.partitionBy(name)))
+    for name in names:
+        fitted = fitted.withColumn(f"_room_{name}", F.when(F.col(f"share_{name}") > 0, F.sum("tokens").over(Window.partitionBy(name)) * most / F.col(f"share_{name}")))
+    base = _kit.written(fitted, "unbounded")
+    low = F.min(F.when(F.col("part") > 0, F.col("tokens") * most / F.col("part")))
+    high = F.min(F.when(F.col("part") > 0, F.least(*(F.col(f"_room_{name}") for name in names), "volume")))
+    low, high = base.agg(low, high).first()
+    if low is None:  # nothing has weight
+        return base
+    low, best = min(low, high), None
+    high *= 1 - 1e-9  # of the highest rung, too, rounding must leave room
+    for _ in range(NARROWED if low < high else 0):
+        rungs = F.explode(F.array(*(F.struct(F.lit(k).alias("rung"), F.lit(low * (high / low) ** (k / (LADDER - 1))).alias("volume")) for k in range(LADDER)))).alias("_rung")
+        ladder = base.drop("volume").select("*", rungs).select("*", "_rung.rung", "_rung.volume").drop("_rung").withColumn("weight", F.least(F.col("part") * F.col("volume"), F.col("tokens") * most))
+        tried = _fitted(ladder, names, rounds, most, ("rung",))
+        off = {r["rung"]: (r["off"], r["volume"]) for r in missed(tried, names).collect()}  # a row for each rung
+        rung = max((k for k, (o, _) in off.items() if o <= TOLERANCE), default=None)
+        if rung is None:
+            _kit.dropped(tried)
+            break
+        if best is not None:
+            _kit.dropped(best)
+        best, best_rung = tried, rung
+        low, high = off[rung][1], off.get(rung + 1, off[rung])[1]
+        if low >= high:
+            break
+    if best is None:
+        return base.withColumn("weight", F.col("part") * F.lit(low))
+    return best.where(F.col("rung") == best_rung)
+
+
+def missed(fitted: DataFrame, names: list[str]) -> DataFrame:
+    """(rung, volume, off): how far the marginal that is farthest off is from its target, as a share of the volume."""
+    off = [F.abs(F.sum("weight").over(Window.partitionBy("rung", name)) / F.col("volume") - F.col(f"share_{name}")) for name in names]
+    return fitted.select("rung", "volume", F.greatest(*off, F.lit(0.0)).alias("off")).groupBy("rung", "volume").agg(F.max("off").alias("off"))
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -111,13 +171,14 @@ def draw(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 1.0, most_copies: float | None = None, rounds: int = 20, seed: int = 7, carried: list[str] | None = None, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, power: float = 0.5, keep: float = 1.0, most_copies: float | None = None, rounds: int = 20, seed: int = 7, carried: list[str] | None = None, tokens: Column | None = None, least_share: float = 0.0) -> DataFrame:
     """One row per input row: id_col, tokens, rate, copies (how often the document is drawn; 0 if not).
 
     The rate is the expected number of copies; its whole part is drawn and the rest by chance.
     The expected weight is keep times the tokens, or, where a document may be drawn no more than
     most_copies times, the largest that still meets all targets (see ``raked``).
-    Without targets each dimension's are its shares of tokens to a power.  tokens is a column of
+    Without targets each dimension's are its shares of tokens to a power, in which values under
+    ``least_share`` of the tokens count as one: a rare value would else set the volume for all.  tokens is a column of
     counts; without it they are told from bytes.  A null source, language or topic is a
     value of its own, a null text has no tokens and is not drawn.  Rows that repeat an id draw
     alike, null ids as one id.  Dimensions must not be named id, tokens, rate or carried, else
@@ -131,8 +192,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: d
     if not carried:
         rows = _kit.written(rows, "measured")  # the texts are read once
     cells = _kit.written(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
-    told = {name: (targets or {}).get(name) if (targets or {}).get(name) is not None else tempered(cells, name, power) for name in dims}
-    rates = _kit.written(raked(cells, told, rounds, keep, most_copies).drop("tokens"), "rates")
+    names, given = {name: f"_{name}" if least_share else name for name in dims}, targets or {}
+    if least_share:
+        every = _kit.written(pooled(cells, [name for name in dims if name not in given], least_share).withColumns({f"_{name}": F.col(name) for name in given}), "pooled")
+        cells = every.groupBy(*names.values()).agg(F.sum("tokens").alias("tokens"))
+    told = {own: given[name] if name in given else tempered(cells, own, power) for name, own in names.items()}
+    rates = raked(cells, told, rounds, keep, most_copies).drop("tokens")
+    if least_share:
+        rates = every.join(rates, list(names.values())).select(*dims, "rate")
+    rates = _kit.written(rates, "rates")
     expected = F.col("rate")
     copies = F.when(F.col("tokens") > 0, F.floor(expected) + F.when(draw("id", seed) < expected - F.floor(expected), 1).otherwise(0)).otherwise(0)
     return rows.join(rates, list(dims)).select(F.col("id").alias(id_col), "tokens", "rate", copies.cast("long").alias("copies"), *(["carried"] if carried else []))
