@@ -23,8 +23,9 @@ from tidemark.llm.quality_classifier import fit, resampled
 
 ROW = "_row"
 #: The mixture: each dimension's shares of tokens to this power.  As a document is drawn at most once,
-#: a value of a share s limits the volume to about s ** (1 - POWER) of all tokens.
-POWER = 0.9
+#: a value of a share s limits the volume to about s ** (1 - POWER) of all tokens; values under
+#: LEAST_SHARE count as one.
+POWER, LEAST_SHARE = 0.9, 0.01
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows without text are not drawn.  An empty table gives an empty one.
     """
     own = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(_kit.text_of("text")))  # rows of one id, or of none, are drawn apart
-    drawn = mix(docs.withColumn(ROW, own), ROW, power=POWER, most_copies=1, carried=docs.columns).where("copies > 0")
+    drawn = mix(docs.withColumn(ROW, own), ROW, power=POWER, least_share=LEAST_SHARE, most_copies=1, carried=docs.columns).where("copies > 0")
     return drawn.select("carried.*")
 
 
