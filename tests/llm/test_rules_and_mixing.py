@@ -153,3 +153,16 @@ def test_equal_texts_score_alike(spark):
     docs = spark.createDataFrame([(i, ("good words " * 20 if i % 3 else f"x{i} " * i), "en", "a", 0) for i in range(90)], SCHEMA).repartition(7)
     _, keys = quality_classifier.fit(docs, spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int"))
     assert len({r.log_ratio for r in keys.where("id % 3 <> 0").collect()}) == 1
+
+
+def test_one_rule_for_any_number_of_labels():
+    """The limit moves little from one size to the next, lies deeper for few labels, and never over the quantile."""
+    import numpy as np
+
+    draw = np.random.default_rng(12).normal(0.3, 0.05, 200_000)
+    bound = lambda n: quality_classifier.lower_bound(sorted(draw[:n].tolist()), 0.0005)
+    assert bound(1999) == pytest.approx(bound(2001), abs=1e-4)
+    assert bound(50) < bound(1999) < bound(200_000) < 0.3 - 3.2 * 0.05
+    for n in (2, 50, 1999, 2001, 10_000):
+        assert bound(n) <= sorted(draw[:n])[int(0.0005 * n)]
+    assert quality_classifier.lower_bound([0.5], 0.0005) == 0.5 and quality_classifier.lower_bound([], 0.0005) == float("-inf")

@@ -130,6 +130,19 @@ def cut_off(keys: DataFrame, k: int, column: str = "key", bins: int = 1024) -> f
     return low
 
 
+def lower_bound(sample: list[float], spare: float, sure: float = 0.95) -> float:
+    """What all but a share ``spare`` of the values that a sorted sample stands for are over: one rule at any size.
+
+    It is the lower of the sample's own quantile and of a normal tolerance bound, which is ``sure`` to be
+    low enough: with few values it lies deeper, and with many it comes to the normal tail.
+    """
+    if not sample:
+        return float("-inf")
+    n, z, more = len(sample), NormalDist().inv_cdf(1 - spare), NormalDist().inv_cdf(sure)
+    spread = float(np.std(sample, ddof=1)) if n > 1 else 0.0
+    return min(sample[int(spare * n)], float(np.mean(sample)) - (z + more * (1 / n + z * z / (2 * n)) ** 0.5) * spread)
+
+
 @dataclass
 class Sampler:
     """A fitted classifier: importance / temperature + noise of a document at or over the limit stays."""
@@ -149,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Raw text is every document, wanted text every other good one of at most ``labelled``
     labelled rows (those of the smallest hashes).  The good rows between are held out: a model
     knows the texts it is made of too well.  k is the number of documents that score no lower
-    than all but a share ``spare`` of these do: the sample is to hold what is good, not to be
-    small.  Lower temperatures draw closer to the order of importance.
+    than ``lower_bound`` tells all but a share ``spare`` of the good ones to do: the sample is to
+    hold what is good, not to be small.  Lower temperatures draw closer to the order of importance.
     """
     few = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     few = few.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(labelled).collect()
@@ -161,10 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sampler = Sampler(Model.of(tallied(known, buckets), tallied(source, buckets)), float("-inf"), temperature, seed)
     keys = _kit.written(scored(source, sampler.model).select("id", "log_ratio", "n_grams", sampler.key("id").alias("key")), "scores")
     sample = sorted(x["log_ratio"] for x in keys.join(those(good[1::2]), "id", "left_semi").select("log_ratio").collect())
-    least = sample[int(spare * len(sample))] if sample else float("-inf")
-    if 1 < len(sample) < 1 / spare:  # too few to tell the share: the lower of what they say and a normal tail
-        least = min(least, float(np.mean(sample) - NormalDist().inv_cdf(1 - spare) * np.std(sample, ddof=1)))
-    sampler.limit = cut_off(keys, keys.where(F.col("log_ratio") >= least).count())
+    sampler.limit = cut_off(keys, keys.where(F.col("log_ratio") >= lower_bound(sample, spare)).count())
     return sampler, keys
 
 
@@ -178,7 +188,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     A null text, or one without words, has the importance 0 of text no model tells apart.
     Rows that repeat an id get the same noise, and so equal texts of one id the same verdict;
-    of rows that tie at the limit all stay.  Without good labels every bucket's ratio comes
+    of rows that tie at the limit all stay.  The limit's rule is the same for any number of labels.  Without good labels every bucket's ratio comes
     from smoothing alone, and all documents stay.  Texts may be of any length.  Other columns
     are ignored; an empty table gives an empty result.
     """
