@@ -140,7 +140,7 @@ def test_classifier_matches_brute_force(spark):
     for d in text:
         assert got[d].log_ratio == pytest.approx(score[d], abs=1e-9) and got[d].n_grams == len(grams(text[d]))
     held = sorted(score[d] for d in good[1::2])
-    least = min(held[0], np.mean(held) - 3.2905267 * np.std(held, ddof=1))  # 54 rows are too few to tell one in 2,000
+    least = min(held[0], np.mean(held) - (3.2905267 + 1.6448536 * (1 / len(held) + 3.2905267**2 / (2 * len(held))) ** 0.5) * np.std(held, ddof=1))
     k = sum(score[d] >= least - 1e-12 for d in text)
     noise = {r.doc_id: r.g for r in docs.select("doc_id", quality_classifier.gumbel("doc_id", 7).alias("g")).collect()}
     best = sorted(text, key=lambda d: -(score[d] / quality_classifier.TEMPERATURE + noise[d]))[:k]
@@ -161,7 +161,7 @@ def test_one_rule_for_any_number_of_labels():
 
     draw = np.random.default_rng(12).normal(0.3, 0.05, 200_000)
     bound = lambda n: quality_classifier.lower_bound(sorted(draw[:n].tolist()), 0.0005)
-    assert bound(1999) == pytest.approx(bound(2001), abs=1e-4)
+    assert bound(1999) == pytest.approx(bound(2001), abs=1e-3)
     assert bound(50) < bound(1999) < bound(200_000) < 0.3 - 3.2 * 0.05
     for n in (2, 50, 1999, 2001, 10_000):
         assert bound(n) <= sorted(draw[:n])[int(0.0005 * n)]
