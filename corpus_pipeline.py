@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _kit
@@ -31,16 +31,16 @@ POWER, LEAST_SHARE = 0.9, 0.01
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a number of its own for each row, the same at every reading.
 
-    A Parquet table's rows are numbered by file and place within it, and nothing is written.
+    A Parquet table's rows are numbered by file and place within it, and only the names of its files
+    are written, with their ranks: a row for each file, however many it has.  How they are joined is Spark's choice.
     Rows of another source are written with a number first.
     """
     try:
         placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-        files = sorted(x[0] for x in placed.select("_file").distinct().collect())  # as many as the table has files with rows
     except AnalysisException:
         return _kit.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    names = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _number long")
-    return placed.join(F.broadcast(names), "_file").select(*docs.columns, (F.col("_number") * F.lit(1 << 40) + F.col("_place")).alias(ROW))
+    files = placed.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    return placed.join(_kit.written(files, "files"), "_file").select(*docs.columns, (F.col("_number") * F.lit(1 << 40) + F.col("_place")).alias(ROW))
 
 
 def _one_of_each(rows: DataFrame, grouped: DataFrame, group: str, chosen: Column) -> DataFrame:
