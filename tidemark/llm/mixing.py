@@ -55,8 +55,9 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
 
 def pooled(cells: DataFrame, names: list[str], least: float) -> DataFrame:
     """cells with a column _name for each dimension: its value, or POOL for values under a share ``least`` of the tokens."""
+    base = cells
     for name in names:
-        sums = cells.groupBy(name).agg(F.sum("tokens").alias("_own"))
+        sums = base.groupBy(name).agg(F.sum("tokens").alias("_own"))
         total = sums.agg(F.sum("_own").alias("_total"))
         value = F.when(F.col("_own") < F.col("_total") * least, POOL).otherwise(F.col(name))
         cells = cells.join(sums.crossJoin(F.broadcast(total)).select(name, value.alias(f"_{name}")), name)  # one row of totals
@@ -69,13 +70,14 @@ def _with_shares(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     Shares count among the values that cells with tokens have: what a target gives to others is
     dealt over these in proportion.
     """
+    base = cells
     for name, target in targets.items():
         share = target.select(F.col("value").alias(name), F.col("share").cast("double").alias("_share"))
-        there = cells.groupBy(name).agg(F.sum("tokens").alias("_own")).where("_own > 0").join(share, name)
+        there = base.groupBy(name).agg(F.sum("tokens").alias("_own")).where("_own > 0").join(share, name)
         all_ = there.agg(F.sum("_share").alias("_all"))
         told = there.crossJoin(F.broadcast(all_)).select(name, F.when(F.col("_all") > 0, F.col("_share") / F.col("_all")).otherwise(0.0).alias(f"share_{name}"))  # one row of totals
         cells = cells.join(told, name, "left").fillna(0.0, [f"share_{name}"])
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
+    total = base.agg(F.sum("tokens").cast("double").alias("total"))
     return cells.crossJoin(F.broadcast(total))  # one row of totals
 
 
@@ -195,8 +197,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: d
     names, given = {name: f"_{name}" if least_share else name for name in dims}, targets or {}
     if least_share:
         every = _kit.written(pooled(cells, [name for name in dims if name not in given], least_share).withColumns({f"_{name}": F.col(name) for name in given}), "pooled")
-        cells = every.groupBy(*names.values()).agg(F.sum("tokens").alias("tokens"))
-    told = {own: given[name] if name in given else tempered(cells, own, power) for name, own in names.items()}
+        cells = _kit.written(every.groupBy(*names.values()).agg(F.sum("tokens").alias("tokens")), "cells")
+    told = {own: given[name] if name in given else _kit.written(tempered(cells, own, power), "targets") for name, own in names.items()}
     rates = raked(cells, told, rounds, keep, most_copies).drop("tokens")
     if least_share:
         rates = every.join(rates, list(names.values())).select(*dims, "rate")
