@@ -119,7 +119,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20, kee
     """
     names, total = list(targets), F.col("total")
     start = _kit.written(_with_shares(cells, targets).coalesce(1), "start")
-    fitted = _fitted(start.withColumns({"weight": F.col("tokens").cast("double"), "volume": total * keep}), names, rounds if most is None else 2 * rounds)
+    fitted = _fitted(start.withColumns({"weight": F.col("tokens").cast("double"), "volume": total * keep}), names, rounds)
     if most is not None:
         fitted = _bounded(fitted, names, rounds, float(most))
     return fitted.select(*cells.columns, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("rate"))
