@@ -40,7 +40,7 @@ def tag_states(lots: DataFrame, states: DataFrame, targets: DataFrame, least_pur
     held = holdings(lots, states, targets)
     able = (F.col("slots_left") > 0) & (F.col("purse_left") >= least_purse)
     wanted = held.groupBy("auction", "lot", "tag").agg(F.sum(F.when(able & (F.col("bought") < F.col("target")), 1).otherwise(0)).alias("demand"))
-    ahead = Window.partitionBy("auction", "tag").orderBy("lot").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("auction", "tag").orderBy(F.desc("lot")).rowsBetween(Window.unboundedPreceding, 0)  # backwards, as a running sum
     has = F.coalesce(F.array_contains("tags", F.col("tag")), F.lit(False))
     left = lots.select(*KEYS, "tags").crossJoin(F.broadcast(targets.select("tag"))).withColumn("supply", F.coalesce(F.sum(has.cast("int")).over(ahead), F.lit(0)))
     both = left.select(*KEYS, "tag", "supply").join(wanted, [*KEYS, "tag"])
@@ -59,15 +59,17 @@ def holdings(lots: DataFrame, states: DataFrame, targets: DataFrame) -> DataFram
 def substitutes(lots: DataFrame) -> DataFrame:
     """(auction, lot, substitutes_remaining): lots from this one on that share a tag with it.
 
-    Lots are counted by tag set, of which there are few; a window each way needs no pairs of lots.
+    Lots that hold one of several tags are counted by inclusion and exclusion: each lot has a row for
+    every subset of its tags (lists of tags are short), and the lots ahead that hold a subset are a
+    running sum read backwards.  Rows are as many as lots times subsets, whatever sets there are.
     """
-    sets = lots.select("auction", F.array_sort(F.array_distinct("tags")).alias("kind")).distinct()
-    rows = lots.select(*KEYS, F.array_sort(F.array_distinct("tags")).alias("kind"))
-    ahead = Window.partitionBy("auction", "other").orderBy("lot").rowsBetween(0, Window.unboundedFollowing)
-    grid = rows.join(sets.withColumnRenamed("kind", "other"), "auction")
-    counted = grid.withColumn("n", F.coalesce(F.sum((F.col("kind") == F.col("other")).cast("int")).over(ahead), F.lit(0)))
-    near = F.when(F.arrays_overlap("kind", "other"), F.col("n")).otherwise(0)
-    return counted.groupBy(*KEYS).agg(F.sum(near).alias("substitutes_remaining"))
+    rows = lots.select(*KEYS, F.array_sort(F.array_compact(F.array_distinct("tags"))).alias("kind"))
+    each = rows.where(F.size("kind") > 0).select(*KEYS, "kind", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(kind)) - 1"))).alias("mask"))
+    each = each.select(*KEYS, F.expr("filter(kind, (t, i) -> (shiftright(mask, i) & 1) = 1)").alias("subset"))
+    ahead = Window.partitionBy("auction", "subset").orderBy(F.desc("lot")).rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
+    counted = each.withColumn("n", F.count("*").over(ahead)).groupBy(*KEYS).agg(F.sum(F.col("n") * sign).alias("substitutes_remaining"))
+    return rows.select(*KEYS).join(counted, KEYS, "left").fillna(0, ["substitutes_remaining"])
 
 
 def focus(lots: DataFrame, states: DataFrame, targets: DataFrame, least_purse: float = 0.0) -> DataFrame:
