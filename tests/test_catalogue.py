@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import tidemark.queries_more  # noqa: F401  registers its queries
+import tidemark.queries_plans  # noqa: F401
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 from functools import reduce
 
@@ -106,3 +108,21 @@ def prepared(spark: SparkSession, path: str, build) -> DataFrame:
 def year_of_file(df: DataFrame) -> DataFrame:
     """df with year, the first four digits in the name of the file a row is from."""
     return df.withColumn("year", F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), r"(\d{4})", 1).try_cast("int"))
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table under spark.checkpoint.dir and read again, so that what reads it several times makes it once.
+
+    Where that setting is unset, a local master gets a folder of its own; any other master is an error,
+    since executors could not read what the driver's machine holds.
+    """
+    spark = df.sparkSession
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        there = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(there)
+    path = f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
