@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import auction, dataset
+from tidemark.plans import auction, dataset, shots
 from tidemark.queries import query
+from tidemark.sources.io import shared_table
 
 # the replay of auctions: nations' orders in turn, priorities as teams, line items as bids
 
@@ -134,3 +135,65 @@ def q104_context_promotion(t):
     UNION ALL SELECT 'cappedStatus', count(DISTINCT ctx_cappedStatus), count_if(ctx_cappedStatus IS NULL)::BIGINT, false, 'MAYBE' FROM x UNION ALL SELECT 'isPlayerOverseas', count(DISTINCT ctx_isPlayerOverseas), count_if(ctx_isPlayerOverseas IS NULL)::BIGINT, false, '' FROM x""")
 def q105_promotion_report(t):
     return dataset.promotion_report(dataset.promoted(_context(t))[0]).withColumn("unrecognised", F.array_join("unrecognised", ","))
+
+
+# attributes of balls from a second feed: line items as balls, suppliers as players
+
+FEED = """WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT 'S' || s_suppkey AS person, CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 50 = 3 THEN 1 ELSE s_suppkey END END AS key, s_suppkey AS k, s_name FROM supplier),
+    b AS (SELECT l_orderkey AS m, CAST(o_orderdate AS DATE) AS day, (l_linenumber % 2 + 1)::INT AS inn, (l_linenumber::BIGINT * 10000000 + l_partkey) * 100000 + l_suppkey AS seq, l_suppkey::BIGINT AS st, (l_partkey % n + 1)::BIGINT AS bo, l_linenumber AS no, l_returnflag AS flag, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey, n),
+    f AS (SELECT m * 10 AS p_match, CASE WHEN m % 23 > 0 THEN day + CAST(m % 2 AS INT) END AS day, inn, seq, CASE WHEN m % 40 = 0 THEN (st + 1) % n.n + 1 ELSE st END + CASE WHEN no = 7 THEN 1000000 ELSE 0 END AS p_bat, bo AS p_bowl, flag, q FROM b, n WHERE NOT (m % 9 = 0 AND no = 1)),
+    u AS (SELECT p_match, day, p_bat AS pid FROM f UNION ALL SELECT p_match, day, p_bowl FROM f),
+    i AS (SELECT pid, count(*) AS balls, min(CASE WHEN pid % 1000000 % 31 = 5 THEN NULL ELSE 'Supplier#' || lpad((pid % 1000000)::VARCHAR, 9, '0') END) AS display_name FROM u GROUP BY pid),
+    d AS (SELECT key FROM s WHERE key IS NOT NULL GROUP BY key HAVING count(*) = 1),
+    e AS (SELECT pid, balls, display_name, coalesce(a.person, x.person) AS person, CASE WHEN a.person IS NOT NULL THEN 'key' WHEN x.person IS NOT NULL THEN 'name:exact' END AS method FROM i LEFT JOIN (SELECT * FROM s SEMI JOIN d USING (key)) a ON a.key = pid LEFT JOIN s x ON x.s_name = display_name),
+    g AS (SELECT person, min(method) AS best, count(*) AS n FROM e WHERE person IS NOT NULL GROUP BY person), h AS (SELECT person, method, count(*) AS same FROM e WHERE person IS NOT NULL GROUP BY ALL),
+    p AS (SELECT pid AS player_id, CASE WHEN won THEN person END AS person_id, CASE WHEN won THEN method END AS method, balls, display_name FROM (SELECT e.*, coalesce(e.method = best AND same = 1, false) AS won FROM e LEFT JOIN g USING (person) LEFT JOIN h ON h.person = e.person AND h.method = e.method)),
+    o AS (SELECT p_match, min(day) AS day, list(DISTINCT person_id) AS a FROM u JOIN p ON pid = player_id WHERE person_id IS NOT NULL GROUP BY p_match),
+    t AS (SELECT m, min(day) AS day, list(DISTINCT x) AS z FROM (SELECT m, day, 'S' || st AS x FROM b UNION ALL SELECT m, day, 'S' || bo FROM b) GROUP BY m),
+    j AS (SELECT p_match, o.day, m, len(list_intersect(a, z)) AS sh, len(list_intersect(a, z))::DOUBLE / (len(a) + len(z) - len(list_intersect(a, z))) AS jc FROM o LEFT JOIN t ON t.day BETWEEN o.day - 1 AND o.day + 1),
+    y AS (SELECT p_match, any_value(day) AS day, count(m) AS c, arg_max({'m': m, 's': sh, 'j': jc}, {'j': jc, 's': sh, 'm': m}) FILTER (sh > 0) AS v, (max(jc, 2) FILTER (sh > 0))[2] AS ru FROM j GROUP BY p_match),
+    q AS (SELECT p_match, v, CASE WHEN day IS NULL THEN 'no_date' WHEN c = 0 THEN 'no_candidate' WHEN v IS NULL THEN 'no_overlap' WHEN v.j < 0.35 THEN 'weak' WHEN coalesce(ru > 0.8 * v.j, false) THEN 'ambiguous' ELSE 'ok' END AS w FROM y),
+    mx AS (SELECT p_match, CASE WHEN w = 'ok' AND r = 1 THEN v.m END AS match_id, coalesce(v.j, 0) AS jaccard, coalesce(v.s, 0) AS n_shared, CASE WHEN w = 'ok' AND r > 1 THEN 'duplicate_claim' ELSE w END AS status FROM (SELECT *, row_number() OVER (PARTITION BY v.m, w = 'ok' ORDER BY v.j DESC, v.s DESC, p_match) AS r FROM q)) """
+
+
+def _feed(t):
+    n = t("supplier").agg(F.count("*").alias("n"))
+    balls = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day")), "l_orderkey").crossJoin(F.broadcast(n))  # one row
+    m, no = F.col("l_orderkey"), F.col("l_linenumber")
+    seq = (no.cast("long") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")
+    bowler = F.col("l_partkey") % F.col("n") + 1
+    deliveries = balls.select(m.alias("match_id"), F.col("day").alias("match_date"), (no % 2 + 1).cast("int").alias("innings"), seq.alias("ball_seq"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("striker_id"), F.concat(F.lit("S"), bowler.cast("string")).alias("bowler_id"), F.lit(False).alias("super_over"))
+    other = F.when(m % 40 == 0, (F.col("l_suppkey") + 1) % F.col("n") + 1).otherwise(F.col("l_suppkey")).cast("long")
+    name = lambda k: F.when(k % 1000000 % 31 != 5, F.concat(F.lit("Supplier#"), F.lpad((k % 1000000).cast("string"), 9, "0")))
+    p_bat, p_bowl = other + F.when(no == 7, 1000000).otherwise(0), bowler.cast("long")
+    day = F.when(m % 23 > 0, F.date_add("day", (m % 2).cast("int")))
+    source = balls.where(~((m % 9 == 0) & (no == 1))).select((m * 10).alias("p_match"), day.alias("date"), (no % 2 + 1).cast("int").alias("innings"), seq.alias("ball_id"), p_bat.alias("p_bat"), name(p_bat).alias("bat"), p_bowl.alias("p_bowl"), name(p_bowl).alias("bowl"),
+        F.when(F.col("l_returnflag") == "R", "well timed").when(F.col("l_returnflag") == "A", "edge").alias("control"), F.lit("drive").alias("shot"), F.when(F.col("l_quantity") > 25, "in the air").otherwise("along the ground").alias("elevation"), F.when(F.col("l_quantity") < 40, 1.0).alias("binary"), F.col("l_quantity").alias("length"))
+    k = F.col("s_suppkey")
+    people = t("supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("person_id"), F.when(k % 4 > 0, F.when(k % 50 == 3, 1).otherwise(k)).cast("long").alias("key"), F.col("s_name").alias("variants"))
+    return source, people, deliveries
+
+
+@query(FEED + "SELECT * FROM p")
+def q106_player_crosswalk(t):
+    source, people, _ = _feed(t)
+    return shots.player_crosswalk(source, people)
+
+
+@query(FEED + "SELECT p_match, match_id, round(jaccard, 6) AS jaccard, n_shared, status FROM mx")
+def q107_match_crosswalk(t):
+    source, people, deliveries = _feed(t)
+    players = shared_table(shots.player_crosswalk(source, people), "players")
+    return shots.match_crosswalk(source, players, deliveries).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(FEED + """, a AS (SELECT mx.match_id, f.inn, f.*, row_number() OVER (PARTITION BY f.p_match, f.inn ORDER BY f.seq) AS pos, count(*) OVER (PARTITION BY f.p_match, f.inn) AS c FROM f JOIN mx USING (p_match) WHERE mx.match_id IS NOT NULL),
+    z AS (SELECT b.*, row_number() OVER (PARTITION BY m, inn ORDER BY seq) AS pos, count(*) OVER (PARTITION BY m, inn) AS c FROM b),
+    al AS (SELECT z.m AS match_id, z.inn AS innings, z.seq AS ball_seq, 'S' || st AS striker_id, 'S' || bo AS bowler_id, a.q AS length, CASE a.flag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.0 END::DOUBLE AS is_controlled, a.flag, a.q, p.person_id FROM a JOIN z ON z.m = a.match_id AND z.inn = a.inn AND z.pos = a.pos AND z.c = a.c LEFT JOIN p ON p.player_id = a.p_bat)
+    SELECT match_id, innings, ball_seq, striker_id, bowler_id, length, is_controlled, (q > 25)::INT::DOUBLE AS is_aerial, coalesce(is_controlled, CASE WHEN q < 40 THEN 1.0 END) AS is_controlled_wide FROM al WHERE person_id IS NULL OR person_id = striker_id""")
+def q108_ball_attributes(t):
+    source, people, deliveries = _feed(t)
+    players = shared_table(shots.player_crosswalk(source, people), "players")
+    matches = shared_table(shots.match_crosswalk(source, players, deliveries), "matches")
+    done = shots.ball_attributes(source, players, matches, deliveries, ["length"], least=0.9)
+    return done.select("match_id", "innings", "ball_seq", "striker_id", "bowler_id", "length", "is_controlled", "is_aerial", "is_controlled_wide")
