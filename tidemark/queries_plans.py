@@ -14,7 +14,7 @@ REPLAY = """WITH t AS (SELECT DISTINCT o_orderpriority AS team FROM orders),
     r AS (SELECT c_nationkey AS auction, o_orderkey AS player, o_orderdate AS day, (['BATTER', 'BOWLER', 'ALL-ROUNDER', 'WICKETKEEPER', 'COACH'])[CAST(o_orderkey % 5 AS INT) + 1] AS role, o_custkey % 3 = 0 AS overseas, 50000.0::DOUBLE AS base,
       CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderstatus = 'P' THEN 'RETAINED' WHEN o_orderkey % 4 = 0 THEN 'UNSOLD' WHEN o_orderkey % 7 = 0 THEN 'RTM' ELSE 'SOLD' END AS status,
       CASE WHEN o_orderkey % 13 = 0 THEN 'nobody' ELSE o_orderpriority END AS buyer FROM orders JOIN customer ON o_custkey = c_custkey),
-    b AS (SELECT l_orderkey AS player, (l_linenumber::BIGINT * 10000000 + l_partkey) * 100000 + l_suppkey AS no, x.team, round(40000 + l_linenumber * 20000 + l_quantity * 900, 2) AS amt FROM lineitem JOIN (SELECT team, row_number() OVER (ORDER BY team) - 1 AS i FROM t) x ON x.i = l_suppkey % 5),
+    b AS (SELECT l_orderkey AS player, ((l_linenumber::BIGINT * 10000000 + l_partkey) * 100000 + l_suppkey) * 100 + l_quantity::BIGINT AS no, x.team, round(40000 + l_linenumber * 20000 + l_quantity * 900, 2) AS amt FROM lineitem JOIN (SELECT team, row_number() OVER (ORDER BY team) - 1 AS i FROM t) x ON x.i = l_suppkey % 5),
     h AS (SELECT auction, buyer AS team, sum(coalesce(price, 0)) AS spent, count(*) AS n, sum(overseas::INT) AS o, sum((role = 'BATTER')::INT) AS ba, sum((role = 'BOWLER')::INT) AS bo, sum((role = 'ALL-ROUNDER')::INT) AS al, sum((role = 'WICKETKEEPER')::INT) AS wk FROM r WHERE status = 'RETAINED' GROUP BY ALL),
     l AS (SELECT *, row_number() OVER w AS lot, count(*) OVER v AS players_remaining, sum((role = 'BATTER')::INT) OVER v AS remaining_batters, sum((role = 'BOWLER')::INT) OVER v AS remaining_bowlers, sum((role = 'ALL-ROUNDER')::INT) OVER v AS remaining_allrounders,
       sum((role = 'WICKETKEEPER')::INT) OVER v AS remaining_wicketkeepers, sum(overseas::INT) OVER v AS remaining_overseas FROM r WHERE status <> 'RETAINED'
@@ -48,7 +48,7 @@ def _replay(t):
     names = F.array_sort(F.collect_set("team"))
     bids = t("lineitem").crossJoin(F.broadcast(teams.agg(names.alias("names"))))  # one row of five names
     team = F.element_at("names", (F.col("l_suppkey") % 5 + 1).cast("int"))
-    bids = bids.select(F.col("l_orderkey").alias("player"), team.alias("team"), ((F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("number"), F.round(40000 + F.col("l_linenumber") * 20000 + F.col("l_quantity") * 900, 2).alias("amount")).join(roster.select("auction", "player"), "player")
+    bids = bids.select(F.col("l_orderkey").alias("player"), team.alias("team"), (((F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("number"), F.round(40000 + F.col("l_linenumber") * 20000 + F.col("l_quantity") * 900, 2).alias("amount")).join(roster.select("auction", "player"), "player")
     return auction.replay(roster, bids, teams, auction.Rules(2e7), [F.col("o_orderdate"), F.col("player")], carried=[])
 
 
@@ -140,7 +140,7 @@ def q105_promotion_report(t):
 # attributes of balls from a second feed: line items as balls, suppliers as players
 
 FEED = """WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT 'S' || s_suppkey AS person, CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 50 = 3 THEN 1 ELSE s_suppkey END END AS key, s_suppkey AS k, s_name FROM supplier),
-    b AS (SELECT l_orderkey AS m, CAST(o_orderdate AS DATE) AS day, (l_linenumber % 2 + 1)::INT AS inn, (l_linenumber::BIGINT * 10000000 + l_partkey) * 100000 + l_suppkey AS seq, l_suppkey::BIGINT AS st, (l_partkey % n + 1)::BIGINT AS bo, l_linenumber AS no, l_returnflag AS flag, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey, n),
+    b AS (SELECT l_orderkey AS m, CAST(o_orderdate AS DATE) AS day, (l_linenumber % 2 + 1)::INT AS inn, ((l_linenumber::BIGINT * 10000000 + l_partkey) * 100000 + l_suppkey) * 100 + l_quantity::BIGINT AS seq, l_suppkey::BIGINT AS st, (l_partkey % n + 1)::BIGINT AS bo, l_linenumber AS no, l_returnflag AS flag, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey, n),
     f AS (SELECT m * 10 AS p_match, CASE WHEN m % 23 > 0 THEN day + CAST(m % 2 AS INT) END AS day, inn, seq, CASE WHEN m % 40 = 0 THEN (st + 1) % n.n + 1 ELSE st END + CASE WHEN no = 7 THEN 1000000 ELSE 0 END AS p_bat, bo AS p_bowl, flag, q FROM b, n WHERE NOT (m % 9 = 0 AND no = 1)),
     u AS (SELECT p_match, day, p_bat AS pid FROM f UNION ALL SELECT p_match, day, p_bowl FROM f),
     i AS (SELECT pid, count(*) AS balls, min(CASE WHEN pid % 1000000 % 31 = 5 THEN NULL ELSE 'Supplier#' || lpad((pid % 1000000)::VARCHAR, 9, '0') END) AS display_name FROM u GROUP BY pid),
@@ -160,7 +160,7 @@ def _feed(t):
     n = t("supplier").agg(F.count("*").alias("n"))
     balls = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day")), "l_orderkey").crossJoin(F.broadcast(n))  # one row
     m, no = F.col("l_orderkey"), F.col("l_linenumber")
-    seq = (no.cast("long") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")
+    seq = ((no.cast("long") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
     bowler = F.col("l_partkey") % F.col("n") + 1
     deliveries = balls.select(m.alias("match_id"), F.col("day").alias("match_date"), (no % 2 + 1).cast("int").alias("innings"), seq.alias("ball_seq"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("striker_id"), F.concat(F.lit("S"), bowler.cast("string")).alias("bowler_id"), F.lit(False).alias("super_over"))
     other = F.when(m % 40 == 0, (F.col("l_suppkey") + 1) % F.col("n") + 1).otherwise(F.col("l_suppkey")).cast("long")
