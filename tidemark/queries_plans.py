@@ -38,7 +38,7 @@ _KEY, _POOL = ", ".join(auction.KEY), ", ".join(auction.POOL)
 _TEAM, _INTERVAL = ", ".join(auction.TEAM), ", ".join(auction.INTERVAL)
 
 
-def _replay(t):
+def _auction(t):
     k = F.col("o_orderkey")
     o = t("orders").join(t("customer").select("c_custkey", F.col("c_nationkey").alias("auction")), F.col("o_custkey") == F.col("c_custkey"))
     status = F.when(F.col("o_orderstatus") == "P", "RETAINED").when(k % 4 == 0, "UNSOLD").when(k % 7 == 0, "RTM").otherwise("SOLD")
@@ -49,7 +49,15 @@ def _replay(t):
     bids = t("lineitem").crossJoin(F.broadcast(teams.agg(names.alias("names"))))  # one row of five names
     team = F.element_at("names", (F.col("l_suppkey") % 5 + 1).cast("int"))
     bids = bids.select(F.col("l_orderkey").alias("player"), team.alias("team"), (((F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("number"), F.round(40000 + F.col("l_linenumber") * 20000 + F.col("l_quantity") * 900, 2).alias("amount")).join(roster.select("auction", "player"), "player")
-    return auction.replay(roster, bids, teams, auction.Rules(2e7), [F.col("o_orderdate"), F.col("player")], carried=[])
+    return roster, bids, teams
+
+
+def _order():
+    return [F.col("o_orderdate"), F.col("player")]
+
+
+def _replay(t):
+    return auction.replay(*_auction(t), auction.Rules(2e7), _order(), carried=[])
 
 
 @query(REPLAY + f"SELECT {_KEY}, {_POOL}, {_TEAM}, {_INTERVAL} FROM x")

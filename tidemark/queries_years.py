@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import across_years
+from tidemark.plans import across_years, audits
+from tidemark.plans.auction import Rules
 from tidemark.queries import query
+from tidemark.queries_plans import REPLAY, _auction, _order, _replay
 
 # customers as players, order years as seasons, suppliers as people
 
@@ -84,3 +86,88 @@ def q112_explained_conflicts(t):
     balls = t("lineitem").where("l_partkey % 2 = 0").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("season")), "l_orderkey")
     deliveries = balls.select("season", F.col("l_returnflag").alias("batting_team"), F.col("l_linestatus").alias("bowling_team"), F.when(F.col("l_suppkey") % 3 > 0, s(F.col("l_suppkey"))).alias("striker_id"), s(F.col("l_partkey") % 40 + 60).alias("non_striker_id"), F.when(F.col("l_quantity") < 25, s(F.col("l_partkey") % 50)).alias("bowler_id"))
     return across_years.explained(_years(t).where("method = 'cross_year_conflict'"), deliveries)
+
+
+# audits by name, of the auctions that line items make
+
+_TOLD = """SELECT auction, k[1] AS "check", CASE WHEN k[2] = 'info' THEN 'info' WHEN bad THEN k[2] ELSE 'ok' END AS severity, value, example FROM (SELECT auction, unnest({names}) AS k, unnest({bad}) AS bad, unnest({value})::DOUBLE AS value, unnest({example}) AS example FROM {source})"""
+
+
+def _told(source: str, checks: list[tuple[str, str, str, str, str]]) -> str:
+    """SQL of findings: name, severity, value, whether it is bad (over 0 unless told), example."""
+    listed = lambda xs: f"[{', '.join(xs)}]"
+    filled = {"names": listed(f"['{n}', '{s}']" for n, s, *_ in checks), "value": listed(f"coalesce(({v})::DOUBLE, 0)" for _, _, v, *_ in checks), "bad": listed(f"coalesce({b or f'({v}) > 0'}, false)" for _, _, v, b, _ in checks), "example": listed(f"{e or 'NULL::VARCHAR'}" for *_, e in checks)}
+    return _TOLD.format(source=source, **filled)
+
+
+def _row(name, severity, condition):
+    return name, severity, f"sum(({condition})::INT)", "", f"min(CASE WHEN {condition} THEN shown END)"
+
+
+def _grouped(checks, source):
+    """The checks as aggregates of one grouped select, and then the select of findings over it."""
+    inner = ", ".join(f"coalesce({v}, 0) AS v{i}, {b or f'({v}) > 0'} AS b{i}, {e or 'NULL::VARCHAR'} AS e{i}" for i, (_, _, v, b, e) in enumerate(checks))
+    return f"(SELECT auction, {inner} FROM {source} GROUP BY auction)", [(n, s, f"v{i}", f"b{i}", f"e{i}") for i, (n, s, *_) in enumerate(checks)]
+
+
+_W = "coalesce(observation_type <> 'unknown', true)"
+_TR = f""", tr AS (SELECT s.auction, s.player, s.team, s.player || '|' || s.team AS shown, s.status, s.price, s.overseas, s.won AS winner, x.observation_type, x.lower, x.upper, s.purse_left, s.lot, s.players_bought, s.overseas_bought, s.player % 6 = 0 AS blank, s.player % 5 = 0 AS novice FROM s JOIN x USING (auction, player, team)),
+    ts AS (SELECT auction, count(*) FILTER (c < 0.5 * m) AS few FROM (SELECT auction, c, median(c) OVER (PARTITION BY auction) AS m FROM (SELECT auction, team, count(*) AS c FROM tr GROUP BY ALL)) GROUP BY auction) """
+_DEAR = "max(CASE WHEN blank AND winner THEN price END) > 200"
+_VERIFY = [
+    ("rows vs players x teams", "error", "count(*)", "count(*) > count(DISTINCT player) * count(DISTINCT team)", ""), ("duplicate (player, team)", "error", "0", "", ""), ("teams this year", "info", "count(DISTINCT team)", "", ""),
+    ("teams with unusually few rows", "warn", "any_value(few)", "", ""), ("observation_type mix", "info", "count(DISTINCT observation_type)", "", ""),
+    ("winner rows vs sold players", "error", "sum(winner::INT)", "sum(winner::INT) <> count(DISTINCT CASE WHEN status IN ('SOLD', 'RTM') THEN player END)", ""),
+    _row("unusable intervals", "error", f"{_W} AND (lower IS NULL OR upper IS NULL OR upper <= lower)"), _row("fabricated-width intervals", "error", f"{_W} AND upper / lower >= 0 AND upper / lower < exp(1e-3)"),
+    _row("tight but plausible intervals", "info", f"{_W} AND upper / lower >= exp(1e-3) AND upper / lower < exp(2e-2)"), _row("negative purse rows", "error", "purse_left < 0"), _row("NaN purse rows", "error", "purse_left IS NULL"),
+    ("players with no feature row at all", "warn", "count(DISTINCT CASE WHEN blank THEN player END)", "", "min(CASE WHEN blank THEN player::VARCHAR END)"),
+    ("EXPENSIVE players with no features", "error", f"CASE WHEN {_DEAR} THEN least(count(DISTINCT CASE WHEN blank AND winner THEN player END), 5) ELSE 0 END", _DEAR, ""),
+    ("players with zero career history", "info", "count(DISTINCT CASE WHEN novice THEN player END)", "", "min(CASE WHEN novice THEN player::VARCHAR END)"),
+]
+
+
+@query(REPLAY + _TR + _told(*_grouped(_VERIFY, "tr JOIN ts USING (auction)")))
+def q113_verified_training(t):
+    state, k = _replay(t).state, F.col("player")
+    rows = state.withColumns({"f1": F.when(k % 6 > 0, k * 1.0), "f2": F.when(k % 3 > 0, k * 2.0), "has_history": (k % 5 > 0).cast("int")})
+    return audits.verified(rows, ["f1", "f2"])
+
+
+_LOTS = """, ld AS (SELECT player, list(DISTINCT team) AS teams, arg_min(team, {'a': -amt, 'n': no}) AS top FROM b GROUP BY player),
+    lt AS (SELECT r.*, r.player || '|' || r.buyer AS shown, teams, top, status IN ('SOLD', 'RTM') AS sold, coalesce(list_contains(teams, buyer), false) AS present, count_if(status IN ('SOLD', 'RTM') AND price > 500) OVER (PARTITION BY auction, buyer, price) AS same,
+      sum(CASE WHEN status <> 'UNSOLD' THEN coalesce(price, 0) END) OVER (PARTITION BY auction, buyer ORDER BY day, player) AS fo, sum(CASE WHEN status <> 'UNSOLD' THEN coalesce(price, 0) END) OVER (PARTITION BY auction, buyer ORDER BY day DESC, player DESC) AS ba FROM r LEFT JOIN ld USING (player)) """
+_SUSPECT = "greatest(0, max(CASE WHEN status <> 'UNSOLD' THEN fo END) - 2e7) > greatest(0, max(CASE WHEN status <> 'UNSOLD' THEN ba END) - 2e7) + 0.01"
+_OF_LOTS = [
+    ("auction order direction", "error", f"({_SUSPECT})::INT", _SUSPECT, ""), _row("winner absent from bid ladder", "error", "sold AND top IS NOT NULL AND NOT present"), _row("winner is not the top bidder", "error", "sold AND present AND top <> buyer"),
+    _row("sold with no bid ladder at all", "warn", "sold AND top IS NULL"), _row("retained players producing zero training rows", "warn", "status = 'RETAINED'"), _row("unsold players who received bids", "warn", "status = 'UNSOLD' AND top IS NOT NULL"),
+    _row("sold below base price", "error", "coalesce(sold AND price < base, false)"), _row("sold with no parseable price", "error", "sold AND price IS NULL"), _row("same team, same high price, multiple players", "warn", "coalesce(sold AND price > 500 AND same > 1, false)"),
+]
+
+
+@query(REPLAY + _LOTS + _told(*_grouped(_OF_LOTS, "lt")))
+def q114_audited_lots(t):
+    roster, bids, _ = _auction(t)
+    return audits.audited_lots(roster, bids, Rules(2e7), _order())
+
+
+_FINAL = """, fs AS (SELECT auction, team, arg_max(purse_left - CASE WHEN winner THEN coalesce(price, 0) ELSE 0 END, lot) AS p, arg_max(25 - players_bought - winner::INT, lot) AS sl, arg_max(overseas_bought + (winner AND overseas)::INT, lot) AS ov FROM tr GROUP BY ALL),
+    fe AS (SELECT auction, count_if(p < 0) AS np, min(CASE WHEN p < 0 THEN team END) AS ep, count_if(sl < 0) AS ns, min(CASE WHEN sl < 0 THEN team END) AS es, count_if(ov > 8) AS no, min(CASE WHEN ov > 8 THEN team END) AS eo FROM fs GROUP BY auction) """
+_OF_REPLAY = [
+    _row("interval rows with no upper bound", "error", "observation_type = 'interval' AND upper IS NULL"), _row("interval rows with upper <= lower", "error", "coalesce(observation_type = 'interval' AND upper <= lower, false)"), _row("rows of unknown observation", "info", "observation_type = 'unknown'"),
+    ("teams finishing with negative purse", "error", "any_value(np)", "", "any_value(ep)"), ("teams exceeding squad size", "warn", "any_value(ns)", "", "any_value(es)"), ("teams exceeding overseas limit", "warn", "any_value(no)", "", "any_value(eo)"),
+    ("duplicate (player, team) training rows", "error", "0", "", ""), ("row count == players x teams", "error", "(count(*) <> count(DISTINCT player) * count(DISTINCT team))::INT", "", ""), ("teams discovered", "warn", "count(DISTINCT team)", "", ""),
+]
+
+
+@query(REPLAY + _TR + _FINAL + _told(*_grouped(_OF_REPLAY, "tr JOIN fe USING (auction)")))
+def q115_audited_replay(t):
+    return audits.audited_replay(_replay(t))
+
+
+@query("""WITH p AS (SELECT p_size % 7 = 0 AS a, p_retailprice > 900 AS b FROM part) SELECT unnest(['auction_state columns duplicated inside team_state', 'outcome-derived column inside player block', 'outcome-derived column inside team_state block', 'outcome-derived column inside auction_state block', 'context promoted into the player block', 'constant player features', 'rows with no career at all']) AS "check",
+    unnest(['error', 'error', 'ok', 'error', 'warn', 'warn', CASE WHEN count_if(a AND b) > 0 THEN 'warn' ELSE 'ok' END]) AS severity, unnest([1, 1, 0, 1, 1, 2, count_if(a AND b)])::DOUBLE AS value, unnest(['seats', 'winner', NULL, 'upper', 'ctx_basePrice', 'never, same', NULL]) AS example FROM p""")
+def q116_audited_blocks(t):
+    b = F.col("p_retailprice") > 900
+    rows = t("part").select(F.when(F.col("p_size") % 7 > 0, F.col("p_size")).alias("runs"), F.when(~b, 1).alias("balls"), F.when(~(b & (F.col("p_size") % 7 == 0)), 5).alias("winner"), F.when(~(b & (F.col("p_size") % 7 == 0)), 1.5).alias("rate"), F.lit(3).alias("ctx_basePrice"), F.lit(None).cast("int").alias("never"), F.lit("x").alias("same_"))
+    rows = rows.withColumns({"ctx_basePrice": F.col("runs"), "same": F.lit(None).cast("string")}).drop("same_")
+    return audits.audited_blocks(rows, ["runs", "balls", "winner", "rate", "ctx_basePrice", "never", "same"], ["seats", "purse"], ["seats", "upper"])
