@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clipped_z
+from tidemark.operators.quantiles import quantiles
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
@@ -30,14 +31,15 @@ def one_hot(df: DataFrame, column: str, most: int = 24) -> DataFrame:
 
 
 def scaler_params(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, log, mean, std): one pass for the quantiles, one for the moments.
+    """(feature, log, mean, std): exact quantiles of all features at once, then one pass for the moments.
 
     A feature is taken as log1p if it isn't negative, its 99th percentile is over 50 and over
     three times its median and one.  A deviation under 1e-6 counts as 1.
     """
-    stats = df.agg(*(x for c in columns for x in (F.min(c).alias(f"{c}_lo"), F.percentile(c, F.array(F.lit(0.5), F.lit(0.99))).alias(f"{c}_q"))))
-    one = stats.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), ((F.col(f"{c}_lo") >= 0) & (F.col(f"{c}_q")[1] > 50) & (F.col(f"{c}_q")[1] > 3 * (F.col(f"{c}_q")[0] + 1))).alias("log")) for c in columns))).alias("s")).select("s.*")
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")).select("s.*")
+    found = quantiles(long, ["feature"], "x", (0.0, 0.5, 0.99))
+    q = lambda i: F.col("_q")[i]
+    one = found.select("feature", F.coalesce((q(0) >= 0) & (q(2) > 50) & (q(2) > 3 * (q(1) + 1)), F.lit(False)).alias("log"))  # one row a feature
     value = F.when(F.col("log"), F.log1p(F.greatest("x", F.lit(0.0)))).otherwise(F.col("x"))
     moments = long.join(F.broadcast(one), "feature").groupBy("feature", "log").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     return moments.withColumn("std", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
@@ -56,8 +58,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int, keys: list[str] | None =
     Edges are linear quantiles without repeats, bins closed on the right, the first on both sides.
     """
     keys = keys or []
-    cuts = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile(value, cuts)).alias("_e"))
+    edges = quantiles(df, keys, value, tuple(i / bins for i in range(bins + 1))).withColumn("_e", F.array_distinct("_q")).drop("_q")
     joined = df.join(edges, keys, "left") if keys else df.crossJoin(F.broadcast(edges))
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     return joined.withColumn(alias, F.size(F.filter(inner, lambda e: e < F.col(value))).cast("long")).drop("_e")

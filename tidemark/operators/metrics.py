@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantiles, with_quantiles
+
 
 def mad(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Median and median absolute deviation about it, for each key."""
     keys = keys or []
     rows = df.select(*keys, F.col(value).alias("_v"))
-    centre = rows.groupBy(*keys).agg(F.median("_v").alias("median"))
+    centre = quantiles(rows, keys, "_v", (0.5,)).select(*keys, F.col("_q")[0].alias("median"))
     joined = rows.join(centre, keys) if keys else rows.crossJoin(F.broadcast(centre))  # one row
-    return joined.groupBy(*keys, "median").agg(F.median(F.abs(F.col("_v") - F.col("median"))).alias("mad"))
+    away = joined.select(*keys, "median", F.abs(F.col("_v") - F.col("median")).alias("_d"))
+    return quantiles(away, [*keys, "median"], "_d", (0.5,)).select(*keys, "median", F.col("_q")[0].alias("mad"))
 
 
 def average_rank(df: DataFrame, value: str, alias: str, parts: int = 64) -> DataFrame:
@@ -38,17 +41,19 @@ def spearman(df: DataFrame, x: str, y: str, alias: str = "rho") -> DataFrame:
 
 def profile(df: DataFrame, value: str, keys: list[str], points: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
     """Exact linear quantiles (columns p01, ...) for each key."""
-    made = df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(p) for p in points))).alias("_q"))
+    made = quantiles(df, keys, value, points)
     return made.select(*keys, *(F.col("_q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(points)))
 
 
 def by_bin(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.median(value).alias("median"))
+    made = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return with_quantiles(made, quantiles(df, keys, value, (0.5,)), keys).select(*keys, "n", "mean", "std", F.col("_q")[0].alias("median"))
 
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and range of a measure for each configuration."""
-    return df.groupBy(*keys).agg(F.median(value).alias("median"), (F.max(value) - F.min(value)).alias("spread"))
+    made = df.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("spread"))
+    return with_quantiles(made, quantiles(df, keys, value, (0.5,)), keys).select(*keys, F.col("_q")[0].alias("median"), "spread")
 
 
 def within_interval(value: Column, lower: Column, upper: Column) -> Column:
