@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clipped_z
 from tidemark.operators.quantiles import quantiles
+from tidemark.operators.scan import running_sums
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): distinct values in order from 0."""
+    """(value, code): distinct values in order from 0, however many there are."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)  # one row a distinct value
+    return running_sums(values, [], [F.col("value")], {"code": F.lit(1)})
 
 
 def label_encode(df: DataFrame, column: str, codes: DataFrame, alias: str) -> DataFrame:

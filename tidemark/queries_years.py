@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import replay
 from tidemark.plans import across_years, audits
 from tidemark.plans.auction import Rules
 from tidemark.queries import query
@@ -171,3 +172,10 @@ def q116_audited_blocks(t):
     rows = t("part").select(F.when(F.col("p_size") % 7 > 0, F.col("p_size")).alias("runs"), F.when(~b, 1).alias("balls"), F.when(~(b & (F.col("p_size") % 7 == 0)), 5).alias("winner"), F.when(~(b & (F.col("p_size") % 7 == 0)), 1.5).alias("rate"), F.lit(3).alias("ctx_basePrice"), F.lit(None).cast("int").alias("never"), F.lit("x").alias("same_"))
     rows = rows.withColumns({"ctx_basePrice": F.col("runs"), "same": F.lit(None).cast("string")}).drop("same_")
     return audits.audited_blocks(rows, ["runs", "balls", "winner", "rate", "ctx_basePrice", "never", "same"], ["seats", "purse"], ["seats", "upper"])
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS team, o_totalprice AS p, sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS s FROM orders)
+    SELECT team, round(max(greatest(s - 2e8, 0)), 2) AS overdraft, count_if(s > 2e8)::BIGINT AS overdrawn FROM o GROUP BY team""")
+def q117_overdrafts(t):
+    done = replay.overdrafts(t("orders").withColumnRenamed("o_orderpriority", "team"), ["team"], [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_totalprice"), 2e8)
+    return done.withColumn("overdraft", F.round("overdraft", 2))
