@@ -87,14 +87,12 @@ def recent_of(df: DataFrame, requests: DataFrame, key: str, day: str, match: str
 
     Rows are summed by match first.  Matches are numbered by day and match, so two of one day are
     two.  Of matches and requests in one order a request sees the last n matches of earlier days:
-    running totals minus those n matches back, with no range join and no array longer than n.
+    sums over a frame of n matches, with no range join and no digits lost; null values count as 0.
     """
     played = df.groupBy(key, F.col(day).alias("_day"), F.col(match).alias("_match")).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
     order = Window.partitionBy(key).orderBy("_day", "_match")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    num = played.withColumn("_m", F.row_number().over(order)).withColumns({f"_s_{name}": F.sum(name).over(upto) for name in sums})
-    back = {name: F.coalesce(F.lag(f"_s_{name}", n).over(order), F.lit(0.0)) for name in sums}
-    state = num.select(key, "_day", "_match", F.least("_m", F.lit(n)).cast("long").alias("matches"), *((F.col(f"_s_{name}") - back[name]).alias(name) for name in sums))
+    last = order.rowsBetween(1 - n, 0)
+    state = played.select(key, "_day", "_match", F.least(F.row_number().over(order), F.lit(n)).cast("long").alias("matches"), *(F.coalesce(F.sum(name).over(last), F.lit(0)).alias(name) for name in sums))
     held = ["matches", *sums]
     rows = state.select(key, F.col("_day").alias("_t"), F.lit(1).alias("_side"), F.col("_match").cast("string").alias("_last"), F.struct("_match").alias("_o"), F.lit(None).cast(requests.schema[at].dataType).alias(at), F.struct(*held).alias("_held"))
     ask = requests.select(key, F.to_date(at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("_last"), F.lit(None).cast(rows.schema["_o"].dataType).alias("_o"), at, F.lit(None).cast(rows.schema["_held"].dataType).alias("_held"))

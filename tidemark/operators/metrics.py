@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.normal import correlation_p
 from tidemark.operators.quantiles import quantiles, with_quantiles
 
 
@@ -34,9 +35,11 @@ def average_rank(df: DataFrame, value: str, alias: str, parts: int = 64) -> Data
     return df.join(ranks, value, "left")
 
 
-def spearman(df: DataFrame, x: str, y: str, alias: str = "rho") -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, alias: str = "rho", p: str | None = None) -> DataFrame:
+    """One row: the rank correlation of rows that have both values and, if ``p`` names it, its two-sided p-value."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    return average_rank(average_rank(both, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias(alias))
+    ranked = average_rank(average_rank(both, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias(alias), *([F.count("*").alias(p)] if p else []))
+    return ranked.withColumn(p, correlation_p(alias, p)) if p else ranked
 
 
 def profile(df: DataFrame, value: str, keys: list[str], points: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
