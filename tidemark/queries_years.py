@@ -80,7 +80,7 @@ def q111_proposals(t):
     u AS (SELECT s AS person, season, bt AS team, 1 AS ball, 1 AS role FROM b UNION ALL SELECT n, season, NULL, (n IS DISTINCT FROM s)::INT, 0 FROM b UNION ALL SELECT w, season, bo, (w IS DISTINCT FROM s AND w IS DISTINCT FROM n)::INT, 1 FROM b),
     v AS (SELECT person, sum(ball)::BIGINT AS balls, min(season) AS first_season, max(season) AS last_season FROM u GROUP BY person),
     x AS (SELECT person, string_agg(team || ':' || n, '|' ORDER BY n DESC, team) AS teams FROM (SELECT person, team, sum(role)::BIGINT AS n FROM u WHERE role > 0 GROUP BY ALL) GROUP BY person),
-    e AS (SELECT player_id, person, coalesce(balls, 0) AS balls, first_season, last_season, teams, count_if(balls > 0) OVER (PARTITION BY player_id) AS c FROM a LEFT JOIN v USING (person) LEFT JOIN x USING (person))
+    e AS (SELECT player_id, person, coalesce(balls, 0) AS balls, first_season, last_season, teams, count_if(coalesce(balls, 0) > 0) OVER (PARTITION BY player_id) AS c FROM a LEFT JOIN v USING (person) LEFT JOIN x USING (person))
     SELECT player_id, person, balls, first_season, last_season, teams, CASE WHEN c <> 1 THEN 'needs_human' WHEN balls > 0 THEN 'proposed' ELSE 'rival' END AS verdict FROM e""")
 def q112_explained_conflicts(t):
     s = lambda x: F.concat(F.lit("S"), x.cast("string"))
