@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import ratio
-from tidemark.operators import asof, fold
+from tidemark.plans import careers
 
 SCHEMA = """meta struct<data_version:string,created:string,revision:int>,
 info struct<balls_per_over:int,overs:int,match_type:string,gender:string,team_type:string,season:string,dates:array<string>,
@@ -127,40 +126,6 @@ def invariants(made: Ingested) -> DataFrame:
     })
 
 
-def innings_table(made: Ingested) -> DataFrame:
-    """Sums of each (player, match, innings): batting, outs, bowling and maidens, in one shuffle of roles."""
-    d, one = made.deliveries, lambda c: F.col(c).cast("int")
-    by_phase = lambda prefix, cols: {f"{prefix}_{n}_{p}": F.when(F.col("phase") == p, c).otherwise(0) for p in PHASES for n, c in cols.items()}
-    bat = {"bat_runs": F.col("runs"), "bat_balls": one("faced"), "bat_fours": one("four"), "bat_sixes": one("six"), "bat_dots": one("dot"), "bat_in": F.lit(1), **by_phase("bat", {"runs": F.col("runs"), "balls": one("faced")})}
-    bowl = {"bowl_balls": one("legal"), "bowl_runs": F.col("conceded"), "bowl_wickets": one("bowler_wicket"), "bowl_wides": F.col("wides"), "bowl_noballs": F.col("noballs"), "bowl_dots": (F.col("legal") & (F.col("runs") == 0) & (F.col("leg_extras") == 0)).cast("int"), **by_phase("bowl", {"runs": F.col("conceded"), "balls": one("legal")})}
-    roles = [fold.Role("striker", F.col("batter_id"), bat), fold.Role("non_striker", F.col("non_striker_id"), {"bat_in": F.lit(1)}), fold.Role("out", F.col("player_out_id"), {"outs": F.lit(1)}), fold.Role("bowler", F.col("bowler_id"), bowl)]
-    sums = fold.fold_roles(d, roles, {"match_id": F.col("match_id"), "innings": F.col("innings")}, F.col("match_date"))
-    overs = d.groupBy("bowler_id", "match_id", "innings", "over").agg(F.sum("conceded").alias("r"), F.sum(one("legal")).alias("l"))
-    maidens = overs.groupBy(F.col("bowler_id").alias("entity"), "match_id", "innings").agg(F.sum(((F.col("r") == 0) & (F.col("l") > 0)).cast("int")).alias("maidens"))
-    # who was neither striker nor non-striker wasn't in, and isn't out either
-    return sums.join(maidens, ["entity", "match_id", "innings"], "left").withColumns({"maidens": F.coalesce("maidens", F.lit(0)), "outs": F.when(F.col("bat_in") > 0, F.col("outs")).otherwise(0)})
-
-
-def career(table: DataFrame, requests: DataFrame) -> DataFrame:
-    """For requests (entity, as_of) the sums of earlier days with their rates; has_history is false where there are none.
-
-    Innings and requests go through one window by player and day, so no request is joined with a
-    player's innings one by one.
-    """
-    sums = [c for c in table.columns if c not in ("entity", "match_id", "innings", "first_date", "bat_in")]
-    first = F.row_number().over(Window.partitionBy("entity", "match_id").orderBy("innings"))
-    counted = table.withColumn("matches", (first == 1).cast("int")).withColumn("bat_innings", (F.col("bat_in") > 0).cast("int"))
-    names = [*sums, "matches", "bat_innings"]
-    done = asof.totals_of(counted, requests.distinct(), "entity", "first_date", "as_of", {c: F.col(c) for c in names})
-    done = done.select("entity", "as_of", *(F.col(c).cast("long").alias(c) for c in names))
-    c = F.col
-    return done.withColumns({
-        "has_history": c("matches") > 0, "bat_average": ratio(c("bat_runs"), c("outs")), "bat_strike_rate": ratio(c("bat_runs"), c("bat_balls"), 100.0),
-        "bat_boundary_rate": ratio(c("bat_fours") + c("bat_sixes"), c("bat_balls")), "bat_dot_rate": ratio(c("bat_dots"), c("bat_balls")),
-        "bowl_economy": ratio(c("bowl_runs"), c("bowl_balls"), 6.0), "bowl_average": ratio(c("bowl_runs"), c("bowl_wickets")), "bowl_strike_rate": ratio(c("bowl_balls"), c("bowl_wickets")),
-    })
-
-
-def fielding_table(made: Ingested) -> DataFrame:
-    kind = lambda *k: F.sum(F.col("kind").isin(*k).cast("int"))
-    return made.fielding.where("fielder_id is not null").groupBy(F.col("fielder_id").alias("entity")).agg(kind("caught", "caught and bowled").alias("catches"), kind("stumped").alias("stumpings"), kind("run out").alias("run_outs"))
+def innings_table(made: Ingested, shots: DataFrame | None = None) -> DataFrame:
+    """careers.innings_sums of the deliveries, with the flags of shots where there are any."""
+    return careers.innings_sums(made.deliveries if shots is None else careers.with_shots(made.deliveries, shots))
