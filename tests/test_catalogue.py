@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import tidemark.queries_careers  # noqa: F401
 import tidemark.queries_more  # noqa: F401  registers its queries
 import tidemark.queries_plans  # noqa: F401
 import tidemark.queries_years  # noqa: F401
