@@ -97,11 +97,12 @@ def test_careers_and_recent_form(spark, seed):
 
 def test_fielding_and_features(spark):
     rows = balls(5, 4)
-    table = careers.innings_sums(spark.createDataFrame(rows, FIELDS))
+    deliveries = spark.createDataFrame(rows, FIELDS)
+    table = careers.innings_sums(deliveries)
     m, day, i = rows[0][:3]
     fielding = [(m, i, "caught", "g"), (m, i, "Stumped", "g"), (m, i, "run out", "g"), (m, i, "caught", None), (m, i, "lbw", "a"), (99, 1, "caught", "g")]
     fields = "match_id long, innings int, kind string, fielder_id string"
-    made = careers.fielding_sums(spark.createDataFrame(fielding, fields), table)
+    made = careers.fielding_sums(spark.createDataFrame(fielding, fields), deliveries)
     requests = spark.createDataFrame([("g", FIRST + dt.timedelta(days=60)), ("g", day), ("a", FIRST + dt.timedelta(days=60)), (None, day)], "entity string, as_of date")
     done = careers.career(table, requests, made, recent=None)
     got = {(r["entity"], r["as_of"]): r for r in done.collect()}
@@ -116,7 +117,7 @@ def test_fielding_and_features(spark):
     assert (row["bat_average"], row["bat_average_is_missing"], row["bat_runs_death"], row["bat_runs_death_is_missing"]) == (-1.0, 1.0, 0.0, 0.0)
     assert all(isinstance(row[c], float) for c in careers.feature_columns())
     with pytest.raises(Exception, match="nothing is known of"):
-        careers.fielding_sums(spark.createDataFrame([(m, 7, "caught", "g")], fields), table).collect()
+        careers.fielding_sums(spark.createDataFrame([(m, 7, "caught", "g")], fields), deliveries).collect()
 
 
 def test_empty_and_undated(spark):
@@ -132,6 +133,10 @@ def test_empty_and_undated(spark):
 def test_one_shuffle_of_careers(spark):
     table = spark.createDataFrame(careers.innings_sums(spark.createDataFrame(balls(1), FIELDS)).collect())
     requests = spark.createDataFrame([("a", FIRST)], "entity string, as_of date")
-    plan = careers.career(table, requests)._jdf.queryExecution().executedPlan().toString()
-    # matches are summed, requests made distinct, then all windows share one partitioning
-    assert plan.count("Exchange hashpartitioning(") <= 3
+    plan = careers.career(table, requests)._jdf.queryExecution().executedPlan().toString().split("\n")
+    windows = [i for i, line in enumerate(plan) if "Window [" in line]
+    # running sums and both recent forms: sorted anew, never shuffled again
+    assert len(windows) == 3
+    assert not [line for line in plan[windows[0] : windows[-1]] if "Exchange" in line]
+    # who is asked for, their matches, the requests, and both by entity
+    assert sum("Exchange hashpartitioning(" in line for line in plan) <= 4

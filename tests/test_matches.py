@@ -117,5 +117,5 @@ def test_career(spark, made):
 
 
 def test_fielding(made):
-    (r,) = careers.fielding_sums(made.fielding, matches.innings_table(made)).collect()
+    (r,) = careers.fielding_sums(made.fielding, made.deliveries).collect()
     assert (r.entity, r.field_catches, r.field_run_out_involvements, r.field_stumpings) == ("p5", 1, 0, 0)

@@ -53,14 +53,14 @@ def innings_sums(deliveries: DataFrame) -> DataFrame:
     return made.where("bat_in > 0 or bowl_in > 0").select("entity", "match_id", "innings", "first_date", *(F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in numbers))
 
 
-def fielding_sums(fielding: DataFrame, table: DataFrame) -> DataFrame:
-    """Catches, stumpings and run-outs of each (entity, match_id), with first_date, for matches in the innings table.
+def fielding_sums(fielding: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """Catches, stumpings and run-outs of each (entity, match_id), with first_date, for matches that have deliveries.
 
-    Fielding in a match that the table lacks is left out; in an innings that it lacks, of a match
-    it has, it fails the query, as the two were filtered differently.
+    Fielding in other matches is left out; in an innings without deliveries, of a match that has some,
+    it fails the query, as the two were filtered differently.
     """
-    dates = table.groupBy("match_id", "innings").agg(F.min("first_date").alias("first_date"))
-    there = fielding.where("fielder_id is not null").join(table.select("match_id").distinct(), "match_id", "left_semi")
+    dates = deliveries.groupBy("match_id", "innings").agg(F.min("match_date").alias("first_date"))
+    there = fielding.where("fielder_id is not null").join(deliveries.select("match_id").distinct(), "match_id", "left_semi")
     kind = lambda k: F.sum((F.lower("kind") == k).cast("int"))
     sums = dict(zip(FIELD, map(kind, ("caught", "stumped", "run out")), strict=True))
     # summed before dates are looked up: one row a fielder and innings
@@ -78,8 +78,11 @@ def career(table: DataFrame, requests: DataFrame, fielding: DataFrame | None = N
     (recent_bat_) or bowled in (recent_bowl_), which are each discipline's own.  An unknown entity
     has zeros.  Matches and requests go through windows of one partitioning by entity, a match
     being one row: a request sees the running sums of the rows before it, and what is recent is a
-    range of the number of matches so far, in which requests and other matches count nothing.
+    range of the number of matches so far, in which requests and other matches count nothing.  Only
+    entities that are asked for are summed, a semi-join that Catalyst moves below the folds.
     """
+    wanted = requests.select("entity").distinct()
+    table = table.join(wanted, "entity", "left_semi")
     bat, bowl, field = [f"bat_{x}" for x in BAT], [f"bowl_{x}" for x in BOWL], [f"field_{x}" for x in FIELD]
     batting, bowling = ["batting_matches", "bat_innings", *bat], ["bowling_matches", "bowl_innings", *bowl]
     numbers = ["matches", "innings", *batting, *bowling, *field]
@@ -87,7 +90,7 @@ def career(table: DataFrame, requests: DataFrame, fielding: DataFrame | None = N
     played = table.groupBy("entity", "match_id").agg(F.min("first_date").alias("first_date"), F.count("*").alias("innings"), own("bat_in").alias("bat_innings"), own("bowl_in").alias("bowl_innings"), *(F.sum(x).alias(x) for x in [*bat, *bowl]))
     played = played.withColumns({"matches": F.lit(1), "batting_matches": (F.col("bat_innings") > 0).cast("int"), "bowling_matches": (F.col("bowl_innings") > 0).cast("int")})
     if fielding is not None:
-        played = played.unionByName(fielding, allowMissingColumns=True)
+        played = played.unionByName(fielding.join(wanted, "entity", "left_semi"), allowMissingColumns=True)
     place = ["entity", "_day", "_side", "_match", "as_of"]
     rows = played.withColumns({"_day": F.to_date("first_date"), "_side": F.lit(1), "_match": F.col("match_id"), "as_of": F.lit(None).cast(requests.schema["as_of"].dataType)})
     there = set(played.columns)  # asked once, as each time it costs a look at the plan

@@ -76,7 +76,7 @@ def _careers(t, recent=None):
     table = careers.innings_sums(balls)
     caught = balls.where("bowler_wicket").select("match_id", "innings", F.lit("caught").alias("kind"), "fielder_id")
     asked = t("supplier").select(F.col("s_suppkey").alias("entity"), F.explode(F.array(*(F.lit(x).cast("date") for x in DAYS))).alias("as_of"))
-    return careers.career(table, asked, None if recent else careers.fielding_sums(caught, table), recent)
+    return careers.career(table, asked, None if recent else careers.fielding_sums(caught, balls), recent)
 
 
 def _rounded(made, names):
