@@ -7,7 +7,8 @@ limited number of times, marginals that can be met together are told from an unb
 then a ladder of volumes is fitted at once, each scaling followed by a projection onto the limit,
 and the largest volume whose marginals hold is taken.  The number of jobs is the same for any
 table.  Fitting works on cells, which are few however many documents there are; all of it is SQL
-functions.
+functions.  Up to ``FEW`` cells are arrays of one row, whose rounds are one fold; more are rows
+under windows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ DIMENSIONS = ("source", "lang", "topic")
 TOLERANCE, LADDER, NARROWED = 0.002, 16, 2
 #: The value that pooled ones become.
 POOL = "(rare)"
+#: So many cells at most are fitted as arrays of one row: 16 MB or so.  Two dimensions of values of a hundredth each
+#: and six topics stay below it.
+FEW = 1 << 16
 
 
 def topic_of(text: Column) -> Column:
@@ -91,8 +95,59 @@ def _rounds(fitted: DataFrame, names: list[str], rounds: int, most: float | None
     return fitted
 
 
-def _fitted(fitted: DataFrame, names: list[str], rounds: int, most: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """``_rounds`` in plans of ten; what one plan wrote is deleted once the next has read it."""
+def _placed(cells: DataFrame, names: list[str]) -> DataFrame:
+    """cells with their place from 0 on, and the number from 0 on of their value in each dimension."""
+    one = cells.coalesce(1)  # so that windows shuffle nothing
+    return one.withColumns({"_place": F.row_number().over(Window.orderBy(*names)) - 1, **{f"_code_{name}": F.dense_rank().over(Window.orderBy(name)) - 1 for name in names}})
+
+
+def _groups(placed: DataFrame, names: list[str]) -> DataFrame:
+    """One row, _groups: for each dimension an array by its values of the places of their cells."""
+    by_value = placed.coalesce(1).select("_place", F.posexplode(F.array(*(f"_code_{name}" for name in names))).alias("dim", "code"))
+    by_value = by_value.groupBy("dim", "code").agg(F.sort_array(F.collect_list("_place")).alias("places"))
+    by_dim = by_value.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("code", "places"))).alias("values"))
+    return by_dim.agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "values"))), lambda d: d["values"]["places"]).alias("_groups"))
+
+
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _folded(names: list[str], rounds: int, most: float | None) -> Column:
+    """The weights that ``_rounds`` comes to, of a row of _cells, _groups and volume: a fold over the dimensions in turn."""
+    cells, groups = F.col("_cells"), F.col("_groups")
+    told = {
+        "codes": F.array(*(cells[f"_code_{name}"] for name in names)),
+        "shares": F.array(*(cells[f"share_{name}"] for name in names)),
+        "limits": F.transform(cells["tokens"], lambda n: n * F.lit(float("inf") if most is None else float(most))),
+    }
+
+    def turn(weights: Column, dim: Column, told: Column) -> Column:
+        def scaled(weight: Column, place: Column, sums: Column) -> Column:
+            now = sums[told["codes"][dim][place]]
+            weight = F.when(now > 0, weight * told["shares"][dim][place] * F.col("volume") / now).otherwise(0.0)
+            return weight if most is None else F.least(weight, told["limits"][place])
+
+        sums = F.transform(groups[dim], lambda places: F.aggregate(places, F.lit(0.0), lambda total, place: total + weights[place]))
+        return _let(sums, lambda sums: F.transform(weights, lambda weight, place: scaled(weight, place, sums)))
+
+    turns = F.flatten(F.array_repeat(F.array(*(F.lit(k) for k in range(len(names)))), rounds))
+    begun = F.transform(cells["weight"], lambda weight: F.coalesce(weight, F.lit(0.0)))
+    return _let(F.struct(*(c.alias(k) for k, c in told.items())), lambda told: F.aggregate(turns, begun, lambda weights, dim: turn(weights, dim, told)))
+
+
+def _fitted(fitted: DataFrame, names: list[str], rounds: int, groups: DataFrame | None, most: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``_rounds``, written: with groups as one fold, else in plans of ten.
+
+    A plan of windows grows with its rounds, and the driver's memory with the plan; the fold is one expression.
+    What one plan wrote is deleted once the next has read it.
+    """
+    if groups is not None:
+        rows = fitted.groupBy(*by, "volume").agg(F.sort_array(F.collect_list(F.struct("_place", *(c for c in fitted.columns if c != "_place")))).alias("_cells"))
+        rows = rows.crossJoin(F.broadcast(groups)).withColumn("_weights", _folded(names, rounds, most))  # one row of places
+        done = rows.select(F.inline(F.zip_with("_cells", "_weights", lambda cell, weight: cell.withField("weight", weight))))
+        return _kit.written(done.select(*fitted.columns), "cells")
     placed = lambda x: x.repartition(*by) if by else x.coalesce(1)  # noqa: E731  so that windows shuffle nothing
     before = None
     for done in range(0, rounds, 10):
@@ -114,18 +169,19 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 20, kee
     ``NARROWED`` times, at which all marginals are within ``TOLERANCE`` of their targets, or, where those
     contradict each other, of the marginals that the unbounded fit comes to.  Its lowest rung is that fit
     itself, scaled down until it meets the limit, so there always is one.
-    Cells are as many as there are combinations of values; those of a volume are one partition,
-    so that rounds shuffle nothing.
+    Cells are as many as there are combinations of values; those of a volume are one row of arrays
+    or, over ``FEW``, one partition, so that rounds shuffle nothing.
     """
     names, total = list(targets), F.col("total")
-    start = _kit.written(_with_shares(cells, targets).coalesce(1), "start")
-    fitted = _fitted(start.withColumns({"weight": F.col("tokens").cast("double"), "volume": total * keep}), names, rounds)
+    start = _kit.written(_placed(_with_shares(cells, targets), names), "start")
+    groups = _kit.written(_groups(start, names), "groups") if start.count() <= FEW else None
+    fitted = _fitted(start.withColumns({"weight": F.col("tokens").cast("double"), "volume": total * keep}), names, rounds, groups)
     if most is not None:
-        fitted = _bounded(fitted, names, rounds, float(most))
+        fitted = _bounded(fitted, names, rounds, float(most), groups)
     return fitted.select(*cells.columns, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("rate"))
 
 
-def _bounded(fitted: DataFrame, names: list[str], rounds: int, most: float) -> DataFrame:
+def _bounded(fitted: DataFrame, names: list[str], rounds: int, most: float, groups: DataFrame | None) -> DataFrame:
     """The unbounded fit with weights of no more than ``most`` times the tokens, at the largest volume that allows its marginals."""
     all_ = F.sum("weight").over(Window.partitionBy())
     fitted = fitted.coalesce(1).withColumn("part", F.when(all_ > 0, F.col("weight") / all_).otherwise(0.0))
@@ -144,7 +200,7 @@ def _bounded(fitted: DataFrame, names: list[str], rounds: int, most: float) -> D
     for _ in range(NARROWED if low < high else 0):
         rungs = F.explode(F.array(*(F.struct(F.lit(k).alias("rung"), F.lit(low * (high / low) ** (k / (LADDER - 1))).alias("volume")) for k in range(LADDER)))).alias("_rung")
         ladder = base.drop("volume").select("*", rungs).select("*", "_rung.rung", "_rung.volume").drop("_rung").withColumn("weight", F.least(F.col("part") * F.col("volume"), F.col("tokens") * most))
-        tried = _fitted(ladder, names, rounds, most, ("rung",))
+        tried = _fitted(ladder, names, rounds, groups, most, ("rung",))
         off = {r["rung"]: (r["off"], r["volume"]) for r in missed(tried, names).collect()}  # a row for each rung
         rung = max((k for k, (o, _) in off.items() if o <= TOLERANCE), default=None)
         if rung is None:
