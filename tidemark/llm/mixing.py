@@ -23,7 +23,7 @@ DIMENSIONS = ("source", "lang", "topic")
 TOLERANCE, LADDER, NARROWED = 0.002, 16, 2
 #: The value that pooled ones become.
 POOL = "(rare)"
-#: So many cells at most are fitted as arrays of one row: 16 MB or so.  Two dimensions of values of a hundredth each
+#: So many cells at most are fitted as arrays of one row.  Two dimensions of values of a hundredth each
 #: and six topics stay below it.
 FEW = 1 << 16
 
