@@ -9,21 +9,35 @@ from tidemark.functions import names
 from tidemark.operators import linkage
 
 
-def _keys(spelling):
-    """(kind, tier, key, initials) of a spelling: exact, normalised, signatures, surnames."""
-    both = names.signatures(spelling)
+def _keyed(df: DataFrame, spelling: str) -> DataFrame:
+    """df with own, the spelling's given names, and a row for each k (kind, tier, key, initials) of it: exact, normalised, signatures, surnames.
+
+    Each step is a column, as words are looked at many times and parted once.
+    """
     one = lambda kind, tier, key, initials: F.struct(F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), key.alias("key"), initials.alias("initials"))
     part = lambda s, i: F.get(F.split(s, " "), F.lit(i))
-    signed = F.transform(both, lambda s: one("signature", 2, s, part(s, 1)))
-    last = F.transform(both, lambda s: one("surname", 3, part(s, 0), part(s, 1)))
-    return F.concat(F.array(one("exact", 0, F.trim(spelling), F.lit("")), one("normalised", 1, names.normal_name(spelling), F.lit(""))), signed, last)
+    words = df.withColumn("_plain", names.unaccented(F.col(spelling))).withColumns({"_joined": names.tokens(F.col("_plain"), "", True), "_split": names.tokens(F.col("_plain"), " ", True)})
+    signed = words.withColumns({"_signed": F.array_distinct(F.array(names.signature(F.col("_joined")), names.signature(F.col("_split")))), "_normal": F.lower(F.array_join("_joined", " ")), "own": names.given_names(F.col("_joined"))})
+    keys = F.concat(F.array(one("exact", 0, F.trim(spelling), F.lit("")), one("normalised", 1, F.col("_normal"), F.lit(""))), F.transform("_signed", lambda s: one("signature", 2, s, part(s, 1))), F.transform("_signed", lambda s: one("surname", 3, part(s, 0), part(s, 1))))
+    return signed.select(*df.columns, "own", F.explode_outer(keys).alias("k"))  # never empty; explode would add a filter that makes keys again
 
 
 def name_index(people: DataFrame) -> DataFrame:
     """(kind, tier, key, initials, person_id, given) of people (person_id, variants parted by |)."""
     each = people.select("person_id", F.explode(F.split("variants", r"\|")).alias("v"))
-    given = each.groupBy("person_id").agg(F.array_distinct(F.flatten(F.collect_set(names.given_names(names.tokens(F.col("v")))))).alias("given"))
-    return each.select("person_id", F.explode(_keys(F.col("v"))).alias("k")).select("person_id", "k.*").where("key is not null and key <> ''").distinct().join(given, "person_id")
+    keyed = _keyed(each, "v")
+    given = keyed.groupBy("person_id").agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("given"))
+    return keyed.select("person_id", "k.*").where("key is not null and key <> ''").distinct().join(given, "person_id")
+
+
+def _asked(roster: DataFrame, *more: str) -> DataFrame:
+    return _keyed(roster.select("player_id", "spelling", *more), "spelling").select("player_id", "spelling", *more, "own", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"), F.col("k.initials").alias("asked"))
+
+
+def _fits(met: DataFrame) -> DataFrame:
+    loose = F.col("tier") >= 2
+    initials = (F.col("tier") < 3) | ((F.length("asked") > 0) & names.subsequence(F.col("asked"), F.col("initials")))
+    return met.where(~loose | names.given_agree(F.col("own"), F.col("given"))).where(initials).withColumn("_prefix", (F.length("asked") > 0) & F.col("initials").startswith(F.col("asked")))
 
 
 def candidates(roster: DataFrame, index: DataFrame) -> DataFrame:
@@ -31,15 +45,28 @@ def candidates(roster: DataFrame, index: DataFrame) -> DataFrame:
 
     Signatures and surnames must not contradict spelled-out given names.  A surname counts if
     the spelling's initials come up, in order, among the candidate's; prefix is whether the
-    candidate's initials begin with them.
+    candidate's initials begin with them.  A row for each pair: where names are common use ``alike``.
     """
-    ask = roster.select("player_id", "spelling", F.explode(_keys(F.col("spelling"))).alias("k"), names.given_names(names.tokens(F.col("spelling"))).alias("own")).select("player_id", "spelling", "own", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"), F.col("k.initials").alias("asked"))
-    met = ask.join(index, ["kind", "key"])
-    loose = F.col("tier") >= 2
-    initials = (F.col("tier") < 3) | ((F.length("asked") > 0) & names.subsequence(F.col("asked"), F.col("initials")))
-    fits = met.where(~loose | names.given_agree(F.col("own"), F.col("given"))).where(initials)
-    prefix = F.max((F.length("asked") > 0) & F.col("initials").startswith(F.col("asked")))
-    return fits.groupBy("player_id", "spelling", "person_id").agg(F.min("tier").alias("tier"), F.coalesce(prefix, F.lit(False)).alias("prefix"))
+    fits = _fits(_asked(roster).join(index, ["kind", "key"]))
+    return fits.groupBy("player_id", "spelling", "person_id").agg(F.min("tier").alias("tier"), F.coalesce(F.max("_prefix"), F.lit(False)).alias("prefix"))
+
+
+def alike(roster: DataFrame, index: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(player_id, spelling, person_id, last_id, tier, prefix, evidence): ``candidates`` as ranges, for resolve_players.
+
+    Persons whom the index tells apart by nothing are one row from the least to the greatest, and equal
+    questions are asked once, so that a name of n players and n persons is one pair of rows and not n x n.
+    Pairs that are ``seen`` (player_id, person_id, once each) have rows of their own, with evidence.
+    """
+    question, what = _asked(roster), ["kind", "key", "asked", "own"]
+    classes = index.groupBy("kind", "tier", "key", "initials", "given").agg(F.min("person_id").alias("person_id"), F.max("person_id").alias("last_id"))
+    fits = _fits(question.select(*what).distinct().join(classes, ["kind", "key"]))
+    told = fits.groupBy(*what, "tier", F.col("_prefix").alias("prefix")).agg(F.min("person_id").alias("person_id"), F.max("last_id").alias("last_id"))
+    found = question.join(told, what).select("player_id", "spelling", "person_id", "last_id", "tier", "prefix", F.lit(False).alias("evidence"))
+    if seen is None:
+        return found
+    backed = _fits(_asked(roster.join(seen, "player_id"), "person_id").join(index, ["kind", "key", "person_id"]))
+    return found.unionAll(backed.select("player_id", "spelling", "person_id", F.col("person_id").alias("last_id"), "tier", F.col("_prefix").alias("prefix"), F.lit(True).alias("evidence")))
 
 
 def squads(appearances: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -48,10 +75,14 @@ def squads(appearances: DataFrame, aliases: DataFrame) -> DataFrame:
     return appearances.withColumn("season", season).join(F.broadcast(aliases), "team").select("season", "franchise", "person_id").distinct()
 
 
+def seen_together(contexts: DataFrame, members: DataFrame) -> DataFrame:
+    """(player_id, person_id): persons in a squad of one of the player's contexts (player_id, season, franchise)."""
+    return contexts.withColumn("season", F.substring("season", 1, 4)).join(members, ["season", "franchise"]).select("player_id", "person_id").distinct()
+
+
 def with_evidence(found: DataFrame, contexts: DataFrame, members: DataFrame) -> DataFrame:
     """found with evidence: the person is in a squad of one of the player's contexts (player_id, season, franchise)."""
-    seen = contexts.withColumn("season", F.substring("season", 1, 4)).join(members, ["season", "franchise"]).select("player_id", "person_id").distinct().withColumn("evidence", F.lit(True))
-    return found.join(seen, ["player_id", "person_id"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
+    return found.join(seen_together(contexts, members).withColumn("evidence", F.lit(True)), ["player_id", "person_id"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
 
 
 def resolve_players(roster: DataFrame, found: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -63,7 +94,7 @@ def resolve_players(roster: DataFrame, found: DataFrame, overrides: DataFrame |
     unresolved.
     """
     key = F.struct("player_id", "spelling")
-    each = linkage.resolve(found.withColumn("k", key), "k", "person_id", "tier", "evidence" if "evidence" in found.columns else None, "prefix").select("k.*", "person_id", "method")
+    each = linkage.resolve(found.withColumn("k", key), "k", "person_id", "tier", "evidence" if "evidence" in found.columns else None, "prefix", "last_id" if "last_id" in found.columns else None).select("k.*", "person_id", "method")
     told = roster.join(each, ["player_id", "spelling"], "left")
     backed = found.where("evidence").select("player_id", "person_id").distinct().withColumn("backed", F.lit(True)) if "evidence" in found.columns else None
     told = told.join(backed, ["player_id", "person_id"], "left") if backed is not None else told.withColumn("backed", F.lit(None).cast("boolean"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocabulary
 from tidemark.operators import linkage
 from tidemark.plans import identity
+from tidemark.sources.io import shared_table
 
 
 def source_players(balls: DataFrame) -> DataFrame:
@@ -29,16 +30,14 @@ def player_crosswalk(balls: DataFrame, people: DataFrame, contexts: DataFrame |
     (player_id, season, franchise) and members (of ``identity.squads``) are given.  Of numbers that come to one person the key
     wins; a tie within a tier resolves none of them.  An unresolved number stays, with nulls.
     """
-    names = source_players(balls)
+    names = shared_table(source_players(balls), "spellings")  # read by six branches; else conditions on names are asked of every ball
     every = names.groupBy("player_id").agg(F.sum("balls").alias("balls"), F.min("spelling").alias("display_name"))
     keyed = linkage.unique_only(people.where("key is not null").select(F.col("key").alias("player_id"), "person_id"), ["player_id"])
     first = every.join(keyed, "player_id").select("player_id", "person_id", F.lit("key").alias("method"), F.lit(0).alias("tier"))
     rest = names.join(first.select("player_id"), "player_id", "left_anti").where("trim(spelling) <> ''")
     ord_ = F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc("balls"), "spelling"))
     rest = rest.withColumn("ord", ord_)
-    found = identity.candidates(rest, identity.name_index(people))
-    if contexts is not None:
-        found = identity.with_evidence(found, contexts, members)
+    found = identity.alike(rest, identity.name_index(people), None if contexts is None else identity.seen_together(contexts, members))
     named = identity.resolve_players(rest, found).where("person_id is not null")
     second = named.select("player_id", "person_id", F.concat(F.lit("name:"), "method").alias("method"), F.lit(1).alias("tier"))
     told = linkage.strictest_unique(first.unionAll(second), "person_id", "tier").drop("tier")
