@@ -51,16 +51,18 @@ def match_crosswalk(balls: DataFrame, players: DataFrame, deliveries: DataFrame,
     matches cost what their players share; no_candidate and no_overlap are told apart by the days.
     """
     known = players.where("person_id is not null").select("player_id", "person_id")
-    ours = balls.select("p_match", "date", F.col("p_bat").alias("player_id")).unionAll(balls.select("p_match", "date", "p_bowl")).join(known, "player_id")
-    ours = ours.groupBy("p_match", "person_id").agg(F.min("date").alias("d"))
-    left = ours.groupBy("p_match").agg(F.to_date(F.min("d")).alias("day"), F.count("*").alias("n"))
-    theirs = deliveries.select("match_id", "match_date", F.col("striker_id").alias("person_id")).unionAll(deliveries.select("match_id", "match_date", "bowler_id")).where("person_id is not null")
-    theirs = theirs.groupBy("match_id", "person_id").agg(F.min("match_date").alias("d"))
-    right = theirs.groupBy("match_id").agg(F.to_date(F.min("d")).alias("day_r"), F.count("*").alias("n_r"))
+    # a row a match with those who played, written, as what follows reads it twice
+    ours = balls.select("p_match", "date", F.explode(F.array("p_bat", "p_bowl")).alias("player_id")).join(known, "player_id")
+    ours = shared_table(ours.groupBy("p_match").agg(F.to_date(F.min("date")).alias("day"), F.collect_set("person_id").alias("persons")), "ours")
+    left = ours.select("p_match", "day", F.size("persons").alias("n"))
+    theirs = deliveries.select("match_id", "match_date", F.explode(F.array("striker_id", "bowler_id")).alias("person_id")).where("person_id is not null")
+    theirs = shared_table(theirs.groupBy("match_id").agg(F.to_date(F.min("match_date")).alias("day_r"), F.collect_set("person_id").alias("persons")), "theirs")
     days = F.explode(F.array(*(F.date_add("day", i) for i in (-1, 0, 1)))).alias("day_r")
-    near = left.select("p_match", days).join(right.select("day_r").distinct(), "day_r").select("p_match").distinct().withColumn("_near", F.lit(True))
-    met = left.select("p_match", "n", days).join(ours.select("p_match", "person_id"), "p_match").join(right.join(theirs.select("match_id", "person_id"), "match_id"), ["day_r", "person_id"])
-    pairs = met.groupBy("p_match", "match_id", "n", "n_r").agg(F.count("*").alias("overlap"))
+    near = left.select("p_match", days).join(theirs.select("day_r").distinct(), "day_r").select("p_match").distinct().withColumn("_near", F.lit(True))
+    asked = ours.where("day is not null").select("p_match", F.size("persons").alias("n"), "persons", days).withColumn("person_id", F.explode("persons")).drop("persons")
+    met = asked.join(theirs.select("match_id", "day_r", F.size("persons").alias("n_r"), F.explode("persons").alias("person_id")), ["day_r", "person_id"])
+    # dealt by our match, which counting, ranking and the join of the verdict all go by
+    pairs = met.select("p_match", "match_id", "n", "n_r").repartition("p_match").groupBy("p_match", "match_id", "n", "n_r").agg(F.count("*").alias("overlap"))
     scored = pairs.select("p_match", "match_id", "overlap", (F.col("overlap") / (F.col("n") + F.col("n_r") - F.col("overlap"))).alias("score"))
     told = linkage.verdicts(left, scored, "p_match", "match_id", least, runner_up, F.col("day").isNotNull())
     told = told.join(near, "p_match", "left").withColumn("verdict", F.when((F.col("verdict") == "no_candidate") & F.col("_near"), "no_overlap").otherwise(F.col("verdict")))
