@@ -47,3 +47,13 @@ def test_what_claims_nothing_is_no_group(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert most < 57
+
+
+def test_balls_of_unlinked_matches_are_not_ordered(spark):
+    """Deliveries are cut to linked matches before they are numbered."""
+    source = spark.createDataFrame([(m, DAY, 1, b, 1, 2, None, None, None, None) for m in (1, 2) for b in range(3)], "p_match int, date date, innings int, ball_id int, p_bat int, p_bowl int, control string, shot string, elevation string, binary double")
+    theirs = spark.createDataFrame([(f"m{m}", 1, b, "p1", "p2", False) for m in range(1, 40) for b in range(3)], "match_id string, innings int, ball_seq int, striker_id string, bowler_id string, super_over boolean")
+    matches = spark.createDataFrame([(1, "m1"), (2, None)], "p_match int, match_id string")
+    done = shots.ball_attributes(source, spark.createDataFrame([(1, "p1")], "player_id int, person_id string"), matches, theirs, [])
+    assert sorted((r.match_id, r.ball_seq) for r in done.collect()) == [("m1", 0), ("m1", 1), ("m1", 2)]
+    assert "LeftSemi" in done._jdf.queryExecution().optimizedPlan().toString()

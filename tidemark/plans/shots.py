@@ -81,7 +81,7 @@ def ball_attributes(balls: DataFrame, players: DataFrame, matches: DataFrame, de
     known = players.where("person_id is not null").select(F.col("player_id").alias("p_bat"), F.col("person_id").alias("source_striker"))
     own = ["control", "shot", "elevation", "binary", *carried]
     left = balls.join(linked, "p_match").join(known, "p_bat", "left").select("match_id", "innings", "ball_id", "source_striker", *own)
-    right = deliveries.where("not super_over").select("match_id", "innings", "ball_seq", "striker_id", "bowler_id")
+    right = deliveries.where("not super_over").join(linked, "match_id", "left_semi").select("match_id", "innings", "ball_seq", "striker_id", "bowler_id")
     both = linkage.positional_align(left, right, ["match_id", "innings"], [F.col("ball_id")], [F.col("ball_seq")])
     kept, gate = linkage.agreement(both, "source_striker", "striker_id", least)
     sure = gate.select(F.when(F.col("enough") | (F.col("share").isNull()), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("the feeds agree on the batter of too few balls: "), F.col("share").cast("string")))).alias("_sure"))
