@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rates
 from tidemark.functions.rates import PHASES
-from tidemark.operators import checks, features, fold
+from tidemark.operators import checks, features
 
 BAT = ("runs", "balls", "fours", "sixes", "dots", "outs", "control_balls", "controlled", "elev_balls", "aerial", *(f"{x}_{p}" for p in PHASES for x in ("runs", "balls", "boundaries")))
 BOWL = ("balls", "runs", "wickets", "dots", "wides", "noballs", "maidens", "control_balls", "false_shots", "elev_balls", "aerial_conceded", *(f"{x}_{p}" for p in PHASES for x in ("balls", "runs", "wickets", "boundaries_conceded")))
@@ -27,7 +27,8 @@ def with_shots(deliveries: DataFrame, shots: DataFrame, keys: tuple[str, ...] =
 def innings_sums(deliveries: DataFrame) -> DataFrame:
     """Sums of each (entity, match_id, innings), with first_date: batting (bat_), bowling (bowl_), bat_in and bowl_in.
 
-    Roles are stacked and summed in one shuffle; maidens come with the bowlers' overs.  A player is
+    Balls are dealt by player, a row for each part in it, before anything is summed, so that overs (for maidens),
+    innings and a player's later sums by match and windows share that one shuffle of narrow rows.  A player is
     in as striker or non-striker; who is out without being in isn't counted out.  Flags of shots that
     the table lacks, or a ball has none of, add nothing to a rate's numerator or denominator.
     Deliveries without a date fail the query.
@@ -45,10 +46,18 @@ def innings_sums(deliveries: DataFrame) -> DataFrame:
     bowl = {"bowl_in": F.lit(1), "bowl_balls": one("legal"), "bowl_runs": c("conceded"), "bowl_wickets": one("bowler_wicket"), "bowl_dots": one("legal") * nothing, "bowl_wides": c("wides"), "bowl_noballs": c("noballs"),
         "bowl_control_balls": flag["has_control"], "bowl_false_shots": flag["has_control"] - controlled, "bowl_elev_balls": flag["has_elevation"], "bowl_aerial_conceded": aerial,
         **by_phase("bowl", {"balls": one("legal"), "runs": c("conceded"), "wickets": one("bowler_wicket"), "boundaries_conceded": boundary})}
-    roles = [fold.Role("striker", c("batter_id"), bat), fold.Role("non_striker", c("non_striker_id"), {"bat_in": F.lit(1)}), fold.Role("out", c("player_out_id"), {"bat_outs": F.lit(1)}), fold.Role("bowler", c("bowler_id"), bowl)]
-    sums = fold.fold_roles(d, roles, {"match_id": c("match_id"), "innings": c("innings")}, c("match_date"))
-    maidens = fold.empty_groups(d.where("bowler_id is not null"), ["bowler_id", "match_id", "innings"], ["over"], c("conceded"), one("legal"), "bowl_maidens").withColumnRenamed("bowler_id", "entity")
-    made = sums.join(maidens, ["entity", "match_id", "innings"], "left").withColumn("bat_outs", F.when(c("bat_in") > 0, c("bat_outs")).otherwise(0))
+    used = ["over", "phase", "runs", "faced", "four", "six", "dot", "legal", "conceded", "bowler_wicket", "wides", "noballs", "leg_extras", *(x for x in SHOT_FLAGS if x in there)]
+    parties = F.posexplode(F.array("batter_id", "non_striker_id", "player_out_id", "bowler_id")).alias("_role", "entity")
+    # who is only in, or out, needs nothing of the ball
+    rows = d.select("match_id", "match_date", "innings", *used, parties).where("entity is not null")
+    rows = rows.select("match_id", "match_date", "innings", "_role", "entity", *(F.when(c("_role").isin(0, 3), c(x)).alias(x) for x in used)).repartition("entity")
+    at = lambda i, v: F.when(c("_role") == i, v).otherwise(0)
+    adds = {**{n: at(0, v) for n, v in bat.items() if n != "bat_in"}, "bat_in": F.when(c("_role") < 2, 1).otherwise(0), "bat_outs": at(2, F.lit(1)), **{n: at(3, v) for n, v in bowl.items()}}
+    own = lambda v: F.sum(F.when(c("_role") == 3, v))
+    overs = rows.groupBy("entity", "match_id", "innings", "over").agg(*(F.sum(v).alias(n) for n, v in adds.items()), F.min("match_date").alias("first_date"), own(c("conceded")).alias("_c"), own(one("legal")).alias("_l"))
+    maidens = F.sum(F.when((c("_c") == 0) & (c("_l") > 0), 1).otherwise(0)).alias("bowl_maidens")
+    made = overs.groupBy("entity", "match_id", "innings").agg(*(F.sum(n).alias(n) for n in adds), F.min("first_date").alias("first_date"), maidens)
+    made = made.withColumn("bat_outs", F.when(c("bat_in") > 0, c("bat_outs")).otherwise(0))
     numbers = ["bat_in", *(f"bat_{x}" for x in BAT), "bowl_in", *(f"bowl_{x}" for x in BOWL)]
     return made.where("bat_in > 0 or bowl_in > 0").select("entity", "match_id", "innings", "first_date", *(F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in numbers))
 
@@ -90,13 +99,13 @@ def career(table: DataFrame, requests: DataFrame, fielding: DataFrame | None = N
     played = table.groupBy("entity", "match_id").agg(F.min("first_date").alias("first_date"), F.count("*").alias("innings"), own("bat_in").alias("bat_innings"), own("bowl_in").alias("bowl_innings"), *(F.sum(x).alias(x) for x in [*bat, *bowl]))
     played = played.withColumns({"matches": F.lit(1), "batting_matches": (F.col("bat_innings") > 0).cast("int"), "bowling_matches": (F.col("bowl_innings") > 0).cast("int")})
     if fielding is not None:
-        played = played.unionByName(fielding.join(wanted, "entity", "left_semi"), allowMissingColumns=True)
+        played = played.unionByName(fielding.join(wanted, "entity", "left_semi").repartition("entity"), allowMissingColumns=True)
     place = ["entity", "_day", "_side", "_match", "as_of"]
     rows = played.withColumns({"_day": F.to_date("first_date"), "_side": F.lit(1), "_match": F.col("match_id"), "as_of": F.lit(None).cast(requests.schema["as_of"].dataType)})
     there = set(played.columns)  # asked once, as each time it costs a look at the plan
     rows = rows.select(*place, *((F.coalesce(F.col(n), F.lit(0)) if n in there else F.lit(0)).cast("long").alias(n) for n in numbers))
     asked = requests.select("entity", "as_of").distinct().withColumns({"_day": F.to_date("as_of"), "_side": F.lit(0), "_match": F.lit(None).cast(rows.schema["_match"].dataType)})
-    asked = asked.select(*place, *(F.lit(0).cast("long").alias(n) for n in numbers))
+    asked = asked.repartition("entity").select(*place, *(F.lit(0).cast("long").alias(n) for n in numbers))  # as the matches are, so that the union is dealt already
     so_far = Window.partitionBy("entity").orderBy("_day", "_side", "_match").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(asked).withColumns({f"all_{n}": F.sum(n).over(so_far) for n in numbers})
     late = [*batting, *bowling] if recent else []
